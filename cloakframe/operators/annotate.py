@@ -53,26 +53,24 @@ def _hits(text: Column, patterns: list[str], with_name: bool) -> Column:
     """array<struct<template, name, offset>> for all phrases found; texts without any cost one scan."""
     kind = "array<struct<template:int,name:string,offset:int>>"
     empty = F.array().cast(kind)
-    found = [
-        F.when(
-            text.rlike(pattern),
-            F.transform(
-                located(text, pattern),
-                lambda o, n=n, pattern=pattern: F.struct(
-                    F.lit(n).alias("template"),
-                    (F.regexp_extract(o["piece"], pattern, 1) if with_name else F.lit("")).alias("name"),
-                    o["offset"].alias("offset"),
-                ),
-            ).cast(kind),
-        ).otherwise(empty)
-        for n, pattern in enumerate(patterns, 1)
-    ]
-    return F.concat(*found)
+
+    def found(number: int, pattern: str) -> Column:
+        name = (lambda piece: F.regexp_extract(piece, pattern, 1)) if with_name else (lambda piece: F.lit(""))
+        hits = F.transform(
+            located(text, pattern),
+            lambda o: F.struct(
+                F.lit(number).alias("template"), name(o["piece"]).alias("name"), o["offset"].alias("offset")
+            ),
+        )
+        return F.when(text.rlike(pattern), hits.cast(kind)).otherwise(empty)
+
+    return F.concat(*[found(n, pattern) for n, pattern in enumerate(patterns, 1)])
 
 
 def _with_sentence(hits: Column, text: Column) -> Column:
     """Each hit with the sentence around it."""
-    return F.when(F.size(hits) == 0, F.array()).otherwise(
+    kind = "array<struct<template:int,name:string,offset:int,sentence:string>>"
+    return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(
         let(
             located(text, SENTENCE),
             lambda all_: F.transform(

@@ -69,7 +69,9 @@ def imported_names(text: Column) -> Column:
         ).otherwise(F.array(module))
         return F.concat(used, tops)
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(lines, names)), lambda n: n != ""))
+    return F.array_distinct(
+        F.filter(F.flatten(F.transform(lines, names)), lambda n: n.rlike(rf"^{NAME}(?:\.{NAME})*$"))
+    )
 
 
 def prose_symbols(text: Column) -> Column:
@@ -226,6 +228,10 @@ _CPP_RULES = [
 ]
 
 
+def _zipped(names: Column, scopes: Column, kind: str) -> Column:
+    return F.zip_with(names, scopes, lambda n, s: _symbol(n, kind, s)).cast(SYMBOLS)
+
+
 def _cpp_declared(text: Column) -> Column:
     bare = F.regexp_replace(text, f"{STRINGS['cpp']}|{COMMENTS['cpp']}", '""')
 
@@ -238,7 +244,7 @@ def _cpp_declared(text: Column) -> Column:
                 if scope
                 else F.transform(names, lambda _: F.lit(""))
             )
-            found.append(F.zip_with(names, scopes, lambda n, s, kind=kind: _symbol(n, kind, s)).cast(SYMBOLS))
+            found.append(_zipped(names, scopes, kind))
         return F.concat(*found)
 
     return let(bare, apply_rules)
@@ -314,6 +320,15 @@ def symbols_by_rule(
     return docs.select(id_col, F.explode(rule_symbols(F.col(text_col), rules)).alias("s")).select(id_col, "s.*")
 
 
+def first_symbols(rows: DataFrame, id_col: str, order_col: str) -> DataFrame:
+    """One (id, name, kind, scope) per name of a document: the first one declared wins."""
+    return (
+        rows.groupBy(id_col, "name")
+        .agg(F.min_by(F.struct("kind", "scope"), order_col).alias("s"))
+        .select(id_col, "name", "s.kind", "s.scope")
+    )
+
+
 def comment_spans(docs: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per comment: offsets, line and text. Strings are passed over first."""
     pattern = f"{STRINGS[language]}|{COMMENTS[language]}"

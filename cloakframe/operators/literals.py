@@ -260,13 +260,15 @@ def literal_summary(docs: DataFrame, names: Column | None = None, id_col: str =
 
 
 def scrubbed_symbols(docs: DataFrame, names: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Literals to scrub as symbols: (id, name, kind, scope, at), strings without their quotes."""
+    """Literals to scrub as symbols: (id, name, kind, scope, at), strings without the quotes around them."""
     kept = F.filter(literals_of(F.col(text_col), names), lambda x: x["action"] == "scrub")
     keyed = F.transform(
         kept,
         lambda x: F.struct(
             F.when(x["kind"] == "string", "string").otherwise("constant").alias("kind"),
-            F.btrim(x["value"], F.lit('"')).alias("name"),
+            F.when(x["kind"] == "string", F.substring(x["value"], F.lit(2), F.length(x["value"]) - 2))
+            .otherwise(x["value"])
+            .alias("name"),
             x["at"].alias("at"),
         ),
     )

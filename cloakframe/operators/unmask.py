@@ -281,10 +281,3 @@ def dependencies_of(text: Column, pattern: str = DEPENDENCY) -> Column:
         lambda line: line.rlike(pattern),
     )
 
-
-def link_hosts(html: Column) -> Column:
-    """Distinct hosts that a page refers to in href and src."""
-    return F.array_distinct(
-        F.regexp_extract_all(html, F.lit(r"(?:href|src)=\"https?://([^/\"]+)"), F.lit(1))
-    )
-

@@ -12,15 +12,18 @@ def append_entries(entries: DataFrame, path: str) -> None:
     entries.withColumn("log_date", F.to_date("timestamp")).write.mode("append").partitionBy("log_date").json(path)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"{ENTRY_SCHEMA}, log_date date, _corrupt_record string"
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+def parsed(lines: DataFrame) -> DataFrame:
+    """Text lines as entries; ``_corrupt_record`` holds the line where it is no JSON object."""
+    schema = f"{ENTRY_SCHEMA}, _corrupt_record string"
+    entry = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rest = [c for c in lines.columns if c != "value"]
+    return lines.where(F.trim("value") != "").select(entry.alias("e"), *rest).select("e.*", *rest)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """Well-formed entries; ``log_date`` prunes folders."""
-    return _read(spark, path).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return parsed(spark.read.text(path)).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 def read_malformed(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path).where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    return parsed(spark.read.text(path)).where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cloakframe.operators.audit import ENTRY_SCHEMA
+from cloakframe.sources.audit_log import parsed
 
 
 def read_audit_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(f"{ENTRY_SCHEMA}, _corrupt_record string").option("mode", "PERMISSIVE")
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    return parsed(reader.text(path))
 
 
 def ingest_audit(entries: DataFrame, sink: str, malformed_sink: str, checkpoint: str) -> list[StreamingQuery]:
