@@ -67,34 +67,32 @@ def _hits(text: Column, patterns: list[str], with_name: bool) -> Column:
     return F.concat(*[found(n, pattern) for n, pattern in enumerate(patterns, 1)])
 
 
-def _with_sentence(hits: Column, text: Column) -> Column:
-    """Each hit with the sentence around it."""
-    kind = "array<struct<template:int,name:string,offset:int,sentence:string>>"
-    return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(
-        let(
-            located(text, SENTENCE),
-            lambda all_: F.transform(
-                hits,
-                lambda h: F.struct(
-                    h["template"].alias("template"),
-                    h["name"].alias("name"),
-                    h["offset"].alias("offset"),
-                    cut(
-                        F.coalesce(
-                            F.get(
-                                F.filter(
-                                    all_,
-                                    lambda s: (s["offset"] <= h["offset"]) & (s["end_offset"] > h["offset"]),
-                                ),
-                                F.lit(0),
-                            )["piece"],
-                            F.lit(""),
-                        )
-                    ).alias("sentence"),
-                ),
+def _phrases(docs: DataFrame, patterns: list[str], with_name: bool, id_cols: list[str], text_col: str) -> DataFrame:
+    """(ids, template, name, offset, sentence): every phrase found, with the sentence around it."""
+    text = F.col(text_col)
+    found = docs.select(*id_cols, text.alias("_text"), _hits(text, patterns, with_name).alias("_hits")).where(
+        F.size("_hits") > 0
+    )
+
+    def around(hits: Column, all_: Column) -> Column:
+        def sentence(h: Column) -> Column:
+            holding = F.filter(all_, lambda s: (s["offset"] <= h["offset"]) & (s["end_offset"] > h["offset"]))
+            return cut(F.coalesce(F.get(holding, F.lit(0))["piece"], F.lit("")))
+
+        return F.transform(
+            hits,
+            lambda h: F.struct(
+                h["template"].alias("template"),
+                h["name"].alias("name"),
+                h["offset"].alias("offset"),
+                sentence(h).alias("sentence"),
             ),
         )
+
+    with_sentences = let(
+        F.col("_hits"), lambda hits: let(located(F.col("_text"), SENTENCE), lambda all_: around(hits, all_))
     )
+    return found.select(*id_cols, F.explode(with_sentences).alias("h")).select(*id_cols, "h.*")
 
 
 def naming_advice(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
@@ -102,10 +100,8 @@ def naming_advice(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], te
 
     Names are compared without regard to case, as whole words.
     """
-    text = F.col(text_col)
     hits = (
-        docs.select(*id_cols, F.explode(_with_sentence(_hits(text, NAMING_ADVICE, True), text)).alias("h"))
-        .select(*id_cols, "h.*")
+        _phrases(docs, NAMING_ADVICE, True, id_cols, text_col)
         .withColumn("key", F.lower("name"))
         .groupBy(*id_cols, "key", "template")
         .agg(F.min_by("sentence", "offset").alias("sentence"))
@@ -139,13 +135,10 @@ def stub_speculation(docs: DataFrame, stubs: DataFrame, id_cols: list[str], text
     mentions = docs.select(*id_cols, F.explode(words).alias("original"))
     weights = mentions.groupBy("original").agg(F.count(F.lit(1)).alias("n_docs"))
     named = lookup(mentions, stubs.select("original").distinct(), ["original"], "inner", id_cols[0], weights)
-    general = docs.select(
-        *id_cols, F.explode(_with_sentence(_hits(text, SPECULATION, False), text)).alias("h")
-    ).select(*id_cols, "h.*")
+    general = _phrases(docs, SPECULATION, False, id_cols, text_col)
     general = general.groupBy(*id_cols, "template").agg(F.min_by("sentence", "offset").alias("sentence"))
     about = (
-        docs.select(*id_cols, F.explode(_with_sentence(_hits(text, SPECULATION_ABOUT, True), text)).alias("h"))
-        .select(*id_cols, "h.*")
+        _phrases(docs, SPECULATION_ABOUT, True, id_cols, text_col)
         .groupBy(*id_cols, "template", F.lower("name").alias("key"))
         .agg(F.min_by("sentence", "offset").alias("sentence"))
         .withColumn("template", F.col("template") + len(SPECULATION))

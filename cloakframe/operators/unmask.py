@@ -159,7 +159,10 @@ def _zone_slots(zone_list: Column) -> Column:
                     lambda w, i: F.struct(w.alias("token"), n.alias("zone"), i.alias("at")),
                 ),
                 lambda s: s["token"].rlike(IS_TOKEN)
-                & ((z["zone_type"] != "prose") | F.get(gaps, s["at"] + 1).rlike(_PROSE_NEXT)),
+                & (
+                    (z["zone_type"] != "prose")
+                    | F.concat(F.get(gaps, s["at"] + 1), F.coalesce(F.get(words, s["at"] + 1), F.lit(""))).rlike(_PROSE_NEXT)
+                ),
             )
 
         return let(

@@ -304,14 +304,14 @@ def new_dependencies(before: str, after: str) -> str:
 def line_rows(side: str, source: str) -> str:
     body = r"regexp_replace(text, '\n$', '')"
     return f"""SELECT doc_id, '{side}' AS side, unnest(string_split({body}, chr(10))) AS line,
-      unnest(range(0, len(string_split({body}, chr(10))))) AS at FROM {source} WHERE text <> ''"""
+      unnest(range(0, len(string_split({body}, chr(10))))) AS pos FROM {source} WHERE text <> ''"""
 
 
 BLOCKS = f"""
 lines AS ({line_rows('old', 'documents')} UNION ALL {line_rows('new', EDITED_DOCS)}),
-nths AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line, side ORDER BY at) AS nth FROM lines),
+nths AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line, side ORDER BY pos) AS nth FROM lines),
 pairs AS (
-  SELECT doc_id, line, nth, min(at) FILTER (side = 'old') AS old_at, min(at) FILTER (side = 'new') AS new_at
+  SELECT doc_id, line, nth, min(pos) FILTER (side = 'old') AS old_at, min(pos) FILTER (side = 'new') AS new_at
   FROM nths GROUP BY 1, 2, 3),
 placed AS (
   SELECT *, coalesce(new_at,
