@@ -4,6 +4,9 @@ A text is taken apart by a pattern into ``gap piece gap piece … gap``. The hel
 pieces, group equal pieces and put a text together again. Each is linear (or n log n) in the
 text, needs no shuffle, and never looks at a column from inside a lambda without binding it
 first: Catalyst may inline a column into the lambda and would then evaluate it per element.
+
+Bodies are SQL lambdas that see only what is bound to them: they are parsed in one call, where
+the same tree built call by call from Python would take seconds.
 """
 
 from __future__ import annotations
@@ -22,6 +25,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind(body: str, **values: Column) -> Column:
+    """Evaluate the values once and the SQL ``body`` over them, as fields of ``s``."""
+    bound = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.call_function("transform", bound, F.expr(f"s -> {body}")), F.lit(0))
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def pieces_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -32,157 +45,127 @@ def gaps_of(text: Column, pattern: str) -> Column:
 
 
 def weave(gaps: Column, pieces: Column) -> Column:
-    return F.array_join(
-        F.zip_with(gaps, pieces, lambda gap, piece: F.concat(gap, F.coalesce(piece, F.lit("")))), ""
-    )
+    zipped = F.call_function("zip_with", gaps, pieces, F.expr("(g, p) -> concat(g, coalesce(p, ''))"))
+    return F.array_join(zipped, "")
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
+def _total(values: str) -> str:
+    return f"aggregate({values}, 0, (a, x) -> a + x)"
 
 
-def exclusive_sums(values: Column, depth: int = 2) -> Column:
-    """For each element the sum of those before it.
+def sql_sums(v: str, depth: int = 2) -> str:
+    """For each element of the bound array ``v`` the sum of those before it.
 
     Sums are taken per block of 16, then over the blocks, so that a text with a million pieces
     costs some ten million additions and not half a trillion.
     """
+    if depth == 0:
+        return f"transform({v}, (e, i) -> {_total(f'slice({v}, 1, i)')})"
+    totals = (
+        f"transform(sequence(0, shiftright(greatest(size({v}) - 1, 0), {_BITS})), "
+        f"b -> {_total(f'slice({v}, shiftleft(b, {_BITS}) + 1, {_BLOCK})')})"
+    )
+    block = f"shiftright(i, {_BITS})"
+    inside = _total(f"slice({v}, shiftleft({block}, {_BITS}) + 1, i & {_BLOCK - 1})")
+    t, p = f"t{depth}", f"p{depth}"
+    return sql_let(
+        totals, t, sql_let(sql_sums(t, depth - 1), p, f"transform({v}, (e, i) -> {p}[{block}] + {inside})")
+    )
+
+
+def exclusive_sums(values: Column) -> Column:
+    return bind(sql_sums("s.v"), v=values)
+
+
+def _newlines(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, char(10), '')))"
+
+
+# Width of every piece with the gap before it; no lookup by index is needed.
+_WIDTHS = "zip_with(s.p, slice(s.g, 1, size(s.p)), (p, g) -> length(p) + length(g))"
+_BREAKS = f"zip_with(s.p, slice(s.g, 1, size(s.p)), (p, g) -> {_newlines('p')} + {_newlines('g')})"
 
-    def short(v: Column) -> Column:
-        return F.transform(v, lambda _, i: _total(F.slice(v, F.lit(1), i)))
-
-    def blocked(v: Column, left: int) -> Column:
-        if left == 0:
-            return short(v)
-        last = F.shiftright(F.greatest(F.size(v) - 1, F.lit(0)), _BITS)
-        totals = F.transform(
-            F.sequence(F.lit(0), last),
-            lambda b: _total(F.slice(v, F.shiftleft(b, _BITS) + 1, F.lit(_BLOCK))),
-        )
-        return let(
-            totals,
-            lambda t: let(
-                blocked(t, left - 1),
-                lambda before: F.transform(
-                    v,
-                    lambda _, i: F.get(before, F.shiftright(i, _BITS))
-                    + _total(
-                        F.slice(
-                            v,
-                            F.shiftleft(F.shiftright(i, _BITS), _BITS) + 1,
-                            i.bitwiseAND(F.lit(_BLOCK - 1)),
-                        )
-                    ),
-                ),
-            ),
-        )
-
-    return let(values, lambda v: blocked(v, depth))
-
-
-def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+def with_offsets(text: Column, pattern: str) -> Column:
+    """array<struct<piece, at, offset, end_offset>>; offsets from 0."""
+    offsets = f"transform({sql_sums('w')}, (b, i) -> b + length(s.g[i]))"
+    rows = (
+        "transform(s.p, (piece, i) -> named_struct('piece', piece, 'at', i, "
+        "'offset', o[i], 'end_offset', o[i] + length(piece)))"
+    )
+    return bind(
+        sql_let(_WIDTHS, "w", sql_let(offsets, "o", rows)), g=gaps_of(text, pattern), p=pieces_of(text, pattern)
+    )
+
+
+def sql_located(extra: str = "", with_col: bool = True) -> str:
+    """Body for ``located``: needs s.g, s.p and, for the column, the widths of the lines s.l."""
+    places = (
+        "named_struct("
+        f"'o', transform({sql_sums('u.w')}, (b, i) -> b + length(s.g[i])), "
+        f"'n', transform({sql_sums('u.n')}, (b, i) -> b + {_newlines('s.g[i]')} + 1), "
+        f"'l', {sql_sums('s.l') if with_col else '0'})"
+    )
+    col = "c.o[i] - c.l[c.n[i] - 1] + 1" if with_col else "0"
+    rows = (
+        "transform(s.p, (piece, i) -> named_struct('piece', piece, 'at', i, 'offset', c.o[i], "
+        f"'end_offset', c.o[i] + length(piece), 'line', c.n[i], 'col', {col}{extra}))"
+    )
+    return sql_let(f"named_struct('w', {_WIDTHS}, 'n', {_BREAKS})", "u", sql_let(places, "c", rows))
+
+
+def line_widths(text: Column) -> Column:
+    return F.call_function("transform", F.split(text, "\n", -1), F.expr("x -> length(x) + 1"))
 
 
 def located(text: Column, pattern: str) -> Column:
     """array<struct<piece, at, offset, end_offset, line, col>>; offsets from 0, line and col from 1."""
+    return bind(sql_located(), g=gaps_of(text, pattern), p=pieces_of(text, pattern), l=line_widths(text))
 
-    def build(gaps: Column, pieces: Column, starts: Column) -> Column:
-        widths = F.zip_with(pieces, F.slice(gaps, F.lit(1), F.size(pieces)), lambda p, g: F.length(p) + F.length(g))
-        breaks = F.zip_with(pieces, F.slice(gaps, F.lit(1), F.size(pieces)), lambda p, g: newlines(p) + newlines(g))
-        return let(
-            exclusive_sums(widths),
-            lambda before: let(
-                exclusive_sums(breaks),
-                lambda lines: F.transform(
-                    pieces,
-                    lambda piece, i: let(
-                        F.struct(
-                            (F.get(before, i) + F.length(F.get(gaps, i))).alias("offset"),
-                            (F.get(lines, i) + newlines(F.get(gaps, i)) + 1).alias("line"),
-                        ),
-                        lambda s: F.struct(
-                            piece.alias("piece"),
-                            i.alias("at"),
-                            s["offset"].alias("offset"),
-                            (s["offset"] + F.length(piece)).alias("end_offset"),
-                            s["line"].alias("line"),
-                            (s["offset"] - F.get(starts, s["line"] - 1) + 1).alias("col"),
-                        ),
-                    ),
-                ),
-            ),
-        )
-
-    line_starts = exclusive_sums(F.transform(F.split(text, "\n", -1), lambda line: F.length(line) + 1))
-    return let(
-        gaps_of(text, pattern),
-        lambda gaps: let(
-            pieces_of(text, pattern),
-            lambda pieces: let(line_starts, lambda starts: build(gaps, pieces, starts)),
-        ),
-    )
 
+def sql_runs(o: str, *fields: str) -> str:
+    """Cut the bound sorted array ``o`` into array<array<…>> of neighbours equal in the fields."""
 
-def runs(ordered: Column, same: Callable[[Column], Column]) -> Column:
-    """Cut a sorted array into array<array<…>> of neighbours that share ``same``."""
+    def key(element: str) -> str:
+        return f"struct({', '.join(f'{element}.{f}' for f in fields)})" if len(fields) > 1 else f"{element}.{fields[0]}"
 
-    def cut(s: Column) -> Column:
-        starts = F.filter(
-            F.transform(s, lambda _, i: i),
-            lambda i: (i == 0) | (same(F.get(s, i - 1)) != same(F.get(s, i))),
-        )
-        return let(
-            starts,
-            lambda st: F.transform(
-                st,
-                lambda first, k: F.slice(s, first + 1, F.coalesce(F.get(st, k + 1), F.size(s)) - first),
-            ),
-        )
+    before = key(f"get({o}, i - 1)")
+    here = key(f"get({o}, i)")
+    starts = f"filter(transform({o}, (e, i) -> i), i -> i = 0 OR {before} <> {here})"
+    return sql_let(
+        starts,
+        "st",
+        f"transform(st, (f, k) -> slice({o}, f + 1, coalesce(get(st, k + 1), size({o})) - f))",
+    )
 
-    return let(ordered, cut)
+
+def runs(ordered: Column, *fields: str) -> Column:
+    return bind(sql_runs("s.o", *fields), o=ordered)
 
 
 def slots(pieces: Column, keep: Callable[[Column], Column] | None = None) -> Column:
     """array<struct<key, at array<int>>>: every distinct piece with the places where it stands."""
-    numbered = F.transform(pieces, lambda p, i: F.struct(p.alias("key"), i.alias("at")))
+    numbered = F.call_function("transform", pieces, F.expr("(p, i) -> named_struct('key', p, 'at', i)"))
     if keep is not None:
-        numbered = F.filter(numbered, lambda s: keep(s["key"]))
-    return F.transform(
-        runs(F.array_sort(numbered), lambda s: s["key"]),
-        lambda run: F.struct(
-            F.get(run, F.lit(0))["key"].alias("key"),
-            F.transform(run, lambda s: s["at"]).alias("at"),
-        ),
+        numbered = F.filter(numbered, lambda x: keep(x["key"]))
+    return bind(
+        f"transform({sql_runs('s.o', 'key')}, r -> named_struct('key', r[0].key, 'at', transform(r, x -> x.at)))",
+        o=F.array_sort(numbered),
     )
 
 
 _PLACED = "array<struct<at:int,kept:int,value:string>>"
+_FILL = sql_let(
+    "array_sort(concat(coalesce(cast(flatten(transform(s.f, f -> "
+    f"transform(f.at, a -> named_struct('at', a, 'kept', 0, 'value', f.value)))) AS {_PLACED}), cast(array() AS {_PLACED})), "
+    f"cast(transform(s.p, (p, i) -> named_struct('at', i, 'kept', 1, 'value', p)) AS {_PLACED})))",
+    "m",
+    "array_join(zip_with(s.g, transform(filter(m, (x, i) -> i = 0 OR get(m, i - 1).at <> x.at), x -> x.value), "
+    "(g, p) -> concat(g, coalesce(p, ''))), '')",
+)
 
 
 def fill(text: Column, pattern: str, filled: Column) -> Column:
     """Put ``filled`` (array<struct<value, at array<int>>>) in place of the pieces it names."""
-    placed = F.flatten(
-        F.transform(
-            filled,
-            lambda f: F.transform(
-                f["at"],
-                lambda a: F.struct(a.alias("at"), F.lit(0).alias("kept"), f["value"].alias("value")),
-            ),
-        )
-    ).cast(_PLACED)
-    original = F.transform(
-        pieces_of(text, pattern),
-        lambda p, i: F.struct(i.alias("at"), F.lit(1).alias("kept"), p.alias("value")),
-    ).cast(_PLACED)
-    merged = F.array_sort(F.concat(F.coalesce(placed, F.array().cast(_PLACED)), original))
-    chosen = let(
-        merged,
-        lambda m: F.transform(
-            F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1)["at"] != x["at"])),
-            lambda x: x["value"],
-        ),
-    )
-    return F.when(F.coalesce(F.size(filled), F.lit(0)) <= 0, text).otherwise(
-        weave(gaps_of(text, pattern), chosen)
-    )
+    done = bind(_FILL, f=filled, g=gaps_of(text, pattern), p=pieces_of(text, pattern))
+    return F.when(F.coalesce(F.size(filled), F.lit(0)) <= 0, text).otherwise(done)

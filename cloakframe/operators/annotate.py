@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.arrays import let, located, pieces_of
+from cloakframe.functions.arrays import let, pieces_of, with_offsets
 from cloakframe.functions.patterns import WORD
 from cloakframe.operators.lookups import lookup
 
@@ -57,7 +57,7 @@ def _hits(text: Column, patterns: list[str], with_name: bool) -> Column:
     def found(number: int, pattern: str) -> Column:
         name = (lambda piece: F.regexp_extract(piece, pattern, 1)) if with_name else (lambda piece: F.lit(""))
         hits = F.transform(
-            located(text, pattern),
+            with_offsets(text, pattern),
             lambda o: F.struct(
                 F.lit(number).alias("template"), name(o["piece"]).alias("name"), o["offset"].alias("offset")
             ),
@@ -90,7 +90,7 @@ def _phrases(docs: DataFrame, patterns: list[str], with_name: bool, id_cols: lis
         )
 
     with_sentences = let(
-        F.col("_hits"), lambda hits: let(located(F.col("_text"), SENTENCE), lambda all_: around(hits, all_))
+        F.col("_hits"), lambda hits: let(with_offsets(F.col("_text"), SENTENCE), lambda all_: around(hits, all_))
     )
     return found.select(*id_cols, F.explode(with_sentences).alias("h")).select(*id_cols, "h.*")
 

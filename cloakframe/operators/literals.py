@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.arrays import gaps_of, let, located, pieces_of, runs
+from cloakframe.functions.arrays import bind, gaps_of, let, line_widths, pieces_of, runs, sql_let, sql_located
 from cloakframe.functions.patterns import (
     COMMON_FLOATS,
     DOMAIN_MARKS,
@@ -113,20 +113,34 @@ def classify_number(value: Column, context: Column) -> Column:
     return let(raw, decide)
 
 
-def _known_name(value: Column, names: Column | None) -> Column:
-    if names is None:
-        return F.lit(None).cast("string")
-    return F.array_min(F.filter(names, lambda n: (F.length(n) > 2) & F.contains(value, n)))
+def _with_surroundings() -> str:
+    """SQL body: every literal with its place, what stands around it, and its line's marks.
+
+    The 80 characters before and the 20 from a literal on are put together from at most as many
+    neighbouring pieces, so a literal costs the same wherever it stands in the text.
+    """
+    tails = f"zip_with(slice(s.g, 1, size(s.p)), s.p, (g, p) -> right(concat(g, p), {_LOOK_BACK}))"
+    heads = f"zip_with(s.p, slice(s.g, 2, size(s.p)), (p, g) -> left(concat(p, g), {_LOOK_AHEAD}))"
+    earlier = f"greatest(i - {_LOOK_BACK}, 0)"
+    before = (
+        f"right(CASE WHEN length(s.g[i]) >= {_LOOK_BACK} THEN s.g[i] ELSE "
+        f"concat(array_join(slice(k.tails, {earlier} + 1, i - {earlier}), ''), s.g[i]) END, {_LOOK_BACK})"
+    )
+    after = f"left(array_join(slice(k.heads, i + 1, {_LOOK_AHEAD}), ''), {_LOOK_AHEAD})"
+    known = "array_min(filter(s.names, n -> length(n) > 2 AND contains(btrim(piece, '\"'), n)))"
+    rows = sql_located(
+        f", 'before', {before}, 'after', {after}, 'known', {known}, 'marks', s.marks[c.n[i] - 1]"
+    )
+    return sql_let(f"named_struct('tails', {tails}, 'heads', {heads})", "k", rows)
 
 
 def literals_of(text: Column, names: Column | None = None) -> Column:
     """All literals of a text with their decision.
 
     array<struct<value, kind, at, offset, end_offset, line, action, reason, context>>. ``names``
-    are the names of the same document; a string that contains one of them is scrubbed. What
-    stands before and after a literal is put together from at most 80 neighbouring pieces.
+    are the names of the same document; a string that contains one of them is scrubbed.
     """
-    line_flags = F.transform(
+    marks = F.transform(
         F.split(text, "\n", -1),
         lambda line: F.struct(
             line.rlike(r"^\s*for").alias("looped"),
@@ -134,89 +148,36 @@ def literals_of(text: Column, names: Column | None = None) -> Column:
             F.instr(line, "for (").alias("for_at"),
         ),
     )
+    places = bind(
+        _with_surroundings(),
+        g=gaps_of(text, LITERAL),
+        p=pieces_of(text, LITERAL),
+        l=line_widths(text),
+        marks=marks,
+        names=F.lit(None).cast("array<string>") if names is None else names,
+    )
 
-    def decide(gaps, pieces, places, tails, heads, lines, known_names) -> Column:
-        def one(o: Column) -> Column:
-            i = o["at"]
-            gap = F.get(gaps, i)
-            earlier = F.greatest(i - _LOOK_BACK, F.lit(0))
-            before = F.right(
-                F.when(F.length(gap) >= _LOOK_BACK, gap).otherwise(
-                    F.concat(F.array_join(F.slice(tails, earlier + 1, i - earlier), ""), gap)
-                ),
-                F.lit(_LOOK_BACK),
-            )
-            after = F.left(F.array_join(F.slice(heads, i + 1, F.lit(_LOOK_AHEAD)), ""), F.lit(_LOOK_AHEAD))
-            flags = F.get(lines, o["line"] - 1)
-
-            def result(c: Column) -> Column:
-                looped = c["looped"] | ((c["for_at"] > 0) & (c["for_at"] + 4 <= o["col"] - 1))
-                value = F.btrim(o["piece"], F.lit('"'))
-                text_case = classify_string(
-                    value, string_context(c["before"]), c["included"], _known_name(value, known_names)
-                )
-                number_case = classify_number(
-                    o["piece"],
-                    number_context(looped, F.concat(F.right(c["before"], F.lit(10)), c["after"])),
-                )
-                quoted = o["piece"].startswith('"')
-                return let(
-                    F.when(quoted, text_case).otherwise(number_case),
-                    lambda d: F.struct(
-                        o["piece"].alias("value"),
-                        F.when(quoted, "string").otherwise("number").alias("kind"),
-                        i.alias("at"),
-                        o["offset"].alias("offset"),
-                        o["end_offset"].alias("end_offset"),
-                        o["line"].alias("line"),
-                        d["action"].alias("action"),
-                        d["reason"].alias("reason"),
-                        d["context"].alias("context"),
-                    ),
-                )
-
-            return let(
-                F.struct(
-                    before.alias("before"),
-                    after.alias("after"),
-                    flags["looped"].alias("looped"),
-                    flags["included"].alias("included"),
-                    flags["for_at"].alias("for_at"),
-                ),
-                result,
-            )
-
-        return F.transform(places, one)
-
-    def with_windows(gaps: Column, pieces: Column, places: Column) -> Column:
-        tails = F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(pieces)), pieces, lambda g, p: F.right(F.concat(g, p), F.lit(_LOOK_BACK))
+    def decided(o: Column) -> Column:
+        marks = o["marks"]
+        looped = marks["looped"] | ((marks["for_at"] > 0) & (marks["for_at"] + 4 <= o["col"] - 1))
+        quoted = o["piece"].startswith('"')
+        text_case = classify_string(
+            F.btrim(o["piece"], F.lit('"')), string_context(o["before"]), marks["included"], o["known"]
         )
-        heads = F.zip_with(
-            pieces, F.slice(gaps, F.lit(2), F.size(pieces)), lambda p, g: F.left(F.concat(p, g), F.lit(_LOOK_AHEAD))
+        number_case = classify_number(
+            o["piece"], number_context(looped, F.concat(F.right(o["before"], F.lit(10)), o["after"]))
         )
-        names_or_none = F.lit(None).cast("array<string>") if names is None else names
         return let(
-            tails,
-            lambda t: let(
-                heads,
-                lambda h: let(
-                    line_flags,
-                    lambda lines: let(
-                        names_or_none,
-                        lambda n: decide(gaps, pieces, places, t, h, lines, None if names is None else n),
-                    ),
-                ),
+            F.when(quoted, text_case).otherwise(number_case),
+            lambda d: F.struct(
+                o["piece"].alias("value"),
+                F.when(quoted, "string").otherwise("number").alias("kind"),
+                *[o[f].alias(f) for f in ("at", "offset", "end_offset", "line")],
+                *[d[f].alias(f) for f in ("action", "reason", "context")],
             ),
         )
 
-    return let(
-        gaps_of(text, LITERAL),
-        lambda gaps: let(
-            pieces_of(text, LITERAL),
-            lambda pieces: let(located(text, LITERAL), lambda places: with_windows(gaps, pieces, places)),
-        ),
-    )
+    return F.transform(places, decided)
 
 
 def literals(docs: DataFrame, names: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +234,7 @@ def scrubbed_symbols(docs: DataFrame, names: Column | None = None, id_col: str =
         ),
     )
     grouped = F.transform(
-        runs(F.array_sort(keyed), lambda s: F.struct(s["kind"], s["name"])),
+        runs(F.array_sort(keyed), "kind", "name"),
         lambda run: F.struct(
             F.get(run, F.lit(0))["name"].alias("name"),
             F.get(run, F.lit(0))["kind"].alias("kind"),

@@ -172,7 +172,7 @@ def _zone_slots(zone_list: Column) -> Column:
 
     found = F.array_sort(F.flatten(F.transform(zone_list, in_zone)))
     return F.transform(
-        runs(found, lambda s: s["token"]),
+        runs(found, "token"),
         lambda run: F.struct(
             F.get(run, F.lit(0))["token"].alias("token"),
             F.transform(run, lambda s: F.struct(s["zone"].alias("zone"), s["at"].alias("at"))).alias("at"),
