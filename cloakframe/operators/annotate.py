@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.arrays import let, pieces_of, with_offsets
 from cloakframe.functions.patterns import WORD
-from cloakframe.operators.lookups import lookup
+from cloakframe.operators.lookups import lookup, row_weights
+from cloakframe.session import materialize
 
 _N = r"`?([\p{L}_][\p{L}\p{N}_]*)`?"
 
@@ -100,15 +101,15 @@ def naming_advice(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], te
 
     Names are compared without regard to case, as whole words.
     """
-    hits = (
+    hits = materialize(
         _phrases(docs, NAMING_ADVICE, True, id_cols, text_col)
         .withColumn("key", F.lower("name"))
         .groupBy(*id_cols, "key", "template")
-        .agg(F.min_by("sentence", "offset").alias("sentence"))
+        .agg(F.min_by("sentence", "offset").alias("sentence")),
+        "advice",
     )
     names = dictionary.select(F.lower("original").alias("key"), "original", "token")
-    weights = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
-    return lookup(hits, names, ["key"], "inner", id_cols[0], weights).select(
+    return lookup(hits, names, ["key"], "inner", id_cols[0], row_weights(hits, ["key"])).select(
         *id_cols,
         F.lit("naming_advice").alias("type"),
         "original",
@@ -132,9 +133,15 @@ def stub_speculation(docs: DataFrame, stubs: DataFrame, id_cols: list[str], text
     """
     text = F.col(text_col)
     words = F.array_distinct(pieces_of(text, WORD))
-    mentions = docs.select(*id_cols, F.explode(words).alias("original"))
-    weights = mentions.groupBy("original").agg(F.count(F.lit(1)).alias("n_docs"))
-    named = lookup(mentions, stubs.select("original").distinct(), ["original"], "inner", id_cols[0], weights)
+    mentions = materialize(docs.select(*id_cols, F.explode(words).alias("original")), "mentions")
+    named = lookup(
+        mentions,
+        stubs.select("original").distinct(),
+        ["original"],
+        "inner",
+        id_cols[0],
+        row_weights(mentions, ["original"]),
+    )
     general = _phrases(docs, SPECULATION, False, id_cols, text_col)
     general = general.groupBy(*id_cols, "template").agg(F.min_by("sentence", "offset").alias("sentence"))
     about = (

@@ -178,24 +178,23 @@ def change_blocks(
             F.lit(0),
         ),
     )
-    changed = F.col("old_at").isNull() | F.col("new_at").isNull()
-    deleted = F.col("new_at").isNull()
-    order = ["anchor", F.when(deleted, 0).otherwise(1), "old_at"]
-    w = Window.partitionBy(id_col).orderBy(*order)
+    # All windows below share one sort: (id, anchor, width, old_at).
+    placed = placed.withColumn("changed", F.col("old_at").isNull() | F.col("new_at").isNull()).withColumn(
+        "width", F.when(F.col("new_at").isNull(), 0).otherwise(1)
+    )
+    w = Window.partitionBy(id_col).orderBy("anchor", "width", "old_at")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.when(changed, F.col("anchor") + F.when(deleted, 0).otherwise(1))
-    opens = F.when(changed & (F.col("anchor") - F.coalesce("_reach", F.lit(-2)) > 1), 1).otherwise(0)
+    up_to_here = w.rowsBetween(Window.unboundedPreceding, 0)
+    onwards = w.rowsBetween(0, Window.unboundedFollowing)
+    end = F.when(F.col("changed"), F.col("anchor") + F.col("width"))
+    opens = F.col("changed") & (F.col("anchor") - F.coalesce("_reach", F.lit(-2)) > 1)
     marked = (
-        placed.withColumn("changed", changed)
-        .withColumn("_reach", F.max(ends).over(so_far))
-        .withColumn("_opens", opens)
-        .withColumn("block", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn(
-            "_next",
-            F.first(F.when(F.col("changed"), F.col("block")), ignorenulls=True).over(
-                w.rowsBetween(0, Window.unboundedFollowing)
-            ),
-        )
+        placed.withColumn("_end", end)
+        .withColumn("_reach", F.max("_end").over(so_far))
+        .withColumn("_opens", F.when(opens, 1).otherwise(0))
+        .withColumn("block", F.sum("_opens").over(up_to_here))
+        .withColumn("_own", F.when(F.col("changed"), F.col("block")))
+        .withColumn("_next", F.first("_own", ignorenulls=True).over(onwards))
         .where((F.col("block") > 0) & F.col("block").eqNullSafe(F.col("_next")))
     )
 
@@ -205,9 +204,7 @@ def change_blocks(
 
     grouped = marked.groupBy(id_col, "block").agg(
         F.min(F.when(F.col("changed"), F.col("anchor"))).cast("bigint").alias("start_line"),
-        F.max(F.when(F.col("changed"), F.col("anchor") + F.when(F.col("new_at").isNull(), 0).otherwise(1)))
-        .cast("bigint")
-        .alias("end_line"),
+        F.max("_end").cast("bigint").alias("end_line"),
         F.count_if(F.col("changed") & F.col("new_at").isNull()).alias("_deleted"),
         F.count_if(F.col("changed") & F.col("new_at").isNotNull()).alias("_added"),
         F.count_if(~F.col("changed")).alias("_between"),

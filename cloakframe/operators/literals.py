@@ -13,7 +13,7 @@ from cloakframe.functions.patterns import (
     MATH_CONSTANTS,
     PRINT_CALLS,
 )
-from cloakframe.operators.masking import substitute
+from cloakframe.operators.masking import resolve, substitute
 
 _LOOK_BACK = 80
 _LOOK_AHEAD = 20
@@ -253,8 +253,7 @@ def mask_literals(
     text_col: str = "text",
 ) -> DataFrame:
     """Put tokens in place of the scrubbed literals; strings keep their quotes."""
-    entries = dictionary.select("kind", "scope", F.col("original").alias("name"), "token")
-    resolved = scrubbed.join(entries, ["kind", "scope", "name"]).select(
+    resolved = resolve(scrubbed, dictionary, id_col).select(
         id_col,
         F.when(F.col("kind") == "string", F.concat(F.lit('"'), "token", F.lit('"')))
         .otherwise(F.col("token"))

@@ -14,15 +14,18 @@ HOT_FLOOR = 100_000
 
 def hot_keys(weights: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Keys that hold a large share of all rows, with the number of ways to split each."""
-    total = weights.agg(F.sum(weight).alias("_total"))
-    limit = F.greatest(F.col("_total") / HOT_SHARE, F.lit(HOT_FLOOR))
-    return (
-        weights.crossJoin(F.broadcast(total))
-        .where(F.col(weight) > limit)
-        .select(*keys, F.ceil(F.col(weight) / limit).cast("int").alias("_ways"))
+    total = weights.agg(F.sum(weight).alias("total")).scalar()
+    limit = F.greatest(F.coalesce(total, F.lit(0)) / HOT_SHARE, F.lit(HOT_FLOOR))
+    return weights.where(F.col(weight) > limit).select(
+        *keys, F.ceil(F.col(weight) / limit).cast("int").alias("_ways")
     )
 
 
+def row_weights(facts: DataFrame, keys: list[str], weight: str = "n_docs") -> DataFrame:
+    """Rows per key, combined on the map side."""
+    return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias(weight))
+
+
 def lookup(
     facts: DataFrame,
     table: DataFrame,

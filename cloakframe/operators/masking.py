@@ -33,6 +33,17 @@ def substitute(
     return joined.select(*columns)
 
 
+def resolve(symbols: DataFrame, dictionary: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The token of every symbol row (id, name, kind, scope, …).
+
+    Names are as uneven as words are: those found in a large share of all documents, by the counts
+    in the dictionary, are spread over several partitions.
+    """
+    keys = ["kind", "scope", "name"]
+    entries = dictionary.select("kind", "scope", F.col("original").alias("name"), "token", "n_docs")
+    return lookup(symbols, entries.drop("n_docs"), keys, "inner", id_col, entries.drop("token"))
+
+
 def rename(
     docs: DataFrame,
     symbols: DataFrame,
@@ -43,17 +54,8 @@ def rename(
     count_as: str | None = None,
 ) -> DataFrame:
     """Replace every bound occurrence of a symbol by its token."""
-    keyed = symbols.withColumnRenamed("name", "original")
-    entries = dictionary.select("kind", "scope", "original", F.col("token").alias("value"))
-    resolved = lookup(
-        keyed,
-        entries,
-        ["kind", "scope", "original"],
-        "inner",
-        spread=id_col,
-        weights=dictionary.select("kind", "scope", "original", "n_docs"),
-    )
-    return substitute(docs, resolved.select(id_col, "value", "at"), SCAN[language], id_col, text_col, count_as)
+    resolved = resolve(symbols, dictionary, id_col).select(id_col, F.col("token").alias("value"), "at")
+    return substitute(docs, resolved, SCAN[language], id_col, text_col, count_as)
 
 
 def mask_span(text: Column, start: Column, length: Column, transform) -> Column:
@@ -194,10 +196,7 @@ def generalize_bounds(
     text_col: str = "text",
 ) -> DataFrame:
     """Replace loop bounds by constant tokens; the text before the number stays."""
-    entries = dictionary.select("kind", "scope", F.col("original").alias("name"), "token")
-    resolved = found.join(entries, ["kind", "scope", "name"]).select(
-        id_col, F.concat("lead", "token").alias("value"), "at"
-    )
+    resolved = resolve(found, dictionary, id_col).select(id_col, F.concat("lead", "token").alias("value"), "at")
     return substitute(docs, resolved, pattern, id_col, text_col)
 
 

@@ -75,22 +75,19 @@ def resolve_policy(policies: DataFrame) -> DataFrame:
 
 def apply_policy(requests: DataFrame, policy: DataFrame, level_col: str = "level") -> DataFrame:
     """Effective level, status and reason per request; ``policy`` has exactly one row."""
-    level = F.coalesce(F.col(level_col), F.col("default_scrub_level"))
-    blocked = F.col("block_level_1") & (level == 1)
-    below = level < F.col("min_scrub_level")
+    minimum = policy.select("min_scrub_level").scalar()
+    level = F.coalesce(F.col(level_col), policy.select("default_scrub_level").scalar())
+    blocked = policy.select("block_level_1").scalar() & (level == 1)
+    below = level < minimum
     return (
-        requests.crossJoin(
-            F.broadcast(policy.select("min_scrub_level", "default_scrub_level", "block_level_1").limit(1))
-        )
-        .withColumn("effective_level", level)
+        requests.withColumn("effective_level", level)
         .withColumn("status", F.when(blocked | below, "rejected").otherwise("accepted"))
         .withColumn(
             "reason",
             F.when(blocked, "level 1 is blocked")
-            .when(below, F.concat(F.lit("minimum level is "), F.col("min_scrub_level").cast("string")))
+            .when(below, F.concat(F.lit("minimum level is "), minimum.cast("string")))
             .otherwise(""),
         )
-        .drop("min_scrub_level", "default_scrub_level", "block_level_1")
     )
 
 

@@ -8,22 +8,19 @@ from pyspark.sql import functions as F
 from cloakframe.functions.arrays import fill, gaps_of, let, pieces_of, runs, slots
 from cloakframe.functions.patterns import IS_TOKEN, PLACEHOLDER, WORD
 from cloakframe.operators.dictionary import tokens_in
-from cloakframe.operators.lookups import lookup
+from cloakframe.operators.lookups import lookup, row_weights
 from cloakframe.operators.masking import substitute
+from cloakframe.session import materialize
 
 
-def token_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, token, at): distinct tokens of a text with their places among its words."""
+def token_slots(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
+    """(ids, token, at): distinct tokens of a text with their places among its words."""
     found = slots(pieces_of(F.col(text_col), WORD), lambda w: w.rlike(IS_TOKEN))
-    return docs.select(id_col, F.explode(found).alias("s")).select(
-        id_col, F.col("s.key").alias("token"), F.col("s.at").alias("at")
+    return docs.select(*id_cols, F.explode(found).alias("s")).select(
+        *id_cols, F.col("s.key").alias("token"), F.col("s.at").alias("at")
     )
 
 
-def _weights(slots_: DataFrame, keys: list[str]) -> DataFrame:
-    return slots_.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"))
-
-
 def unmask(
     docs: DataFrame,
     dictionary: DataFrame,
@@ -36,14 +33,14 @@ def unmask(
 
     Adds ``n_restored`` (distinct tokens) and ``unknown`` (sorted, listed before they are marked).
     With ``map_col`` every document is restored from the dictionary of that name. Tokens met in a
-    large share of all texts are spread over several tasks.
+    large share of all texts are spread over several tasks; to count them, the places of the tokens
+    are written once, which also saves a second scan of the texts.
     """
     keys = ["token"] if map_col is None else [map_col, "token"]
-    found = token_slots(docs, id_col, text_col)
-    if map_col is not None:
-        found = docs.select(id_col, map_col).join(found, id_col)
+    kept = [id_col] if map_col is None else [id_col, map_col]
+    found = materialize(token_slots(docs, kept, text_col), "tokens")
     entries = dictionary.select(*keys, "original")
-    resolved = lookup(found, entries, keys, "left", spread=id_col, weights=_weights(found, keys))
+    resolved = lookup(found, entries, keys, "left", spread=id_col, weights=row_weights(found, keys))
     value = F.coalesce(
         F.col("original"),
         F.concat(F.lit("NEW_"), F.col("token")) if mark_unknown else F.col("token"),
@@ -187,8 +184,11 @@ def unmask_replies(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], t
     between them), n_restored, new_symbols and new_dependencies.
     """
     replies = docs.withColumn("_zones", zones_of(F.col(text_col)))
-    found = replies.select(*id_cols, F.explode(_zone_slots(F.col("_zones"))).alias("s")).select(
-        *id_cols, F.col("s.token").alias("token"), F.col("s.at").alias("at")
+    found = materialize(
+        replies.select(*id_cols, F.explode(_zone_slots(F.col("_zones"))).alias("s")).select(
+            *id_cols, F.col("s.token").alias("token"), F.col("s.at").alias("at")
+        ),
+        "reply-tokens",
     )
     resolved = lookup(
         found,
@@ -196,7 +196,7 @@ def unmask_replies(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], t
         ["token"],
         "left",
         spread=id_cols[0],
-        weights=_weights(found, ["token"]),
+        weights=row_weights(found, ["token"]),
     )
     per_reply = resolved.groupBy(*id_cols).agg(
         F.collect_list(F.struct("token", "original", "at")).alias("_found")

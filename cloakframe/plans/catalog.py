@@ -358,10 +358,7 @@ def mask_personal_data(spark, sf):
     docs = doc_texts(spark, sf)
     found = materialize(extract.symbols_by_rule(docs), "personal")
     entries = dic.build_dictionary(found)
-    keyed = found.withColumnRenamed("name", "original")
-    resolved = keyed.join(
-        entries.select(*dic.KEY, F.col("token").alias("value")), dic.KEY
-    ).select("doc_id", "value", "at")
+    resolved = masking.resolve(found, entries).select("doc_id", F.col("token").alias("value"), "at")
     out = masking.substitute(docs, resolved, extract.rule_pattern(PERSONAL_DATA))
     return out.select("doc_id", sha(F.col("text")).alias("masked_sha"))
 

@@ -75,11 +75,11 @@ def read_json_headers(spark: SparkSession, path: str) -> DataFrame:
 def write_json_map(dictionary: DataFrame, path: str, files: DataFrame | None = None) -> bool:
     """Write JSON; True if it became one map object, False if one object per line.
 
-    ``files`` is (token, file). A dictionary too large for one object is written as lines.
+    ``files`` is (token, file). What is too large for one object is written as lines.
     """
     entries = dictionary.select("token", "original", "kind", "scope")
-    count = dictionary.limit(ONE_OBJECT_LIMIT + 1).count()
-    if count > ONE_OBJECT_LIMIT:
+    sizes = [d.limit(ONE_OBJECT_LIMIT + 1).count() for d in (dictionary, files) if d is not None]
+    if max(sizes) > ONE_OBJECT_LIMIT:
         entries.write.mode("errorifexists").json(path)
         return False
     empty = F.array().cast("array<string>")
@@ -140,17 +140,21 @@ def encrypt_dictionary(dictionary: DataFrame, passphrase: str, salt: bytes | Non
 
 
 def decrypt_dictionary(encrypted: DataFrame, passphrase: str) -> DataFrame:
-    """The dictionary again; ValueError if any row does not decrypt."""
-    first = encrypted.select("salt").head()
+    """The dictionary again.
+
+    ValueError if the passphrase is wrong, seen on one row; a damaged row fails the job that reads it.
+    """
+    first = encrypted.select("salt", "secret").head()
     if first is None:
         raise ValueError("no encrypted entries")
     if len(first.salt) < SALT_SIZE:
         raise ValueError("encrypted data is too short, the file may be corrupted")
-    plain = encrypted.withColumn("_plain", decrypt_col(F.col("secret"), derive_key(passphrase, bytes(first.salt))))
-    if not plain.where(F.col("_plain").isNull()).isEmpty():
+    plain = decrypt_col(F.col("secret"), derive_key(passphrase, bytes(first.salt)))
+    if encrypted.limit(1).select(plain.alias("p")).head().p is None:
         raise ValueError("decryption failed: wrong passphrase or corrupted data")
-    fields = F.from_json("_plain", "original string, kind string, scope string")
-    return plain.withColumn("_f", fields).select(
+    whole = F.coalesce(plain, F.raise_error(F.lit("decryption failed: corrupted data")).cast("string"))
+    fields = F.from_json(whole, "original string, kind string, scope string")
+    return encrypted.withColumn("_f", fields).select(
         "token", "prefix", "seq", "_f.original", "_f.kind", "_f.scope", "n_docs"
     )
 
