@@ -154,14 +154,24 @@ def slots(pieces: Column, keep: Callable[[Column], Column] | None = None) -> Col
     )
 
 
-_PLACED = "array<struct<at:int,kept:int,value:string>>"
+_PLACED = "array<struct<at:int,value:string>>"
+_GIVEN = (
+    "cast(flatten(transform(s.f, f -> transform(f.at, a -> named_struct('at', a, 'value', f.value)))) "
+    f"AS {_PLACED})"
+)
+_KEPT = (
+    "cast(transform(array_except(transform(s.p, (p, i) -> i), transform(q, x -> x.at)), "
+    f"i -> named_struct('at', i, 'value', s.p[i])) AS {_PLACED})"
+)
+_ONE_EACH = "CASE WHEN size(m) = size(s.p) THEN m ELSE filter(m, (x, i) -> i = 0 OR get(m, i - 1).at <> x.at) END"
 _FILL = sql_let(
-    "array_sort(concat(coalesce(cast(flatten(transform(s.f, f -> "
-    f"transform(f.at, a -> named_struct('at', a, 'kept', 0, 'value', f.value)))) AS {_PLACED}), cast(array() AS {_PLACED})), "
-    f"cast(transform(s.p, (p, i) -> named_struct('at', i, 'kept', 1, 'value', p)) AS {_PLACED})))",
-    "m",
-    "array_join(zip_with(s.g, transform(filter(m, (x, i) -> i = 0 OR get(m, i - 1).at <> x.at), x -> x.value), "
-    "(g, p) -> concat(g, coalesce(p, ''))), '')",
+    _GIVEN,
+    "q",
+    sql_let(
+        f"array_sort(concat(q, {_KEPT}))",
+        "m",
+        f"array_join(zip_with(s.g, {_ONE_EACH}, (g, x) -> concat(g, coalesce(x.value, ''))), '')",
+    ),
 )
 
 

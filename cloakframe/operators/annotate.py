@@ -71,9 +71,8 @@ def _hits(text: Column, patterns: list[str], with_name: bool) -> Column:
 def _phrases(docs: DataFrame, patterns: list[str], with_name: bool, id_cols: list[str], text_col: str) -> DataFrame:
     """(ids, template, name, offset, sentence): every phrase found, with the sentence around it."""
     text = F.col(text_col)
-    found = docs.select(*id_cols, text.alias("_text"), _hits(text, patterns, with_name).alias("_hits")).where(
-        F.size("_hits") > 0
-    )
+    found = docs.select(*id_cols, text.alias("_text"), _hits(text, patterns, with_name).alias("_hits"))
+    none = F.array().cast("array<struct<template:int,name:string,offset:int,sentence:string>>")
 
     def around(hits: Column, all_: Column) -> Column:
         def sentence(h: Column) -> Column:
@@ -91,7 +90,10 @@ def _phrases(docs: DataFrame, patterns: list[str], with_name: bool, id_cols: lis
         )
 
     with_sentences = let(
-        F.col("_hits"), lambda hits: let(with_offsets(F.col("_text"), SENTENCE), lambda all_: around(hits, all_))
+        F.col("_hits"),
+        lambda hits: F.when(F.size(hits) == 0, none).otherwise(
+            let(with_offsets(F.col("_text"), SENTENCE), lambda all_: around(hits, all_))
+        ),
     )
     return found.select(*id_cols, F.explode(with_sentences).alias("h")).select(*id_cols, "h.*")
 
