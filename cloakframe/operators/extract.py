@@ -215,16 +215,16 @@ _CPP_TYPE = rf"(?:(?:const|static|constexpr|unsigned|signed|inline|virtual|mutab
 _CPP_RULES = [
     # (kind, pattern, group of the name, group of the scope or 0)
     ("namespace", rf"\bnamespace\s+({NAME})", 1, 0),
-    ("class", rf"\bclass\s+({NAME})", 1, 0),
+    ("class", rf"(?<!enum\s)\bclass\s+({NAME})", 1, 0),
     ("struct", rf"\bstruct\s+({NAME})", 1, 0),
     ("enum", rf"\benum\s+(?:class\s+)?({NAME})", 1, 0),
     ("typedef", rf"\btypedef\s+[^;]*?({NAME})\s*;", 1, 0),
     ("type_alias", rf"\busing\s+({NAME})\s*=", 1, 0),
     ("macro", rf"#define\s+({NAME})", 1, 0),
     ("method", rf"({NAME})::({NAME})\s*\([^;{{}}]*\)[^;{{}}]*\{{", 2, 1),
-    ("function", rf"(?:^|[;{{}}\n])\s*{_CPP_TYPE}({NAME})\s*\(", 1, 0),
+    ("function", rf"(?:^|[;{{}}\n])\s*{_CPP_TYPE}({NAME})\s*(?=\()", 1, 0),
     ("parameter", rf"[(,]\s*{_CPP_TYPE}({NAME})\s*(?=[,)=])", 1, 0),
-    ("variable", rf"(?:^|[;{{}}(\n])\s*{_CPP_TYPE}({NAME})\s*(?:=|;|\[|\{{)", 1, 0),
+    ("variable", rf"(?:^|[;{{}}(\n])\s*{_CPP_TYPE}({NAME})\s*(?=[=;\[{{])", 1, 0),
 ]
 
 
