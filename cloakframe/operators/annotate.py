@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.arrays import let, pieces_of, with_offsets
 from cloakframe.functions.patterns import WORD
+from cloakframe.operators.dictionary import reverse_map
 from cloakframe.operators.lookups import lookup, row_weights
 from cloakframe.session import materialize
 
@@ -101,7 +102,8 @@ def _phrases(docs: DataFrame, patterns: list[str], with_name: bool, id_cols: lis
 def naming_advice(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Advice about names that were tokens: the first hit per document, name and phrase.
 
-    Names are compared without regard to case, as whole words.
+    Names are compared without regard to case, as whole words; a name with several tokens is
+    spoken of under its last one.
     """
     hits = materialize(
         _phrases(docs, NAMING_ADVICE, True, id_cols, text_col)
@@ -110,7 +112,7 @@ def naming_advice(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], te
         .agg(F.min_by("sentence", "offset").alias("sentence")),
         "advice",
     )
-    names = dictionary.select(F.lower("original").alias("key"), "original", "token")
+    names = reverse_map(dictionary).withColumn("key", F.lower("original"))
     return lookup(hits, names, ["key"], "inner", id_cols[0], row_weights(hits, ["key"])).select(
         *id_cols,
         F.lit("naming_advice").alias("type"),

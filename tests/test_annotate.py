@@ -7,7 +7,8 @@ TEXT = (
 
 
 def _entries(spark):
-    return spark.createDataFrame([("gv_001", "rate"), ("gf_001", "stubbed")], "token string, original string")
+    rows = [("gv_001", 1, "rate"), ("gf_001", 1, "stubbed")]
+    return spark.createDataFrame(rows, "token string, seq long, original string")
 
 
 def test_six_phrases_about_names(spark, texts):
