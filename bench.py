@@ -14,8 +14,8 @@ from cloakframe.session import local_session
 # One query per kind of work; the stored dictionary is built by dict_store before those that use it.
 HEADLINE = """
 corpus_profile occurrences symbols_by_rule dict_build dict_multi_table dict_merge dict_reverse
-mask_level1 mask_rename mask_personal_data strip_comments literals_extract literals_string_class mask_literals
-text_sections unmask unmask_zones section_changes confidence change_blocks change_describe
+mask_level1 mask_level2 mask_rename mask_personal_data strip_comments literals_extract literals_string_class mask_literals
+sections unmask unmask_zones section_changes confidence change_blocks change_describe
 risk_patterns risk_score risk_rollup audit_recent audit_totals naming_advice stub_speculation
 stream_audit stream_totals stream_mask
 """.split()

@@ -127,7 +127,10 @@ def _with_surroundings() -> str:
         f"concat(array_join(slice(k.tails, {earlier} + 1, i - {earlier}), ''), s.g[i]) END, {_LOOK_BACK})"
     )
     after = f"left(array_join(slice(k.heads, i + 1, {_LOOK_AHEAD}), ''), {_LOOK_AHEAD})"
-    known = "array_min(filter(s.names, n -> length(n) > 2 AND contains(btrim(piece, '\"'), n)))"
+    known = (
+        "CASE WHEN left(piece, 1) = '\"' THEN "
+        "array_min(filter(s.names, n -> length(n) > 2 AND contains(btrim(piece, '\"'), n))) END"
+    )
     rows = sql_located(
         f", 'before', {before}, 'after', {after}, 'known', {known}, 'marks', s.marks[c.n[i] - 1]"
     )
@@ -197,22 +200,33 @@ def literals(docs: DataFrame, names: Column | None = None, id_col: str = "doc_id
     )
 
 
-def literal_summary(docs: DataFrame, names: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: counts by action, the first ten kept values, and every flagged value with its line."""
-    rows = docs.select(id_col, literals_of(F.col(text_col), names).alias("l"))
+def literal_arrays(docs: DataFrame, names: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, literals): all literals of a document in one array, to be stored and used more than once."""
+    return docs.select(id_col, literals_of(F.col(text_col), names).alias("literals"))
+
+
+def _with_action(action: str) -> Column:
+    return F.filter("literals", lambda x: x["action"] == action)
 
-    def with_action(action: str) -> Column:
-        return F.filter("l", lambda x: x["action"] == action)
 
-    return rows.select(
+def literal_counts(arrays: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per document: n_scrub, n_keep, n_flag."""
+    return arrays.select(
+        id_col, *[F.size(_with_action(a)).cast("bigint").alias(f"n_{a}") for a in ("scrub", "keep", "flag")]
+    )
+
+
+def literal_summary(arrays: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per document: counts by action, the first ten kept values, and every flagged value with its line."""
+    return arrays.select(
         id_col,
-        F.size(with_action("scrub")).cast("bigint").alias("n_scrub"),
-        F.size(with_action("keep")).cast("bigint").alias("n_keep"),
-        F.size(with_action("flag")).cast("bigint").alias("n_flag"),
-        F.array_join(F.transform(F.slice(with_action("keep"), 1, 10), lambda x: x["value"]), ", ").alias("kept_sample"),
+        F.size(_with_action("scrub")).cast("bigint").alias("n_scrub"),
+        F.size(_with_action("keep")).cast("bigint").alias("n_keep"),
+        F.size(_with_action("flag")).cast("bigint").alias("n_flag"),
+        F.array_join(F.transform(F.slice(_with_action("keep"), 1, 10), lambda x: x["value"]), ", ").alias("kept_sample"),
         F.array_join(
             F.transform(
-                with_action("flag"),
+                _with_action("flag"),
                 lambda x: F.concat(x["line"].cast("string"), F.lit(": "), x["value"], F.lit(" - "), x["reason"]),
             ),
             "\n",
@@ -220,11 +234,10 @@ def literal_summary(docs: DataFrame, names: Column | None = None, id_col: str =
     )
 
 
-def scrubbed_symbols(docs: DataFrame, names: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scrubbed_symbols(arrays: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Literals to scrub as symbols: (id, name, kind, scope, at), strings without the quotes around them."""
-    kept = F.filter(literals_of(F.col(text_col), names), lambda x: x["action"] == "scrub")
     keyed = F.transform(
-        kept,
+        _with_action("scrub"),
         lambda x: F.struct(
             F.when(x["kind"] == "string", "string").otherwise("constant").alias("kind"),
             F.when(x["kind"] == "string", F.substring(x["value"], F.lit(2), F.length(x["value"]) - 2))
@@ -242,7 +255,7 @@ def scrubbed_symbols(docs: DataFrame, names: Column | None = None, id_col: str =
             F.transform(run, lambda s: s["at"]).alias("at"),
         ),
     )
-    return docs.select(id_col, F.explode(grouped).alias("s")).select(id_col, "s.*")
+    return arrays.select(id_col, F.explode(grouped).alias("s")).select(id_col, "s.*")
 
 
 def mask_literals(

@@ -15,7 +15,7 @@ from cloakframe.operators import annotate, audit, compare, extract, literals, ma
 from cloakframe.operators import dictionary as dic
 from cloakframe.operators import unmask as un
 from cloakframe.operators.lookups import lookup
-from cloakframe.plans.mask import mask, restore
+from cloakframe.plans.mask import audit_of, mask, restore, risk_of
 from cloakframe.session import materialize, shared_dir
 from cloakframe.sources.audit_log import append_entries
 from cloakframe.sources.corpus import read_table, spread
@@ -339,20 +339,39 @@ def mask_level1(spark, sf):
     return out.select("doc_id", sha(F.col("text")).alias("masked_sha"), F.col("symbols_scrubbed").alias("n_tokens"))
 
 
-def mask_level2(spark, sf):
-    out = mask(doc_texts(spark, sf), level=2)
-    back = restore(out).select("doc_id", F.col("text").alias("restored"))
+def _masked_and_back(spark, sf, level: int, **options) -> DataFrame:
+    docs = doc_texts(spark, sf)
+    out = mask(docs, level=level, **options)
+    back = restore(out).select("doc_id", sha(F.col("text")).alias("after"))
     return (
         out.docs.join(back, "doc_id")
-        .join(doc_texts(spark, sf).withColumnRenamed("text", "original"), "doc_id")
+        .join(docs.select("doc_id", sha(F.col("text")).alias("before")), "doc_id")
         .select(
-            "doc_id",
-            F.length("text").cast("bigint").alias("n_chars"),
-            (F.col("restored") == F.col("original")).alias("same_after_restore"),
+            "doc_id", sha(F.col("text")).alias("masked_sha"), (F.col("before") == F.col("after")).alias("same_after_restore")
         )
     )
 
 
+def mask_level2(spark, sf):
+    """Names, then literals of the renamed text, then the way back."""
+    return _masked_and_back(spark, sf, 2)
+
+
+def mask_level4(spark, sf):
+    """All stages for running text; every number above 1 counts as a bound."""
+    return _masked_and_back(spark, sf, 4, bound_pattern=masking.ANY_NUMBER)
+
+
+def masking_risk(spark, sf):
+    """Risk and audit of a masking job by what it counted itself."""
+    out = mask(doc_texts(spark, sf), level=2)
+    report = risk_of(out).select("doc_id", "total_symbols", F.col("literals.flagged").alias("flagged"), "exposure_level")
+    entries = audit_of(out, "doc_id").select(
+        F.element_at("source_files", 1).cast("bigint").alias("doc_id"), "symbols_scrubbed", "literals_scrubbed"
+    )
+    return report.join(entries, "doc_id")
+
+
 def mask_personal_data(spark, sf):
     """Only what the rule table finds is replaced; the rest of the text stays readable."""
     docs = doc_texts(spark, sf)
@@ -413,14 +432,14 @@ def literals_number_class(spark, sf):
 
 
 def literals_summary(spark, sf):
-    return literals.literal_summary(pages(spark, sf), title_words(F.col("text")), id_col="page_id")
+    arrays = literals.literal_arrays(pages(spark, sf), title_words(F.col("text")), id_col="page_id")
+    return literals.literal_summary(arrays, "page_id")
 
 
 def mask_literals(spark, sf):
     table = pages(spark, sf)
-    found = materialize(
-        literals.scrubbed_symbols(table, title_words(F.col("text")), id_col="page_id"), "scrubbed"
-    )
+    arrays = literals.literal_arrays(table, title_words(F.col("text")), id_col="page_id")
+    found = materialize(literals.scrubbed_symbols(arrays, "page_id"), "scrubbed")
     out = literals.mask_literals(table, found, dic.build_dictionary(found), id_col="page_id")
     return out.select("page_id", sha(F.col("text")).alias("masked_sha"))
 
@@ -448,7 +467,7 @@ def isolate_section(spark, sf):
     return sections.isolate_rows(rows, "conv_id", "turn", "text", stub)
 
 
-def text_sections(spark, sf):
+def section_rows(spark, sf):
     found = sections.sections(doc_texts(spark, sf), header=SECTION_HEADER)
     return found.select("doc_id", "name", "start_line", "end_line", sha(F.col("body")).alias("body_sha"))
 
@@ -584,7 +603,7 @@ def risk_symbol_pivot(spark, sf):
 
 def _report(spark, sf):
     docs = structured(spark, sf)
-    counted = literals.literal_summary(docs).select("doc_id", "n_scrub", "n_keep", "n_flag")
+    counted = literals.literal_counts(literals.literal_arrays(docs))
     counts = risk.symbol_counts(extract.symbols_by_rule(docs))
     report = risk.risk_report(docs, 3, counts=counts, literal_counts=counted)
     return report.join(docs.select("doc_id", "lang", "source"), "doc_id")
@@ -790,10 +809,10 @@ QUERIES = {
         comment_spans, import_names,
         dict_build, dict_multi_table, dict_merge, dict_lookup, dict_reverse, dict_summary, dict_browse,
         dict_files, token_hover, token_collisions, dict_encrypt_roundtrip,
-        mask_rename, mask_level1, mask_level2, mask_personal_data, mask_span, strip_comments,
+        mask_rename, mask_level1, mask_level2, mask_level4, masking_risk, mask_personal_data, mask_span, strip_comments,
         anonymize_comments, restored_comments, literals_extract, literals_string_class,
         literals_number_class, literals_summary, mask_literals, format_spec_keep, generalize_numbers,
-        isolate_section, text_sections, called_names,
+        isolate_section, section_rows, called_names,
         unmask, unknown_tokens, roundtrip, zones, unmask_zones, dependencies,
         section_changes, token_except, dependency_except, confidence, change_blocks, change_describe,
         change_annotations,
@@ -803,3 +822,4 @@ QUERIES = {
         stream_audit, stream_totals, stream_mask,
     ]
 }
+QUERIES["sections"] = QUERIES.pop("section_rows")

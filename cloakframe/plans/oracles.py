@@ -369,14 +369,16 @@ SEEN = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN
 REPORT = (
     classified(f"(SELECT doc_id, {STRUCTURED} AS text FROM documents)", "doc_id", "NULL::VARCHAR[]")
     + f""",
-flags AS (SELECT doc_id, count(*) FILTER (action = 'flag') AS flagged FROM lits GROUP BY 1),
+flags AS (SELECT doc_id, count(*) FILTER (action = 'flag') AS flagged, count(*) FILTER (action = 'scrub') AS scrubbed,
+    count(*) FILTER (action = 'keep') AS kept FROM lits GROUP BY 1),
 rule_hits AS (
   SELECT doc_id, count(DISTINCT w) AS total, count(DISTINCT w) FILTER ({rule_case('kind', 'w')} = 'string') AS strings,
     count(DISTINCT w) FILTER ({rule_case('kind', 'w')} = 'constant') AS constants
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, {q(RULE_PATTERN)})) AS w FROM {STRUCTURED_DOCS}) GROUP BY 1),
 base AS (
   SELECT d.doc_id, lang, source, coalesce(total, 0) AS total_symbols, coalesce(strings, 0) AS strings,
-    coalesce(constants, 0) AS constants, coalesce(flagged, 0) AS flagged, len({SEEN}) AS n
+    coalesce(constants, 0) AS constants, coalesce(flagged, 0) AS flagged, coalesce(scrubbed, 0) AS scrubbed,
+    coalesce(kept, 0) AS kept, {SEEN} AS seen, len({SEEN}) AS n
   FROM {STRUCTURED_DOCS} d LEFT JOIN flags USING (doc_id) LEFT JOIN rule_hits USING (doc_id)),
 report AS (
   SELECT *, (CASE WHEN flagged > 5 THEN 2 WHEN flagged > 0 THEN 1 ELSE 0 END + 1
@@ -386,6 +388,13 @@ leveled AS (
   FROM report)"""
 )
 
+REASONS = """list_filter([
+  CASE WHEN flagged > 5 THEN flagged || ' literals flagged for review (still present in the output)'
+       WHEN flagged > 0 THEN flagged || ' literal(s) flagged for review' END,
+  'Level 3+ but nothing isolated: the full structure is visible',
+  CASE WHEN n >= 4 THEN n || ' structural patterns visible, together they may narrow the domain'
+       WHEN n >= 2 THEN n || ' structural patterns visible' END], lambda x: x IS NOT NULL)"""
+
 LOG = """
 log AS (
   SELECT event_id, ts AS "timestamp", CASE WHEN event_type IN ('view', 'click') THEN 'hide'
@@ -416,6 +425,23 @@ masked AS ({MASKED}), counts AS (SELECT doc_id, count(*) AS n FROM doc_names GRO
 SELECT doc_id, sha256(t) AS masked_sha, coalesce(n, 0)::BIGINT AS n_tokens FROM masked LEFT JOIN counts USING (doc_id)"""
 
 
+LEVEL_TWO = (
+    f"""{WORDS},{pieces('p', 'documents', 'doc_id', 'text', W)},
+names_of AS (SELECT doc_id, list(name) AS names FROM doc_names GROUP BY 1),
+renamed AS (SELECT m.doc_id, m.t AS text, coalesce(names, []) AS names FROM ({MASKED}) m LEFT JOIN names_of USING (doc_id)),
+{classified('renamed', 'doc_id', 'names')},
+scrubs AS (
+  SELECT doc_id, i, CASE WHEN kind = 'string' THEN substring(value, 2, length(value) - 2) ELSE value END AS original,
+    CASE WHEN kind = 'string' THEN 'string' ELSE 'constant' END AS kind FROM lits WHERE action = 'scrub'),
+{numbered('lit_d2', "SELECT original, kind, '' AS scope, count(DISTINCT doc_id) AS n_docs FROM scrubs GROUP BY 1, 2")},
+lit_tokens AS (
+  SELECT doc_id, i, CASE WHEN kind = 'string' THEN '"' || token || '"' ELSE token END AS tok FROM scrubs JOIN lit_d2 USING (original, kind))"""
+)
+LEVEL_TWO_TEXT = woven(
+    "lit", "doc_id", "SELECT lit_u.doc_id, lit_u.i, g, coalesce(tok, w) AS r FROM lit_u LEFT JOIN lit_tokens USING (doc_id, i)"
+)
+
+
 def _describe() -> str:
     """The description rules, as far as they do not need a look-behind."""
     clean = r"list_filter(list_transform({0}, lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> '')"
@@ -571,6 +597,24 @@ ORACLES: dict[str, str] = {
     "mask_rename": MASK_RENAME,
     "mask_level1": MASK_RENAME,
     "stream_mask": MASK_RENAME,
+    "mask_level2": f"""WITH {LEVEL_TWO}, m AS ({LEVEL_TWO_TEXT})
+        SELECT doc_id, sha256(t) AS masked_sha, true AS same_after_restore FROM m""",
+    "mask_level4": rf"""WITH {LEVEL_TWO}, two AS ({LEVEL_TWO_TEXT}),
+        {pieces('b', '(SELECT doc_id, t AS text FROM two)', 'doc_id', 'text', r'[\p{L}\p{N}_.]+')},
+        b_w AS (SELECT DISTINCT doc_id, w FROM b_u WHERE regexp_full_match(w, '[0-9]+') AND ltrim(w, '0') NOT IN ('', '1')),
+        b_n AS (SELECT w, row_number() OVER (ORDER BY w) + (SELECT count(*) FROM lit_d2 WHERE prefix = 'gc') AS seq
+          FROM (SELECT DISTINCT w FROM b_w)),
+        m AS ({woven('b', 'doc_id', "SELECT b_u.doc_id, i, g, CASE WHEN seq IS NULL THEN b_u.w ELSE 'gc_' || CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END END AS r FROM b_u LEFT JOIN b_n USING (w)")})
+        SELECT doc_id, sha256(t) AS masked_sha, true AS same_after_restore FROM m""",
+    "masking_risk": f"""WITH {LEVEL_TWO}, m AS ({LEVEL_TWO_TEXT}),
+        c AS (SELECT doc_id, count(*) FILTER (action = 'flag') AS flagged, count(*) FILTER (action = 'scrub') AS scrubbed FROM lits GROUP BY 1),
+        k AS (SELECT doc_id, count(*) AS n FROM doc_names GROUP BY 1),
+        j AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(flagged, 0) AS flagged, coalesce(scrubbed, 0) AS scrubbed,
+            len({SEEN}) AS seen FROM (SELECT doc_id, t AS text FROM m) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)),
+        e AS (SELECT *, CASE WHEN flagged > 5 THEN 2 WHEN flagged > 0 THEN 1 ELSE 0 END
+            + CASE WHEN seen >= 4 THEN 2 WHEN seen >= 2 THEN 1 ELSE 0 END AS score FROM j)
+        SELECT doc_id, n AS total_symbols, flagged, CASE WHEN score >= 4 THEN 'HIGH' WHEN score >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS exposure_level,
+          n AS symbols_scrubbed, scrubbed AS literals_scrubbed FROM e""",
     "mask_personal_data": f"""WITH {RULE_DICTIONARY},{pieces('p', 'documents', 'doc_id', 'text', RULE_PATTERN)}, m AS ({woven('p', 'doc_id', '''
           SELECT p_u.doc_id, i, g, token AS r FROM p_u JOIN personal ON original = w''')})
         SELECT doc_id, sha256(t) AS masked_sha FROM m""",
@@ -612,7 +656,7 @@ ORACLES: dict[str, str] = {
     "isolate_section": r"""WITH k AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
         SELECT conv_id, turn, role, CASE WHEN last THEN 'target' ELSE 'stub' END AS part,
           CASE WHEN last THEN text ELSE role || ': ' || left(regexp_extract(text, '^[^.!?\n]*'), 40) END AS text FROM k""",
-    "text_sections": f"""WITH {section_cte('s', 'documents')}
+    "sections": f"""WITH {section_cte('s', 'documents')}
         SELECT doc_id, name, start_line, end_line, sha256(body) AS body_sha FROM s""",
     "called_names": rf"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, ', ', ' (, '), '({W})\s*\(', 1)) AS w FROM documents)
         SELECT w AS callee, count(DISTINCT doc_id) AS n_docs FROM c
@@ -665,13 +709,14 @@ ORACLES: dict[str, str] = {
           count(*) FILTER (kind = 'method') AS functions, 0::BIGINT AS types, 0::BIGINT AS constants, 0::BIGINT AS strings, 0::BIGINT AS macros
         FROM turn_symbols GROUP BY 1""",
     "risk_score": f"""WITH {REPORT}
-        SELECT doc_id, total_symbols, strings, constants, flagged, exposure_score, exposure_level, array_to_string(list_filter([
-          CASE WHEN flagged > 5 THEN flagged || ' literals flagged for review (still present in the output)'
-               WHEN flagged > 0 THEN flagged || ' literal(s) flagged for review' END,
-          'Level 3+ but nothing isolated: the full structure is visible',
-          CASE WHEN n >= 4 THEN n || ' structural patterns visible, together they may narrow the domain'
-               WHEN n >= 2 THEN n || ' structural patterns visible' END], lambda x: x IS NOT NULL), '; ') AS reasons
-        FROM leveled""",
+        SELECT doc_id, total_symbols, strings, constants, flagged, exposure_score, exposure_level,
+          array_to_string({REASONS}, '; ') AS reasons FROM leveled""",
+    "risk_json": f"""WITH {REPORT}
+        SELECT doc_id, to_json({{'privacy_level': 3, 'total_symbols': total_symbols,
+          'symbols_by_kind': {{'variables': 0, 'functions': 0, 'types': 0, 'constants': constants, 'strings': strings, 'macros': 0}},
+          'literals': {{'scrubbed': scrubbed, 'flagged': flagged, 'kept': kept}}, 'comments': {{'count': 0, 'mode': 'stripped'}},
+          'function_isolated': false, 'isolated_function': '', 'patterns_detected': seen, 'exposure_score': exposure_score,
+          'exposure_level': exposure_level, 'exposure_reasons': {REASONS}, 'warnings_count': 0}})::VARCHAR AS report FROM leveled""",
     "risk_rollup": f"""WITH {REPORT}
         SELECT lang, source, count(*) AS n_docs, count(*) FILTER (exposure_level = 'HIGH') AS n_high,
           count(*) FILTER (exposure_level = 'MEDIUM') AS n_medium, sum(exposure_score)::BIGINT AS score

@@ -131,13 +131,13 @@ def test_matches_brute_force_on_random_texts(texts, seed):
 
 def test_scrubbed_literals_become_tokens(texts):
     docs = texts('call("http://a.b", 0xAB1, "ok", "http://a.b")')
-    found = lit.scrubbed_symbols(docs)
+    found = lit.scrubbed_symbols(lit.literal_arrays(docs))
     entries = dic.build_dictionary(found)
     assert lit.mask_literals(docs, found, entries).head().text == 'call("gs_001", gc_001, "ok", "gs_001")'
     assert {(r.token, r.original) for r in entries.collect()} == {("gs_001", "http://a.b"), ("gc_001", "0xAB1")}
 
 
 def test_summary(texts):
-    row = lit.literal_summary(texts('x = 5\ny = "medium" + 7\nz = "http://x"')).head()
+    row = lit.literal_summary(lit.literal_arrays(texts('x = 5\ny = "medium" + 7\nz = "http://x"'))).head()
     assert (row.n_scrub, row.n_keep, row.n_flag, row.kept_sample) == (1, 2, 1, "5, 7")
     assert row.flagged == '2: "medium" - medium-length string (review recommended)'
