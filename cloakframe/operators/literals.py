@@ -27,6 +27,19 @@ def _choose(*cases: tuple[Column, Column | str], other: Column | str) -> Column:
     return choice
 
 
+def _decision(action: str, reason: Column | str, context: Column) -> Column:
+    reason = F.lit(reason) if isinstance(reason, str) else reason
+    return F.struct(F.lit(action).alias("action"), reason.alias("reason"), context.alias("context"))
+
+
+def _first(cases: list[tuple[Column, str, Column | str, Column]], other: Column) -> Column:
+    """The decision of the first case whose condition holds; a condition that is null does not."""
+    choice = other
+    for condition, action, reason, context in reversed(cases):
+        choice = F.when(condition, _decision(action, reason, context)).otherwise(choice)
+    return choice
+
+
 def string_context(before: Column) -> Column:
     """``printf`` after a print or log call or a stream operator, else ``other``."""
     stripped = F.regexp_replace(before, r"\s+\z", "")
@@ -42,24 +55,18 @@ def string_context(before: Column) -> Column:
 def classify_string(value: Column, context: Column, included: Column, known: Column) -> Column:
     """struct<action, reason, context>; ``known`` is a known name inside the string, or null."""
     size = F.length(value)
-    cases = [
-        (size <= 1, "keep", F.lit("trivial string"), F.lit("")),
-        (included, "keep", F.lit("include directive"), F.lit("")),
-        (value.rlike(DOMAIN_MARKS), "scrub", F.lit("domain indicator detected"), context),
-        (
-            known.isNotNull(),
-            "scrub",
-            F.concat(F.lit("contains symbol name '"), known, F.lit("'")),
-            context,
-        ),
-        (context == "printf", "scrub", F.lit("log/print string (business context)"), context),
-        (size > 20, "scrub", F.lit("long descriptive string"), context),
-        (size > 5, "flag", F.lit("medium-length string (review recommended)"), context),
-    ]
-    return F.struct(
-        _choose(*[(c, a) for c, a, _, _ in cases], other="keep").alias("action"),
-        _choose(*[(c, r) for c, _, r, _ in cases], other="short string").alias("reason"),
-        _choose(*[(c, x) for c, _, _, x in cases], other=context).alias("context"),
+    none = F.lit("")
+    return _first(
+        [
+            (size <= 1, "keep", "trivial string", none),
+            (included, "keep", "include directive", none),
+            (value.rlike(DOMAIN_MARKS), "scrub", "domain indicator detected", context),
+            (known.isNotNull(), "scrub", F.concat(F.lit("contains symbol name '"), known, F.lit("'")), context),
+            (context == "printf", "scrub", "log/print string (business context)", context),
+            (size > 20, "scrub", "long descriptive string", context),
+            (size > 5, "flag", "medium-length string (review recommended)", context),
+        ],
+        _decision("keep", "short string", context),
     )
 
 
@@ -88,26 +95,20 @@ def classify_number(value: Column, context: Column) -> Column:
         known = F.coalesce(
             *[F.when(F.abs(real - F.lit(v)) < 1e-6, F.lit(name)) for v, name in MATH_CONSTANTS]
         )
-        cases = [
-            (hexadecimal & (F.length(r) <= 2), "keep", F.lit("unparseable literal"), F.lit("")),
-            (~floating & digits.isin("0", "1", "2"), "keep", F.lit("generic integer"), F.lit("")),
-            (known.isNotNull(), "keep", F.concat(F.lit("known constant ("), known, F.lit(")")), F.lit("")),
-            (F.coalesce(real.isin(COMMON_FLOATS), F.lit(False)), "keep", F.lit("common float default"), F.lit("")),
-            (hexadecimal, "scrub", F.lit("hex literal (potentially domain-specific)"), context),
-            (F.coalesce(whole > 100, F.lit(False)), "flag", F.lit("large integer (review recommended)"), context),
-            (
-                F.coalesce(whole >= 3, F.lit(False)) & (context == "loop_bound"),
-                "flag",
-                F.lit("loop bound dimension"),
-                context,
-            ),
-            (F.coalesce(whole >= 3, F.lit(False)), "keep", F.lit("small integer"), context),
-            (floating, "flag", F.lit("non-trivial float (review recommended)"), context),
-        ]
-        return F.struct(
-            _choose(*[(c, a) for c, a, _, _ in cases], other="keep").alias("action"),
-            _choose(*[(c, x) for c, _, x, _ in cases], other="generic value").alias("reason"),
-            _choose(*[(c, x) for c, _, _, x in cases], other=context).alias("context"),
+        none = F.lit("")
+        return _first(
+            [
+                (hexadecimal & (F.length(r) <= 2), "keep", "unparseable literal", none),
+                (~floating & digits.isin("0", "1", "2"), "keep", "generic integer", none),
+                (known.isNotNull(), "keep", F.concat(F.lit("known constant ("), known, F.lit(")")), none),
+                (real.isin(COMMON_FLOATS), "keep", "common float default", none),
+                (hexadecimal, "scrub", "hex literal (potentially domain-specific)", context),
+                (whole > 100, "flag", "large integer (review recommended)", context),
+                ((whole >= 3) & (context == "loop_bound"), "flag", "loop bound dimension", context),
+                (whole >= 3, "keep", "small integer", context),
+                (floating, "flag", "non-trivial float (review recommended)", context),
+            ],
+            _decision("keep", "generic value", context),
         )
 
     return let(raw, decide)
