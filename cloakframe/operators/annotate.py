@@ -11,7 +11,7 @@ from cloakframe.operators.dictionary import reverse_map
 from cloakframe.operators.lookups import lookup, row_weights
 from cloakframe.session import materialize
 
-_N = r"`?([\p{L}_][\p{L}\p{N}_]*)`?"
+_N = r"`?(?<![\p{L}\p{N}_])([\p{L}_][\p{L}\p{N}_]*+)`?"
 
 # Phrases that comment on a name.
 NAMING_ADVICE = [

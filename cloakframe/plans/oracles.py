@@ -16,6 +16,7 @@ from cloakframe.functions.patterns import (
     PERSONAL_DATA,
     PREFIX_LABEL,
     PRINT_CALLS,
+    Rule,
 )
 from cloakframe.operators.compare import PENALTY
 from cloakframe.operators.extract import NOT_CALLS
@@ -109,11 +110,15 @@ WORDS = (
     )
 )
 
-RULE_PATTERN = "|".join(f"(?:{r.pattern})" for r in PERSONAL_DATA)
+RULES = [
+    Rule("email", "string", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    *[r for r in PERSONAL_DATA if r.scope != "email"],
+]
+RULE_PATTERN = "|".join(f"(?:{r.pattern})" for r in RULES)
 
 
 def rule_case(field: str, w: str) -> str:
-    whens = " ".join(f"WHEN regexp_full_match({w}, {q(r.pattern)}) THEN {q(getattr(r, field))}" for r in PERSONAL_DATA)
+    whens = " ".join(f"WHEN regexp_full_match({w}, {q(r.pattern)}) THEN {q(getattr(r, field))}" for r in RULES)
     return f"CASE {whens} END"
 
 

@@ -144,3 +144,10 @@ def test_first_declaration_wins(spark):
     )
     got = {(r.doc_id, r.kind, r.scope) for r in extract.first_symbols(rows, "doc_id", "pos").collect()}
     assert got == {(1, "function", "s"), (2, "macro", "")}
+
+
+def test_addresses_in_long_runs(texts):
+    run = "x" * 300_000
+    rows = extract.symbols_by_rule(texts(f"{run} a@b.c_d@e.f {run}@g.hh 1.2.3.4x@y.zz", "a@" + "b." * 20_000 + "c")).collect()
+    got = {r.name for r in rows if r.scope == "email"}
+    assert got == {"a@b.c", "_d@e.f", f"{run}@g.hh", "1.2.3.4x@y.zz", "a@" + "b." * 20_000 + "c"}
