@@ -18,19 +18,38 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def row_key() -> list[Column]:
+KEY = ["_key_a", "_key_b"]
+
+
+def row_key(names: list[str] = KEY) -> list[Column]:
     """128 bits that name a row by its doc_id and text, so that stages can find it again.
 
     Nulls are allowed; rows equal in both columns share the key.
     """
     text = whole_text()
     return [
-        F.xxhash64(F.col("doc_id"), text).alias("_key_a"),
-        F.xxhash64(text, F.lit(1), F.col("doc_id")).alias("_key_b"),
+        F.xxhash64(F.col("doc_id"), text).alias(names[0]),
+        F.xxhash64(text, F.lit(1), F.col("doc_id")).alias(names[1]),
     ]
 
 
-KEY = ["_key_a", "_key_b"]
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with marks behind it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its row key, under names that no column has."""
+    names = [fresh(docs, k) for k in KEY]
+    return docs.select("*", *row_key(names)), names
+
+
+def renamed(keys: DataFrame, names: list[str]) -> DataFrame:
+    """A table of row keys, its columns called as in ``keyed``."""
+    return keys.select(*[F.col(k).alias(n) for k, n in zip(KEY, names)])
 
 
 def fold(modulus: int, id_col: str = "doc_id") -> Column:

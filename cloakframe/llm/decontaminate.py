@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import KEY, arrow_map, row_key, utf8, whole_text
+from cloakframe.llm.common import KEY, arrow_map, keyed, renamed, row_key, utf8, whole_text
 from cloakframe.session import materialize
 
 WINDOW = 10
@@ -284,4 +284,5 @@ def contamination(docs: DataFrame, items: DataFrame, ids: list[Column] | None =
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a hit."""
     bad = contamination(docs, items, row_key()).where("n_hit > 0").select(*KEY).distinct()
-    return docs.select("*", *row_key()).join(bad, KEY, "left_anti").drop(*KEY)
+    given, names = keyed(docs)
+    return given.join(renamed(bad, names), names, "left_anti").drop(*names)

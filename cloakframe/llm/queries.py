@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import decontaminate, quality, simhash
+from cloakframe.llm import decontaminate, minhash, mixing, pii, quality, secrets, simhash, suffix_tree, toxicity, urls
 from cloakframe.llm.common import fold, table
+from cloakframe.llm.oracles import ORACLES as ORACLES
 
 THRESHOLD = 0.3
 QUALITY_META = ["n_chars"]
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
 
 
 def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,6 +27,35 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.pii_spans(table(spark, sf, "documents")).select(
+        "doc_id",
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.listed(pii.BASE), 256).alias("base_sha256"),
+        pii.listed(pii.KINDS).alias("spans"),
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    grammar = toxicity.train(docs, labels.where(fold(4) != 2), "toxic")
+    return toxicity.with_score(docs.select("doc_id", "text"), grammar, "score").select(
+        "doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op4_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.fingerprint_edits(table(spark, sf, "documents"))
+
+
+def op5_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(table(spark, sf, "pages"), URL_RULES)
+
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
@@ -37,10 +73,26 @@ def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model, rare = suffix_tree.fit(docs.where(fold(7) != 2))
+    ids = [F.col("doc_id"), (fold(7) == 2).alias("held_out")]
+    return suffix_tree.score_texts(docs, model, rare, ids)
+
+
+def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(table(spark, sf, "documents"), path="source")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
+    "op4_minhash": op4_minhash,
+    "op5_urls": op5_urls,
+    "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_suffix_tree": op9_suffix_tree,
+    "op10_secrets": op10_secrets,
 }
-
-ORACLES: dict[str, str] = {}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import KEY, arrow_map, row_key, unsigned_hex, utf8, whole_text
+from cloakframe.llm.common import KEY, arrow_map, keyed, renamed, row_key, unsigned_hex, utf8, whole_text
 from cloakframe.llm.components import connected_components
 from cloakframe.operators.lookups import lookup
 from cloakframe.session import materialize
@@ -249,7 +249,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
         .agg(F.min(order).alias("o"))
         .select(*[F.col(f"o.{k}") for k in KEY])
     )
-    return docs.select("*", *row_key()).join(stays, KEY, "left_semi").dropDuplicates(KEY).drop(*KEY)
+    given, names = keyed(docs)
+    return given.join(renamed(stays, names), names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def fingerprint_text(fp: Column) -> Column:

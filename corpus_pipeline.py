@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import decontaminate, quality, simhash
-from cloakframe.llm.common import table
+from cloakframe.llm import decontaminate, mixing, pii, quality, simhash
+from cloakframe.llm.common import fresh, table
 from cloakframe.llm.queries import QUALITY_META, THRESHOLD
 from cloakframe.session import materialize
 
@@ -18,11 +18,8 @@ from cloakframe.session import materialize
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; the others go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_META)
-    return (
-        quality.with_score(docs, model, QUALITY_META, "_quality_score")
-        .where(F.col("_quality_score") >= THRESHOLD)
-        .drop("_quality_score")
-    )
+    score = fresh(docs, "_score")
+    return quality.with_score(docs, model, QUALITY_META, score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +32,22 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with <KIND> in place of each span of personal data."""
+    return pii.mask_pii(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of the documents so that sources have their target shares; adds copy_no and shuffle_key."""
+    return mixing.mix(docs)
+
+
 STAGES = [
     ("quality", quality_stage),
     ("near_duplicates", near_duplicate_stage),
     ("decontamination", decontamination_stage),
+    ("personal_data", personal_data_stage),
+    ("mixing", mixing_stage),
 ]
 
 #: Scores and fingerprints have no SQL form; the tests hold each stage against a plain version.
