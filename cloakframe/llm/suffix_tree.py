@@ -353,7 +353,7 @@ def score_texts(docs: DataFrame, model: Model, rare_words: DataFrame, ids: list[
                         *(part.column(f.name) for f in kept),
                         pa.array(lengths + 1, pa.int64()),
                         pa.array(n_top.astype(np.int64)),
-                        pa.array(top),
+                        pa.array(top.astype(float)),
                         pa.array(m.automaton.score(texts)),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs),
                     ],

@@ -96,7 +96,9 @@ def _negation(state: int, symbol: int) -> tuple[int, int, float]:
 def _reported(state: int, symbol: int) -> tuple[int, int, float]:
     if symbol == SAYS:
         return 1, symbol, 1.0
-    return state, symbol, 0.6 if state and symbol in (INSULT, THREATENS, WEAK_INSULT, WEAK_THREAT) else 1.0
+    if state and symbol == THREATENS:
+        return state, WEAK_THREAT, 1.0
+    return state, symbol, 0.6 if state and symbol in (INSULT, WEAK_INSULT) else 1.0
 
 
 def _near_target(state: int, symbol: int) -> tuple[int, int, float]:
@@ -112,16 +114,19 @@ def _near_target(state: int, symbol: int) -> tuple[int, int, float]:
 
 
 def _threat(state: int, symbol: int) -> tuple[int, int, float]:
-    """State: words left in which a target behind a threat completes it; only then it has weight."""
+    """State: words left in which a target behind a threat completes it, 4 more if the threat is weak.
+
+    Only a completed threat has weight.
+    """
     if symbol in (THREATENS, WEAK_THREAT):
-        return 3, symbol, 0.0
-    if symbol == AIMED and state:
-        return 0, HARD_THREAT, 1.0
-    return max(0, state - 1), symbol, 1.0
+        return 3 if symbol == THREATENS else 7, symbol, 0.0
+    if symbol == AIMED and state % 4:
+        return 0, HARD_THREAT, 1.0 if state < 4 else 0.3
+    return state - 1 if state % 4 else 0, symbol, 1.0
 
 
 NEGATION, REPORTED = Transducer(4, _negation), Transducer(2, _reported)
-TARGET, THREAT = Transducer(5, _near_target), Transducer(4, _threat)
+TARGET, THREAT = Transducer(5, _near_target), Transducer(8, _threat)
 _COMPOSED = NEGATION.then(REPORTED).then(TARGET).then(THREAT)
 #: The composed table: for each state and symbol the next state, the symbol written and its factor.
 GRAMMAR = [[_COMPOSED.rule(state, symbol) for symbol in range(6)] for state in range(_COMPOSED.states)]

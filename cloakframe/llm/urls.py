@@ -25,7 +25,8 @@ from cloakframe.operators.lookups import lookup
 from cloakframe.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_SUPPORT = 0.005
+MIN_SUPPORT = 0.01
+LEAST_ROWS = 20  # judged URLs behind a rule, however small the table
 MIN_CONFIDENCE = 0.8
 MOST_TOKENS = 4  # tokens of a mined rule
 BROADCAST_RULES = 20_000
@@ -65,11 +66,11 @@ def tokens(scheme: Column, host: Column, path: Column, query: Column) -> Column:
     numbered = F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), F.concat(F.lit("digits"), F.length(w).cast("string"))).otherwise(w))
     fields = F.transform(F.split(query, "&"), lambda q: F.split(q, "=")[0])
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
-    hyphened = F.filter(F.flatten(F.transform(labels, lambda x: F.split(x, "-"))), lambda x: x != "")
+    hyphened = F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.split(x, "-")))
     all_of = F.concat(
         F.array(F.concat(F.lit("scheme="), scheme)),
         F.transform(labels, lambda x, i: F.concat(F.lit("host"), F.least(i, F.lit(3)).cast("string"), F.lit("="), x)),
-        F.transform(hyphened, lambda x: F.concat(F.lit("name="), x)),
+        F.transform(F.filter(hyphened, lambda x: x != ""), lambda x: F.concat(F.lit("name="), x)),
         F.transform(F.filter(numbered, lambda w: w != ""), lambda w: F.concat(F.lit("path="), w)),
         F.transform(F.filter(fields, lambda q: q != ""), lambda q: F.concat(F.lit("query="), q)),
         F.when(ending != "", F.array(F.concat(F.lit("ending="), ending))).otherwise(F.array().cast("array<string>")),
@@ -84,6 +85,9 @@ def mine(judged: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: fl
     empty = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
     if not total:
         return spark.createDataFrame([], empty)
+    min_support = max(min_support, LEAST_ROWS / total)
+    if min_support > 1:
+        return spark.createDataFrame([], empty)
     # Tokens below the support can't be in a rule; what is left per URL is short.
     seen = judged.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= min_support * total)
     frequent = [r["t"] for r in seen.select("t").collect()]  # at most (tokens of a URL) / min_support

@@ -77,9 +77,9 @@ def test_mined_rules(spark):
     for i in range(200):
         tokens = [f"host={i % 5}", f"path={i % 7}", f"x={i % 2}"] + (["spam"] if i % 3 == 0 else [])
         rows.append((tokens, "block" if i % 3 == 0 and i % 7 != 2 or i % 35 == 4 else "allow"))
-    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.8).collect()
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.1, 0.8).collect()
     assert {(tuple(r["tokens"]), r["verdict"]): round(r["confidence"], 9) for r in got} == {
-        k: round(c, 9) for k, c in mined_plain(rows, 0.02, 0.8).items()
+        k: round(c, 9) for k, c in mined_plain(rows, 0.1, 0.8).items()
     }
 
 
