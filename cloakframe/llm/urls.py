@@ -7,8 +7,8 @@ For the others, tokens of a URL (host labels with their distance from the end, w
 file ending, scheme) are items. FP-growth mines token combinations that occur with a verdict; a rule
 "these tokens -> verdict" is kept with enough support and confidence, unless a part of its tokens already gives the same verdict
 with no less confidence. Rules are matched by an inverted index from token to rule: a rule fires when all its
-tokens are counted. The most confident fired rule decides, block before allow on equal confidence; without a fired rule the
-verdict is allow.
+tokens are counted. The most confident fired rule decides, then the one with more support, then block before allow; without a
+fired rule the verdict is allow.
 
 Only DataFrame operations and Spark's FP-growth are used. Null URLs and those without "://" have an empty host and path
 and no tokens. Repeated rows and ids are judged row by row; extra columns are ignored; empty tables give empty results. Without
@@ -122,7 +122,7 @@ def mine(judged: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: fl
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(tokens_id, verdict): what the mined rules say about each distinct set of tokens (tokens_id, tokens)."""
     rules = materialize(rules, "rules")
-    index = rules.select("rule_id", "verdict", "confidence", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    index = rules.select("rule_id", "verdict", "confidence", "support", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     each = urls.select("tokens_id", F.explode("tokens").alias("t"))
     if rules.count() * MOST_TOKENS <= BROADCAST_RULES:
         met = each.join(F.broadcast(index), "t")
@@ -132,10 +132,10 @@ def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
         met = salted.join(copies, ["t", "_salt"])
     whole = (
         met.groupBy("tokens_id", "rule_id")
-        .agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"))
+        .agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
         .where("met = n")
     )
-    order = F.struct("confidence", (F.col("verdict") == "block").alias("b"))
+    order = F.struct("confidence", "support", (F.col("verdict") == "block").alias("b"))
     return whole.groupBy("tokens_id").agg(F.max_by("verdict", order).alias("verdict"))
 
 
