@@ -160,9 +160,9 @@ def _python_line(line: Column, scope: Column) -> Column:
         _symbol(F.regexp_extract(line, rf"^\s*(?:self|cls)\.({NAME})\s*(?::[^=]*)?=", 1), "field", scope)
     ).cast(SYMBOLS)
     looped = F.regexp_extract(line, r"^\s*(?:async\s+)?for\s+(.+?)\s+in\s", 1)
-    assigned = F.regexp_extract(
-        line, rf"^\s*((?:[(\[]?\s*{NAME}(?:\.{NAME})*\s*[)\]]?\s*[,=]\s*){{1,64}})(?<==\s{{0,9}})(?!=)", 1
-    )
+    # Each blank has one place and nothing is given back, so a line costs its length, however many names it has.
+    target = rf"[(\[\s*]*+{NAME}(?:\.{NAME})*+[)\]\s]*+"
+    assigned = F.regexp_extract(line, rf"^\s*+((?:{target}(?:,{target})*+(?:,\s*+)?+=(?!=)\s*+)++)", 1)
     augmented = F.regexp_extract(line, rf"^\s*({NAME})\s*(?:[-+*/%&|^@]|//|\*\*|<<|>>)=", 1)
 
     def variables(targets: Column) -> Column:

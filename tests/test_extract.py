@@ -151,3 +151,28 @@ def test_addresses_in_long_runs(texts):
     rows = extract.symbols_by_rule(texts(f"{run} a@b.c_d@e.f {run}@g.hh 1.2.3.4x@y.zz", "a@" + "b." * 20_000 + "c")).collect()
     got = {r.name for r in rows if r.scope == "email"}
     assert got == {"a@b.c", "_d@e.f", f"{run}@g.hh", "1.2.3.4x@y.zz", "a@" + "b." * 20_000 + "c"}
+
+
+def test_assignments_of_many_names_are_linear(texts):
+    """A line costs its length: 10,000 names with and without an equals sign, and near misses."""
+    import time
+
+    many = [f"name_{i}" for i in range(10_000)]
+    rows = [
+        ", ".join(many) + " = 1",
+        ", ".join(many),
+        ",  ".join(many) + " == 1",
+        " " * 50_000 + "x",
+        "a = b == c",
+        "a, (b.x, c) = d = [1, 2]",
+        "first, *rest = items",
+        "e, = one",
+    ]
+    started = time.time()
+    found = {
+        r["doc_id"]: {s["name"] for s in r["s"]}
+        for r in texts(*rows).select("doc_id", extract.declared_symbols(F.col("text"), "python").alias("s")).collect()
+    }
+    assert time.time() - started < 20
+    assert found[1] == set(many) and found[2] == found[3] == found[4] == set()
+    assert found[5] == {"a"} and found[6] == {"a", "c", "d"} and found[7] == {"first", "rest"} and found[8] == {"e"}
