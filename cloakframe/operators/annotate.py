@@ -119,13 +119,7 @@ def naming_advice(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], te
         "original",
         F.col("template").cast("bigint").alias("template"),
         "sentence",
-        F.concat(
-            F.lit("The advice was about the token name '"),
-            "token",
-            F.lit("', not about your name '"),
-            "original",
-            F.lit("'. It may not apply."),
-        ).alias("note"),
+        F.concat(F.lit("naming hint for token "), "token", F.lit(", which stands for "), "original").alias("note"),
     )
 
 
@@ -179,16 +173,12 @@ def stub_speculation(docs: DataFrame, stubs: DataFrame, id_cols: list[str], text
         "original",
         F.col("template").cast("bigint").alias("template"),
         "sentence",
-        F.when(
-            F.col("template") > 0,
-            F.concat(
-                F.lit("'"),
-                "original",
-                F.lit("' was sent as a stub (no implementation). The behavior is inferred without the full code."),
-            ),
-        )
-        .otherwise(F.concat(F.lit("'"), "original", F.lit("' was sent as a stub. Reasoning about it may be inaccurate.")))
-        .alias("note"),
+        F.concat(
+            F.when(F.col("template") > 0, F.lit("guess")).otherwise(F.lit("statement")),
+            F.lit(" about "),
+            "original",
+            F.lit(", sent without a body"),
+        ).alias("note"),
     )
 
 

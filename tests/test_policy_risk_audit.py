@@ -100,7 +100,7 @@ def test_exposure(spark, case, want):
     score, level, reasons = risk.exposure(*[F.col(c) for c in df.columns])
     row = df.select(score.alias("s"), level.alias("l"), reasons.alias("r")).head()
     assert (row.s, row.l) == want
-    assert (row.r == ["All symbols and literals scrubbed"]) == (want[0] == 0)
+    assert (row.r == ["nothing left in the open"]) == (want[0] == 0)
 
 
 def test_report_and_json(spark, texts):
