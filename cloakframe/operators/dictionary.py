@@ -18,7 +18,7 @@ from cloakframe.functions.patterns import (
     PREFIX_LABEL,
     WORD,
 )
-from cloakframe.operators.lookups import lookup
+from cloakframe.operators.lookups import lookup, row_weights
 from cloakframe.session import materialize
 
 KEY = ["kind", "scope", "original"]
@@ -97,22 +97,53 @@ def assign_tokens(distinct: DataFrame, label: str = "dictionary") -> DataFrame:
     )
 
 
-def build_dictionary(symbols: DataFrame) -> DataFrame:
-    """Dictionary of all (name, kind, scope) rows; written once, so that tokens stay as they are."""
-    return materialize(assign_tokens(distinct_symbols(symbols), "symbols"), "dictionary")
+def look_alikes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token): distinct words of the input that look like tokens."""
+    word = r"(?<![\p{L}\p{N}_])g[vftcsnmx]_[0-9]{3,}+(?![\p{L}\p{N}_])"
+    text = F.col(text_col)
+    some = docs.where(text.rlike(r"g[vftcsnmx]_[0-9]{3}"))
+    return some.select(F.explode(F.regexp_extract_all(text, F.lit(word), F.lit(0))).alias("token")).distinct()
 
 
-def merge_dictionary(existing: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Known symbols keep their token, new ones are numbered after the last one of their prefix."""
-    seen = distinct_symbols(symbols)
-    fresh = assign_tokens(seen.join(existing.select(*KEY), KEY, "left_anti"), "new-symbols")
-    last = existing.groupBy("prefix").agg(F.max("seq").alias("_last"))
-    fresh = (
-        fresh.join(F.broadcast(last), "prefix", "left")
+def taken_numbers(tokens: DataFrame) -> DataFrame:
+    """(prefix, taken): the largest number per prefix; at most one row for each of the prefixes.
+
+    Numbers of over 12 digits are left out: no dictionary grows to them.
+    """
+    return tokens.where(F.length("token") <= 15).groupBy(F.substring("token", 1, 2).alias("prefix")).agg(
+        F.max(F.expr("substring(token, 4)").cast("bigint")).alias("taken")
+    )
+
+
+def _moved(entries: DataFrame, last: DataFrame) -> DataFrame:
+    """Entries numbered after the given number (prefix, _last) of their prefix."""
+    return (
+        entries.join(F.broadcast(last), "prefix", "left")
         .withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(0)))
         .withColumn("token", token_text(F.col("prefix"), F.col("seq")))
-        .select(*existing.columns)
+        .select(*entries.columns)
     )
+
+
+def build_dictionary(symbols: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Dictionary of all (name, kind, scope) rows; written once, so that tokens stay as they are.
+
+    Numbers start after those in ``taken`` (prefix, taken), which the input already uses.
+    """
+    entries = assign_tokens(distinct_symbols(symbols), "symbols")
+    if taken is not None:
+        entries = _moved(entries, taken.select("prefix", F.col("taken").alias("_last")))
+    return materialize(entries, "dictionary")
+
+
+def merge_dictionary(existing: DataFrame, symbols: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Known symbols keep their token, new ones are numbered after the last one of their prefix."""
+    seen = distinct_symbols(symbols)
+    fresh = assign_tokens(seen.join(existing.select(*KEY), KEY, "left_anti"), "new-symbols")
+    last = existing.select("prefix", "seq")
+    if taken is not None:
+        last = last.unionByName(taken.select("prefix", F.col("taken").alias("seq")))
+    fresh = _moved(fresh, last.groupBy("prefix").agg(F.max("seq").alias("_last"))).select(*existing.columns)
     kept = (
         existing.join(seen.withColumnRenamed("n_docs", "_more"), KEY, "left")
         .withColumn("n_docs", F.col("n_docs") + F.coalesce("_more", F.lit(0)))
@@ -133,7 +164,17 @@ def symbol_files(symbols: DataFrame, dictionary: DataFrame, file_col: str) -> Da
 
 def find_original(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Original, kind and scope per token; null for unknown tokens."""
-    return tokens.join(dictionary.select("token", "original", "kind", "scope"), "token", "left")
+    return by_token(tokens, dictionary.select("token", "original", "kind", "scope"), "left")
+
+
+def by_token(found: DataFrame, entries: DataFrame, how: str) -> DataFrame:
+    """Join by token; one that stands in a large share of all rows is spread by the first other column."""
+    found = materialize(found, "found")
+    others = [c for c in found.columns if c != "token"]
+    if not others:
+        return found.join(entries, "token", how)
+    joined = lookup(found, entries, ["token"], how, others[0], row_weights(found, ["token"]))
+    return joined.select(*found.columns, *[c for c in entries.columns if c != "token" and c in joined.columns])
 
 
 def forward_map(dictionary: DataFrame) -> DataFrame:
@@ -185,7 +226,7 @@ def describe_tokens(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     """What to show for each token in a text: its entry, or the label of its prefix."""
     label = _mapped(F.substring("token", 1, 2), PREFIX_LABEL, "Unknown")
     return (
-        found.join(dictionary.select("token", "original", "kind", "scope"), "token", "left")
+        find_original(found, dictionary)
         .withColumn(
             "hover",
             F.when(F.col("original").isNull(), F.concat(F.col("token"), F.lit(" ("), label, F.lit(")")))
@@ -207,7 +248,7 @@ def describe_tokens(found: DataFrame, dictionary: DataFrame) -> DataFrame:
 def collisions(docs: DataFrame, dictionary: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words of the input that already look like tokens and could be taken for one later."""
     found = tokens_in(docs, id_col, text_col)
-    return found if dictionary is None else found.join(dictionary.select("token"), "token", "left_semi")
+    return found if dictionary is None else by_token(found, dictionary.select("token"), "left_semi")
 
 
 # --- warnings -----------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.arrays import fill, gaps_of, let, pieces_of, runs, slots
 from cloakframe.functions.patterns import IS_TOKEN, PLACEHOLDER, WORD
-from cloakframe.operators.dictionary import tokens_in
+from cloakframe.operators.dictionary import by_token, tokens_in
 from cloakframe.operators.lookups import lookup, row_weights
 from cloakframe.operators.masking import substitute
 from cloakframe.session import materialize
@@ -61,7 +61,7 @@ def unmask(
 
 def unknown_tokens(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token, n) for tokens that no dictionary entry explains."""
-    return tokens_in(docs, id_col, text_col).join(dictionary.select("token"), "token", "left_anti")
+    return by_token(tokens_in(docs, id_col, text_col), dictionary.select("token"), "left_anti")
 
 
 _WRAPPED = "|".join(

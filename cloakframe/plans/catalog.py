@@ -14,7 +14,7 @@ from cloakframe.functions.patterns import PERSONAL_DATA
 from cloakframe.operators import annotate, audit, compare, extract, literals, masking, policy, risk, sections
 from cloakframe.operators import dictionary as dic
 from cloakframe.operators import unmask as un
-from cloakframe.operators.lookups import lookup
+from cloakframe.operators.lookups import lookup, row_weights
 from cloakframe.plans.mask import audit_of, mask, restore, risk_of
 from cloakframe.session import materialize, shared_dir
 from cloakframe.sources.audit_log import append_entries
@@ -25,6 +25,9 @@ from cloakframe.streaming.mask_stream import mask_stream
 
 _stored: dict[tuple, DataFrame] = {}
 
+#: A turn's id holds its conversation in the upper and its number in the lower 32 bits: no two turns share it.
+TURNS = 1 << 32
+
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A stored table shared by the queries that start from it, as a stored dictionary would be."""
@@ -50,7 +53,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns with an id of their own."""
     table = read_table(spark, sf, "conversations")
     return spread(
-        table.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "conv_id", "turn", "role", "text"),
+        table.select((F.col("conv_id") * TURNS + F.col("turn")).alias("turn_id"), "conv_id", "turn", "role", "text"),
         "turn_id",
     )
 
@@ -212,11 +215,25 @@ def _turn_symbols(spark, sf):
     """Names of conversation turns, their kind by the role of the speaker."""
     found = extract.symbols(turns(spark, sf), "prose", id_col="turn_id")
     return found.select(
-        F.floor(F.col("turn_id") / 1000).cast("bigint").alias("conv_id"),
-        (F.col("turn_id") % 1000).alias("turn"),
+        F.shiftright("turn_id", 32).alias("conv_id"),
+        (F.col("turn_id") % TURNS).alias("turn"),
         "name",
         F.when(F.col("turn_id") % 2 == 0, "parameter").otherwise("method").alias("kind"),
-        F.concat(F.lit("turn"), F.col("turn_id") % 1000).alias("scope"),
+        F.concat(F.lit("turn"), F.col("turn_id") % TURNS).alias("scope"),
+    )
+
+
+def code_symbols_python(spark, sf):
+    """Declared symbols of code made of the documents: all their words are targets of one assignment."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))
+    targets = F.array_join(F.transform(words, lambda w: F.concat(F.lit("v_"), w)), ", ")
+    body = F.when(targets == "", "pass").otherwise(F.concat(targets, F.lit(" = first")))
+    code = F.concat(F.lit("class Holder:\n    def run(first):\n        self.kept = first\n        "), body, F.lit("\n"))
+    docs = doc_texts(spark, sf).withColumn("text", code)
+    found = docs.select("doc_id", F.explode(extract.declared_symbols(F.col("text"), "python")).alias("s"))
+    # The names collected per document are those of its own text.
+    return found.groupBy("doc_id", "s.kind", "s.scope").agg(
+        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("s.name")), ","), 256).alias("names_sha")
     )
 
 
@@ -279,7 +296,8 @@ def dict_merge(spark, sf):
 def dict_lookup(spark, sf):
     wanted = _benchmark_symbols(spark, sf).select("doc_id", F.col("name").alias("original"), "kind", "scope")
     entries = word_dictionary(spark, sf).select("token", *dic.KEY)
-    return wanted.join(entries, dic.KEY, "left").select(F.col("doc_id").alias("item_id"), "original", "token")
+    found = lookup(wanted, entries, dic.KEY, "left", "doc_id", row_weights(wanted, dic.KEY))
+    return found.select(F.col("doc_id").alias("item_id"), "original", "token")
 
 
 def dict_reverse(spark, sf):
@@ -295,7 +313,7 @@ def dict_summary(spark, sf):
 
 
 def dict_browse(spark, sf):
-    entries = dic.build_dictionary(_turn_symbols(spark, sf).where("turn < 2").select("name", "kind", "scope"))
+    entries = dic.build_dictionary(_turn_symbols(spark, sf).select("name", "kind", "scope"))
     return dic.browse(entries)
 
 
@@ -362,6 +380,21 @@ def mask_level4(spark, sf):
     return _masked_and_back(spark, sf, 4, bound_pattern=masking.ANY_NUMBER)
 
 
+def roundtrip_lookalikes(spark, sf):
+    """Words that look like tokens, in code and in running text, come back as they were."""
+    docs = doc_texts(spark, sf)
+    alike = F.format_string("gv_%03d + gf_007", F.col("doc_id") % 500)
+    code = docs.withColumn("text", F.concat(F.lit("def work(first):\n    kept = "), alike, F.lit(" + first\n")))
+    prose = docs.withColumn("text", F.concat(alike, F.lit(" "), F.col("text"), F.lit(" gs_002 gv_001")))
+    parts = [
+        restore(mask(d, level=1, language=language)).select(
+            "doc_id", F.lit(language).alias("language"), sha(F.col("text")).alias("text_sha")
+        )
+        for d, language in ((code, "python"), (prose, "prose"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def masking_risk(spark, sf):
     """Risk and audit of a masking job by what it counted itself."""
     out = mask(doc_texts(spark, sf), level=2)
@@ -463,7 +496,7 @@ def generalize_numbers(spark, sf):
 
 def isolate_section(spark, sf):
     rows = read_table(spark, sf, "conversations")
-    stub = F.concat(F.col("role"), F.lit(": "), F.left(F.regexp_extract("text", r"^[^.!?\n]*", 0), F.lit(40)))
+    stub = F.concat(F.col("role"), F.lit(": "), F.regexp_extract("text", r"^[^.!?\n]*", 0))
     return sections.isolate_rows(rows, "conv_id", "turn", "text", stub)
 
 
@@ -728,7 +761,7 @@ def naming_advice(spark, sf):
 
 
 def _stubs(spark, sf):
-    return word_dictionary(spark, sf).where("n_docs % 5 = 0").select("original")
+    return word_dictionary(spark, sf).select("original")
 
 
 def stub_speculation(spark, sf):
@@ -744,7 +777,7 @@ def annotated_replies(spark, sf):
     docs = advice_like(turns(spark, sf)).select("turn_id", "text")
     notes = annotate.naming_advice(docs, word_dictionary(spark, sf), ["turn_id"])
     out = annotate.footnotes(docs, notes, ["turn_id"])
-    return out.select("turn_id", "annotations", F.col("text").contains("**Annotations:**").alias("has_notes"))
+    return out.select("turn_id", "annotations", sha(F.col("text")).alias("text_sha"))
 
 
 # --- streams ------------------------------------------------------------------------------
@@ -805,11 +838,11 @@ QUERIES = {
     f.__name__: f
     for f in [
         corpus_profile, lang_route, policy_banned, policy_level_check,
-        occurrences, occurrences_code_only, protected_anti, registry_semi, symbols_by_rule, symbol_first,
+        occurrences, occurrences_code_only, protected_anti, registry_semi, symbols_by_rule, code_symbols_python, symbol_first,
         comment_spans, import_names,
         dict_build, dict_multi_table, dict_merge, dict_lookup, dict_reverse, dict_summary, dict_browse,
         dict_files, token_hover, token_collisions, dict_encrypt_roundtrip,
-        mask_rename, mask_level1, mask_level2, mask_level4, masking_risk, mask_personal_data, mask_span, strip_comments,
+        mask_rename, mask_level1, mask_level2, roundtrip_lookalikes, mask_level4, masking_risk, mask_personal_data, mask_span, strip_comments,
         anonymize_comments, restored_comments, literals_extract, literals_string_class,
         literals_number_class, literals_summary, mask_literals, format_spec_keep, generalize_numbers,
         isolate_section, section_rows, called_names,

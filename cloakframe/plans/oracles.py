@@ -149,7 +149,7 @@ EDITED = r"""CASE doc_id % 4 WHEN 0 THEN replace(text, ' the ', ' THE ')
   ELSE replace(text, chr(10), chr(10) || chr(10)) END"""
 EDITED_DOCS = f"(SELECT doc_id, {EDITED} AS text FROM documents)"
 
-TURN_TABLE = "(SELECT conv_id * 1000 + turn AS turn_id, conv_id, turn, role, text FROM conversations)"
+TURN_TABLE = "(SELECT conv_id * 4294967296 + turn AS turn_id, conv_id, turn, role, text FROM conversations)"
 _TOK = "('gv_' || lpad((turn + 1)::VARCHAR, 3, '0'))"
 REPLY = (
     f"'See `' || {_TOK} || '`, ' || {_TOK} || '''s value.' || chr(10) || '```python' || chr(10) || 'import os' || chr(10) || "
@@ -160,7 +160,7 @@ REPLIES = f"(SELECT turn_id, turn, role, {REPLY} AS text FROM {TURN_TABLE})"
 
 TURN_SYMBOLS = f"""
 turn_symbols AS (
-  SELECT DISTINCT conv_id, turn, w AS name, CASE WHEN (conv_id * 1000 + turn) % 2 = 0 THEN 'parameter' ELSE 'method' END AS kind,
+  SELECT DISTINCT conv_id, turn, w AS name, CASE WHEN (conv_id * 4294967296 + turn) % 2 = 0 THEN 'parameter' ELSE 'method' END AS kind,
     'turn' || turn AS scope
   FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, {q(W)})) AS w FROM conversations)
   WHERE {is_name('w')})"""
@@ -394,11 +394,11 @@ leveled AS (
 )
 
 REASONS = """list_filter([
-  CASE WHEN flagged > 5 THEN flagged || ' literals flagged for review (still present in the output)'
-       WHEN flagged > 0 THEN flagged || ' literal(s) flagged for review' END,
-  'Level 3+ but nothing isolated: the full structure is visible',
-  CASE WHEN n >= 4 THEN n || ' structural patterns visible, together they may narrow the domain'
-       WHEN n >= 2 THEN n || ' structural patterns visible' END], lambda x: x IS NOT NULL)"""
+  CASE WHEN flagged > 5 THEN 'literals to review, many: ' || flagged
+       WHEN flagged > 0 THEN 'literals to review: ' || flagged END,
+  'no section isolated',
+  CASE WHEN n >= 4 THEN 'structures, many: ' || n
+       WHEN n >= 2 THEN 'structures: ' || n END], lambda x: x IS NOT NULL)"""
 
 LOG = """
 log AS (
@@ -585,7 +585,7 @@ ORACLES: dict[str, str] = {
     "dict_summary": f"""WITH {WORDS},{RULE_DICTIONARY}
         SELECT kind, count(*) AS n_symbols, sum(n_docs)::BIGINT AS n_docs FROM (SELECT * FROM words UNION ALL SELECT * FROM personal) GROUP BY 1""",
     "dict_browse": f"""WITH {TURN_SYMBOLS},{numbered('d', '''
-          SELECT name AS original, kind, scope, count(*) AS n_docs FROM turn_symbols WHERE turn < 2 GROUP BY 1, 2, 3''')},
+          SELECT name AS original, kind, scope, count(*) AS n_docs FROM turn_symbols GROUP BY 1, 2, 3''')},
         c AS (SELECT *, CASE {' '.join(f"WHEN kind = {q(k)} THEN {q(g)}" for k, g in KIND_GROUP.items())} ELSE 'Other' END AS category FROM d)
         SELECT CASE category WHEN 'Variables' THEN 1 ELSE 2 END::BIGINT AS category_rank, category,
           count(*) OVER (PARTITION BY category) AS category_size, token, original, scope FROM c""",
@@ -611,6 +611,9 @@ ORACLES: dict[str, str] = {
           FROM (SELECT DISTINCT w FROM b_w)),
         m AS ({woven('b', 'doc_id', "SELECT b_u.doc_id, i, g, CASE WHEN seq IS NULL THEN b_u.w ELSE 'gc_' || CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END END AS r FROM b_u LEFT JOIN b_n USING (w)")})
         SELECT doc_id, sha256(t) AS masked_sha, true AS same_after_restore FROM m""",
+    "roundtrip_lookalikes": r"""WITH a AS (SELECT doc_id, text, 'gv_' || lpad((doc_id % 500)::VARCHAR, 3, '0') || ' + gf_007' AS alike FROM documents)
+        SELECT doc_id, 'python' AS language, sha256('def work(first):' || chr(10) || '    kept = ' || alike || ' + first' || chr(10)) AS text_sha FROM a
+        UNION ALL SELECT doc_id, 'prose', sha256(alike || ' ' || text || ' gs_002 gv_001') FROM a""",
     "masking_risk": f"""WITH {LEVEL_TWO}, m AS ({LEVEL_TWO_TEXT}),
         c AS (SELECT doc_id, count(*) FILTER (action = 'flag') AS flagged, count(*) FILTER (action = 'scrub') AS scrubbed FROM lits GROUP BY 1),
         k AS (SELECT doc_id, count(*) AS n FROM doc_names GROUP BY 1),
@@ -660,9 +663,18 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, sha256(t) AS masked_sha FROM m""",
     "isolate_section": r"""WITH k AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
         SELECT conv_id, turn, role, CASE WHEN last THEN 'target' ELSE 'stub' END AS part,
-          CASE WHEN last THEN text ELSE role || ': ' || left(regexp_extract(text, '^[^.!?\n]*'), 40) END AS text FROM k""",
+          CASE WHEN last THEN text ELSE role || ': ' || regexp_extract(text, '^[^.!?\n]*') END AS text FROM k""",
     "sections": f"""WITH {section_cte('s', 'documents')}
         SELECT doc_id, name, start_line, end_line, sha256(body) AS body_sha FROM s""",
+    "code_symbols_python": """WITH w AS (
+          SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{3,}'))) AS name FROM documents),
+        s AS (
+          SELECT doc_id, 'v_' || name AS name, 'variable' AS kind, 'Holder::run' AS scope FROM w
+          UNION ALL SELECT doc_id, 'Holder', 'class', '' FROM documents
+          UNION ALL SELECT doc_id, 'run', 'method', 'Holder' FROM documents
+          UNION ALL SELECT doc_id, 'first', 'parameter', 'Holder::run' FROM documents
+          UNION ALL SELECT doc_id, 'kept', 'field', 'Holder::run' FROM documents)
+        SELECT doc_id, kind, scope, count(*) AS n, sha256(string_agg(name, ',' ORDER BY name)) AS names_sha FROM s GROUP BY 1, 2, 3""",
     "called_names": rf"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, ', ', ' (, '), '({W})\s*\(', 1)) AS w FROM documents)
         SELECT w AS callee, count(DISTINCT doc_id) AS n_docs FROM c
         WHERE regexp_full_match(w, '[A-Za-z_][\p{{L}}\p{{N}}_]*') AND w NOT IN ({listed(NOT_CALLS)}) GROUP BY 1""",
@@ -756,7 +768,7 @@ ORACLES: dict[str, str] = {
         {phrase_hits('h', ADVICES, 'turn_id', [(i, p, i > 3) for i, p in enumerate(GUESSES, 1)])},
         named AS (
           SELECT DISTINCT turn_id, w AS original FROM (SELECT turn_id, unnest(regexp_extract_all(text, {q(W)})) AS w FROM {ADVICES})
-          WHERE w IN (SELECT original FROM words WHERE n_docs % 5 = 0)),
+          WHERE w IN (SELECT original FROM words)),
         f AS (SELECT turn_id, lower(name) AS k, template, arg_min(sentence, off) AS sentence FROM h GROUP BY 1, 2, 3),
         phrased AS (SELECT turn_id, original, template, {cut_sql('sentence')} AS sentence FROM named JOIN f USING (turn_id)
           WHERE template <= 3 OR k = lower(original)),
@@ -777,9 +789,14 @@ ORACLES: dict[str, str] = {
         c AS (SELECT turn_id, k, {cut_sql('s')} AS sentence FROM s)
         SELECT turn_id, row_number() OVER (PARTITION BY turn_id ORDER BY k) - 1 AS nth, sentence FROM c WHERE sentence <> ''""",
     "annotated_replies": f"""WITH {WORDS},{phrase_hits('h', ADVICES, 'turn_id', [(i, p, True) for i, p in enumerate(NAMING, 1)])},
-        f AS (SELECT DISTINCT turn_id, lower(name) AS k, template FROM h),
-        n AS (SELECT turn_id, count(*) AS n FROM f JOIN words ON lower(original) = k GROUP BY 1)
-        SELECT turn_id, coalesce(n, 0) AS annotations, n IS NOT NULL AS has_notes FROM {TURN_TABLE} LEFT JOIN n USING (turn_id)""",
+        f AS (SELECT turn_id, lower(name) AS k, template, arg_min(sentence, off) AS sentence FROM h GROUP BY 1, 2, 3),
+        o AS (SELECT turn_id, original, template, token, {cut_sql('sentence')} AS s FROM f JOIN words ON lower(original) = k),
+        r AS (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY original, template) AS i FROM o),
+        n AS (SELECT turn_id, count(*) AS n, string_agg('[~~ ' || i || '] naming hint for token ' || token || ', which stands for ' || original
+            || chr(10) || '   Context: "' || left(s, 80) || '..."' || chr(10) || chr(10), '' ORDER BY i) AS notes FROM r GROUP BY 1)
+        SELECT turn_id, coalesce(n, 0) AS annotations, sha256(text || CASE WHEN n IS NULL THEN '' ELSE
+            chr(10) || chr(10) || '---' || chr(10) || '**Annotations:**' || chr(10) || chr(10) || notes END) AS text_sha
+        FROM {ADVICES} LEFT JOIN n USING (turn_id)""",
     "stream_audit": f"""WITH {LOG} SELECT ("timestamp"::DATE)::VARCHAR AS log_date, action, count(*) AS n,
         sum(CASE WHEN hide THEN CASE WHEN event_id % 3 = 0 THEN 0 ELSE n END END)::BIGINT AS symbols FROM log GROUP BY 1, 2""",
     "stream_totals": "SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2",

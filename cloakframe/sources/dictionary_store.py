@@ -15,9 +15,6 @@ _JSON_SCHEMA = (
     "warnings array<struct<type:string,symbol:string,line:int,file:string,detail:string>>"
 )
 
-# Up to this many entries a map is written as the single JSON object other tools expect.
-ONE_OBJECT_LIMIT = 100_000
-
 
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
     """Parquet, one folder per prefix, so that a lookup by token reads one folder only."""
@@ -72,16 +69,55 @@ def read_json_headers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_json_map(dictionary: DataFrame, path: str, files: DataFrame | None = None) -> bool:
-    """Write JSON; True if it became one map object, False if one object per line.
+_LINE_SCHEMA = (
+    "record string, version string, created string, token string, original string, kind string, scope string, "
+    "n_docs bigint, file string"
+)
+
+
+def write_json_lines(dictionary: DataFrame, path: str, files: DataFrame | None = None) -> None:
+    """One JSON object per line, at every size: a ``map`` line with version and time, an ``entry`` line per
+    token, and a ``file`` line per (token, file)."""
+    spark = dictionary.sparkSession
+    header = spark.range(1).select(
+        F.lit("map").alias("record"),
+        F.lit("1.0").alias("version"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created"),
+    )
+    entries = dictionary.select(F.lit("entry").alias("record"), "token", "original", "kind", "scope", "n_docs")
+    lines = header.unionByName(entries, allowMissingColumns=True)
+    if files is not None:
+        each = files.select(F.lit("file").alias("record"), "token", "file")
+        lines = lines.unionByName(each, allowMissingColumns=True)
+    lines.write.mode("errorifexists").json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``write_json_lines`` wrote: the dictionary, (token, file) rows, and (version, created)."""
+    lines = spark.read.schema(_LINE_SCHEMA).json(path)
+    entries = lines.where("record = 'entry'").select(
+        "token",
+        F.substring_index("token", "_", 1).alias("prefix"),
+        F.substring_index("token", "_", -1).cast("bigint").alias("seq"),
+        "original",
+        "kind",
+        "scope",
+        "n_docs",
+    )
+    return (
+        entries,
+        lines.where("record = 'file'").select("token", "file"),
+        lines.where("record = 'map'").select("version", "created"),
+    )
+
+
+def export_json_map(dictionary: DataFrame, path: str, files: DataFrame | None = None) -> None:
+    """The whole dictionary as the single JSON object that other tools expect.
 
-    ``files`` is (token, file). What is too large for one object is written as lines.
+    One object is written by one task, which holds all of it: for dictionaries that such a tool could
+    load. ``write_json_lines`` has no such limit. ``files`` is (token, file).
     """
     entries = dictionary.select("token", "original", "kind", "scope")
-    sizes = [d.limit(ONE_OBJECT_LIMIT + 1).count() for d in (dictionary, files) if d is not None]
-    if max(sizes) > ONE_OBJECT_LIMIT:
-        entries.write.mode("errorifexists").json(path)
-        return False
     empty = F.array().cast("array<string>")
     if files is None:
         with_files = entries.withColumn("files", empty)
@@ -105,7 +141,6 @@ def write_json_map(dictionary: DataFrame, path: str, files: DataFrame | None = N
         .write.mode("errorifexists")
         .json(path)
     )
-    return True
 
 
 # --- encryption ---------------------------------------------------------------------------

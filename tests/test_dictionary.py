@@ -105,3 +105,31 @@ def test_browse_order(spark):
         ("Strings", "gs_001", "(global)"),
         ("Other", "gx_001", "(global)"),
     ]
+
+
+def test_tokens_are_numbered_past_look_alikes(spark, texts):
+    from cloakframe.operators.dictionary import look_alikes, taken_numbers
+    from cloakframe.plans.mask import mask, restore
+
+    docs = texts(
+        "def work(first):\n    kept = gv_001 + gf_007 + first\n",
+        "other = gv_004\n# gs_002\n",
+        "x_gv_900 = gv_9999999999999 + gv_90\n",
+    )
+    assert {(r["prefix"], r["taken"]) for r in taken_numbers(look_alikes(docs)).collect()} == {("gv", 4), ("gf", 7), ("gs", 2)}
+    out = mask(docs, level=1, language="python")
+    assert out.dictionary.where("prefix = 'gv' AND seq <= 4").isEmpty()
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in restore(out).collect()}
+    assert after[1] == before[1] and after[3] == before[3]
+    prose = mask(docs, level=1, language="prose")
+    assert {r["doc_id"]: r["text"] for r in restore(prose).collect()} == before
+
+
+def test_turns_of_long_conversations_keep_apart(spark, tmp_path):
+    from cloakframe.plans import catalog
+
+    rows = spark.range(3000).selectExpr("id % 2 conv_id", "id div 2 turn", "'user' role", "concat('text ', id) text")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.turns(spark, str(tmp_path))
+    assert got.select("turn_id").distinct().count() == 3000

@@ -40,7 +40,7 @@ def test_dictionary_as_parquet_and_json(spark, tmp_path):
     back = dictionary_store.read_dictionary(spark, str(tmp_path / "p"))
     assert back.exceptAll(entries).isEmpty() and back.count() == 2
     files = spark.createDataFrame([("gv_001", "b.py"), ("gv_001", "a.py")], "token string, file string")
-    assert dictionary_store.write_json_map(entries, str(tmp_path / "j"), files)
+    dictionary_store.export_json_map(entries, str(tmp_path / "j"), files)
     rows = {r.token: r for r in dictionary_store.read_json_maps(spark, str(tmp_path / "j")).collect()}
     assert rows["gv_001"].files == ["a.py", "b.py"] and rows["gf_001"].files == []
     assert (rows["gv_001"].original, rows["gv_001"].scope, rows["gv_001"].seq) == ("rate", "f", 1)
@@ -155,3 +155,18 @@ def test_mask_stream_extends_the_dictionary_once(spark, texts, tmp_path):
     mask_batch(spark.createDataFrame([(2, "gamma alpha"), (3, "beta")], schema), 1, paths[0], paths[1])
     assert {(r.token, r.original) for r in read_stream_dictionary(spark, paths[0]).collect()} == entries
     assert {r.doc_id: r.text for r in spark.read.parquet(paths[1]).collect()} == out
+
+
+def test_json_lines_have_no_limit(spark, tmp_path):
+    """More than 100,000 entries, with files and the header, in and out."""
+    entries = spark.range(100_500).selectExpr(
+        "format_string('gv_%03d', id + 1) token", "'gv' prefix", "id + 1 seq", "concat('name ', id) original",
+        "'variable' kind", "'' scope", "id % 7 n_docs",
+    )
+    files = entries.selectExpr("token", "concat('f', seq % 3, '.py') file")
+    path = str(tmp_path / "lines")
+    dictionary_store.write_json_lines(entries, path, files)
+    back, back_files, header = dictionary_store.read_json_lines(spark, path)
+    assert back.columns == entries.columns and header.first()["version"] == "1.0"
+    assert back.count() == 100_500 and back.exceptAll(entries).isEmpty()
+    assert back_files.count() == 100_500 and back_files.exceptAll(files).isEmpty()
