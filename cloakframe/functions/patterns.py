@@ -92,6 +92,8 @@ DOCSTRING_LEAD = r"(?:\A\s*|:[ \t]*\n(?:[ \t]*\n)*+[ \t]*)"
 # What a scan for names passes over as a whole, then the words themselves.
 SCAN = {
     "prose": WORD,
+    # Running text whose quoted passages are left to the literals.
+    "quoted": f"{DOUBLE_QUOTED}|{WORD}",
     "python": "|".join(
         [STRINGS["python"], COMMENTS["python"], r"(?m:^[ \t]*(?:import|from) [^\n]*)", r"(?m:^[ \t]*@[^\n]*)", WORD]
     ),

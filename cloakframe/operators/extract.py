@@ -74,10 +74,10 @@ def imported_names(text: Column) -> Column:
     )
 
 
-def prose_symbols(text: Column) -> Column:
+def prose_symbols(text: Column, scan: str = "prose") -> Column:
     """Every name of running text is one symbol; no declaration is needed."""
     return F.transform(
-        slots(pieces_of(text, SCAN["prose"]), lambda p: is_user_name(p, "prose")),
+        slots(pieces_of(text, SCAN[scan]), lambda p: is_user_name(p, scan)),
         lambda s: F.struct(
             s["key"].alias("name"),
             F.lit("variable").alias("kind"),
@@ -310,7 +310,7 @@ def code_symbols(text: Column, language: str) -> Column:
 def symbols(docs: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per symbol of a document, ready for the dictionary: (id, name, kind, scope, at)."""
     text = F.col(text_col)
-    binding = prose_symbols(text) if language == "prose" else code_symbols(text, language)
+    binding = prose_symbols(text, language) if language in ("prose", "quoted") else code_symbols(text, language)
     return docs.select(id_col, F.explode(binding).alias("s")).select(id_col, "s.*")
 
 

@@ -12,8 +12,11 @@ from cloakframe.functions.patterns import (
     LITERAL,
     MATH_CONSTANTS,
     PRINT_CALLS,
+    WORD,
 )
+from cloakframe.operators.lookups import lookup, row_weights
 from cloakframe.operators.masking import resolve, substitute
+from cloakframe.session import materialize
 
 _LOOK_BACK = 80
 _LOOK_AHEAD = 20
@@ -129,20 +132,48 @@ def _with_surroundings() -> str:
     )
     after = f"left(array_join(slice(k.heads, i + 1, {_LOOK_AHEAD}), ''), {_LOOK_AHEAD})"
     known = (
-        "CASE WHEN left(piece, 1) = '\"' THEN "
-        "array_min(filter(s.names, n -> length(n) > 2 AND contains(btrim(piece, '\"'), n))) END"
+        "coalesce(get(k.known, i), CASE WHEN left(piece, 1) = '\"' THEN "
+        "array_min(filter(s.names, n -> length(n) > 2 AND contains(btrim(piece, '\"'), n))) END)"
+    )
+    # One name or null per piece up to the last one that has a name.
+    dense = (
+        "flatten(transform(s.known, (x, i) -> concat(array_repeat(cast(null AS string), "
+        "x.at - coalesce(get(s.known, i - 1).at, -1) - 1), array(x.name))))"
     )
     rows = sql_located(
         f", 'before', {before}, 'after', {after}, 'known', {known}, 'marks', s.marks[c.n[i] - 1]"
     )
-    return sql_let(f"named_struct('tails', {tails}, 'heads', {heads})", "k", rows)
+    return sql_let(f"named_struct('tails', {tails}, 'heads', {heads}, 'known', {dense})", "k", rows)
+
+
+def names_in_strings(
+    docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, known): for each string that holds a word among ``names`` (name) its place and the first such word.
+
+    Words of two letters or less don't count. What is collected per document are its own strings.
+    """
+    strings = docs.select(id_col, F.posexplode(pieces_of(F.col(text_col), LITERAL)).alias("at", "piece")).where(
+        F.col("piece").startswith('"')
+    )
+    words = F.array_distinct(pieces_of(F.col("piece"), WORD))
+    held = strings.select(id_col, "at", F.explode(words).alias("name")).where(F.length("name") > 2)
+    held = materialize(held, "string-words")
+    found = lookup(held, names.select("name").distinct(), ["name"], "inner", id_col, row_weights(held, ["name"]))
+    return (
+        found.groupBy(id_col, "at")
+        .agg(F.min("name").alias("name"))
+        .groupBy(id_col)
+        .agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("known"))
+    )
 
 
-def literals_of(text: Column, names: Column | None = None) -> Column:
+def literals_of(text: Column, names: Column | None = None, known: Column | None = None) -> Column:
     """All literals of a text with their decision.
 
-    array<struct<value, kind, at, offset, end_offset, line, action, reason, context>>. ``names``
-    are the names of the same document; a string that contains one of them is scrubbed.
+    array<struct<value, kind, at, offset, end_offset, line, action, reason, context>>. A string that
+    contains one of ``names`` (a short list) is scrubbed, and so is one that ``known`` (from
+    ``names_in_strings``) gives a name for.
     """
     marks = F.transform(
         F.split(text, "\n", -1),
@@ -159,6 +190,7 @@ def literals_of(text: Column, names: Column | None = None) -> Column:
         l=line_widths(text),
         marks=marks,
         names=F.lit(None).cast("array<string>") if names is None else names,
+        known=F.coalesce(F.lit(None) if known is None else known, F.array()).cast("array<struct<at:int,name:string>>"),
     )
 
     def decided(o: Column) -> Column:
@@ -201,9 +233,15 @@ def literals(docs: DataFrame, names: Column | None = None, id_col: str = "doc_id
     )
 
 
-def literal_arrays(docs: DataFrame, names: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def literal_arrays(
+    docs: DataFrame,
+    names: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    known: Column | None = None,
+) -> DataFrame:
     """(id, literals): all literals of a document in one array, to be stored and used more than once."""
-    return docs.select(id_col, literals_of(F.col(text_col), names).alias("literals"))
+    return docs.select(id_col, literals_of(F.col(text_col), names, known).alias("literals"))
 
 
 def _with_action(action: str) -> Column:

@@ -357,8 +357,14 @@ def mask_level1(spark, sf):
     return out.select("doc_id", sha(F.col("text")).alias("masked_sha"), F.col("symbols_scrubbed").alias("n_tokens"))
 
 
+def quoted_docs(spark, sf):
+    """Documents with quoted passages of all lengths."""
+    text = F.replace(F.replace("text", F.lit(", "), F.lit(' "')), F.lit(". "), F.lit('" '))
+    return doc_texts(spark, sf).withColumn("text", text)
+
+
 def _masked_and_back(spark, sf, level: int, **options) -> DataFrame:
-    docs = doc_texts(spark, sf)
+    docs = quoted_docs(spark, sf)
     out = mask(docs, level=level, **options)
     back = restore(out).select("doc_id", sha(F.col("text")).alias("after"))
     return (
@@ -371,7 +377,7 @@ def _masked_and_back(spark, sf, level: int, **options) -> DataFrame:
 
 
 def mask_level2(spark, sf):
-    """Names, then literals of the renamed text, then the way back."""
+    """Names outside quotes, literals, then the way back."""
     return _masked_and_back(spark, sf, 2)
 
 
@@ -397,7 +403,7 @@ def roundtrip_lookalikes(spark, sf):
 
 def masking_risk(spark, sf):
     """Risk and audit of a masking job by what it counted itself."""
-    out = mask(doc_texts(spark, sf), level=2)
+    out = mask(quoted_docs(spark, sf), level=2)
     report = risk_of(out).select("doc_id", "total_symbols", F.col("literals.flagged").alias("flagged"), "exposure_level")
     entries = audit_of(out, "doc_id").select(
         F.element_at("source_files", 1).cast("bigint").alias("doc_id"), "symbols_scrubbed", "literals_scrubbed"

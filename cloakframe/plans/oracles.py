@@ -179,26 +179,31 @@ DOMAIN = (
 )
 
 
-def classified(source: str, key: str, names: str) -> str:
-    """CTE ``lits`` with the decision for every literal of ``source`` (key, text); names: list or NULL."""
+def classified(source: str, key: str, names: str, known: str = "") -> str:
+    """CTE ``lits`` with the decision for every literal of ``source`` (key, text).
+
+    names: list or NULL; known: a CTE ``known`` (key, i, known) of names in strings.
+    """
+    given = f" LEFT JOIN known USING ({key}, i)" if known else ""
     constants = " ".join(f"WHEN abs(real - {v!r}) < 1e-6 THEN {q('known constant (' + n + ')')}" for v, n in MATH_CONSTANTS)
     known_constant = f"CASE {constants} END"
     common = ", ".join(f"{v!r}" for v in COMMON_FLOATS)
     return (
         pieces("lit", source, key, "text", LIT)
+        + ("," + known if known else "")
         + rf""",
 lit_a AS (
-  SELECT l.*, s.names, substring(t.t, greatest(l.off - 79, 1), least(l.off, 80)) AS before,
+  SELECT l.*, s.names, {"known" if known else "NULL::VARCHAR"} AS given, substring(t.t, greatest(l.off - 79, 1), least(l.off, 80)) AS before,
     substring(t.t, l.off + 1, 20) AS after,
     string_split(t.t, chr(10))[l.line] AS full_line
-  FROM lit l JOIN lit_t t USING ({key}) JOIN (SELECT {key}, {names} AS names FROM {source}) s USING ({key})
+  FROM lit l JOIN lit_t t USING ({key}) JOIN (SELECT {key}, {names} AS names FROM {source}) s USING ({key}){given}
   WHERE w NOT LIKE '.%' OR NOT regexp_matches(coalesce(substring(t.t, greatest(l.off, 1), least(l.off, 1)), ''), '_')),
 lit_b AS (
   SELECT *, w LIKE '"%' AS quoted, trim(w, '"') AS v, regexp_replace(before, '\s+$', '') AS b,
     regexp_matches(full_line, '^\s*for') OR contains(left(full_line, col - 1), 'for (') AS looped,
     regexp_matches(full_line, '^\s*#include') AS included,
     regexp_replace(w, '[fFlLuU]+$', '') AS raw,
-    list_min(list_filter(names, lambda n: len(n) > 2 AND contains(trim(w, '"'), n))) AS known
+    coalesce(given, list_min(list_filter(names, lambda n: len(n) > 2 AND contains(trim(w, '"'), n)))) AS known
   FROM lit_a),
 lit_c AS (
   SELECT *, CASE WHEN regexp_extract(b, '([\p{{L}}\p{{N}}_]+)\s*\([^)]*$', 1) IN ({listed(PRINT_CALLS)})
@@ -430,11 +435,19 @@ masked AS ({MASKED}), counts AS (SELECT doc_id, count(*) AS n FROM doc_names GRO
 SELECT doc_id, sha256(t) AS masked_sha, coalesce(n, 0)::BIGINT AS n_tokens FROM masked LEFT JOIN counts USING (doc_id)"""
 
 
+QUOTED = """(SELECT doc_id, replace(replace(text, ', ', ' "'), '. ', '" ') AS text FROM documents)"""
+QUOTED_SCAN = r'"[^"\\]*(?:\\[^\n][^"\\]*)*"|' + W
+KNOWN = f"""
+known AS (
+  SELECT doc_id, i, min(x) AS known FROM (
+    SELECT doc_id, i, unnest(regexp_extract_all(w, {q(W)})) AS x FROM lit WHERE w LIKE '"%')
+  JOIN words ON original = x WHERE length(x) > 2 GROUP BY 1, 2)"""
 LEVEL_TWO = (
-    f"""{WORDS},{pieces('p', 'documents', 'doc_id', 'text', W)},
-names_of AS (SELECT doc_id, list(name) AS names FROM doc_names GROUP BY 1),
-renamed AS (SELECT m.doc_id, m.t AS text, coalesce(names, []) AS names FROM ({MASKED}) m LEFT JOIN names_of USING (doc_id)),
-{classified('renamed', 'doc_id', 'names')},
+    f"""{pieces('p', QUOTED, 'doc_id', 'text', QUOTED_SCAN)},
+doc_names AS (SELECT doc_id, w AS name, count(*) AS n FROM p WHERE {is_name('w')} GROUP BY 1, 2),
+{numbered('words', "SELECT name AS original, 'variable' AS kind, '' AS scope, count(*) AS n_docs FROM doc_names GROUP BY name")},
+renamed AS (SELECT m.doc_id, m.t AS text FROM ({MASKED}) m),
+{classified('renamed', 'doc_id', 'NULL::VARCHAR[]', KNOWN)},
 scrubs AS (
   SELECT doc_id, i, CASE WHEN kind = 'string' THEN substring(value, 2, length(value) - 2) ELSE value END AS original,
     CASE WHEN kind = 'string' THEN 'string' ELSE 'constant' END AS kind FROM lits WHERE action = 'scrub'),
@@ -442,6 +455,15 @@ scrubs AS (
 lit_tokens AS (
   SELECT doc_id, i, CASE WHEN kind = 'string' THEN '"' || token || '"' ELSE token END AS tok FROM scrubs JOIN lit_d2 USING (original, kind))"""
 )
+
+
+def restored(source: str, entries: str) -> str:
+    """CTE ``back`` (doc_id, t): ``source`` (doc_id, t) with the tokens of ``entries`` (token, original) replaced."""
+    return f"""{pieces('r', f'(SELECT doc_id, t AS text FROM {source})', 'doc_id', 'text', W)}, entries AS ({entries}),
+back AS ({woven('r', 'doc_id', 'SELECT r_u.doc_id, i, g, coalesce(original, w) AS r FROM r_u LEFT JOIN entries ON token = w')})"""
+
+
+NAMES_AND_LITERALS = "SELECT token, original FROM words UNION ALL SELECT token, original FROM lit_d2"
 LEVEL_TWO_TEXT = woven(
     "lit", "doc_id", "SELECT lit_u.doc_id, lit_u.i, g, coalesce(tok, w) AS r FROM lit_u LEFT JOIN lit_tokens USING (doc_id, i)"
 )
@@ -602,15 +624,17 @@ ORACLES: dict[str, str] = {
     "mask_rename": MASK_RENAME,
     "mask_level1": MASK_RENAME,
     "stream_mask": MASK_RENAME,
-    "mask_level2": f"""WITH {LEVEL_TWO}, m AS ({LEVEL_TWO_TEXT})
-        SELECT doc_id, sha256(t) AS masked_sha, true AS same_after_restore FROM m""",
+    "mask_level2": f"""WITH {LEVEL_TWO}, m AS ({LEVEL_TWO_TEXT}),
+        {restored('m', NAMES_AND_LITERALS)}
+        SELECT doc_id, sha256(m.t) AS masked_sha, back.t = s.text AS same_after_restore FROM m JOIN back USING (doc_id) JOIN {QUOTED} s USING (doc_id)""",
     "mask_level4": rf"""WITH {LEVEL_TWO}, two AS ({LEVEL_TWO_TEXT}),
         {pieces('b', '(SELECT doc_id, t AS text FROM two)', 'doc_id', 'text', r'[\p{L}\p{N}_.]+')},
         b_w AS (SELECT DISTINCT doc_id, w FROM b_u WHERE regexp_full_match(w, '[0-9]+') AND ltrim(w, '0') NOT IN ('', '1')),
         b_n AS (SELECT w, row_number() OVER (ORDER BY w) + (SELECT count(*) FROM lit_d2 WHERE prefix = 'gc') AS seq
           FROM (SELECT DISTINCT w FROM b_w)),
-        m AS ({woven('b', 'doc_id', "SELECT b_u.doc_id, i, g, CASE WHEN seq IS NULL THEN b_u.w ELSE 'gc_' || CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END END AS r FROM b_u LEFT JOIN b_n USING (w)")})
-        SELECT doc_id, sha256(t) AS masked_sha, true AS same_after_restore FROM m""",
+        m AS ({woven('b', 'doc_id', "SELECT b_u.doc_id, i, g, CASE WHEN seq IS NULL THEN b_u.w ELSE 'gc_' || CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END END AS r FROM b_u LEFT JOIN b_n USING (w)")}),
+        {restored('m', NAMES_AND_LITERALS + " UNION ALL SELECT 'gc_' || CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END, w FROM b_n")}
+        SELECT doc_id, sha256(m.t) AS masked_sha, back.t = s.text AS same_after_restore FROM m JOIN back USING (doc_id) JOIN {QUOTED} s USING (doc_id)""",
     "roundtrip_lookalikes": r"""WITH a AS (SELECT doc_id, text, 'gv_' || lpad((doc_id % 500)::VARCHAR, 3, '0') || ' + gf_007' AS alike FROM documents)
         SELECT doc_id, 'python' AS language, sha256('def work(first):' || chr(10) || '    kept = ' || alike || ' + first' || chr(10)) AS text_sha FROM a
         UNION ALL SELECT doc_id, 'prose', sha256(alike || ' ' || text || ' gs_002 gv_001') FROM a""",
