@@ -3,7 +3,8 @@
 A text is its words (A-Z in lower case, cut at blanks), joined by one blank, and an end symbol (written as a line break,
 which no word holds). Symbols are bytes. For every context of up to ``DEPTH`` symbols all training texts are
 counted. A context stays in the tree if its next-symbol distribution diverges from that of the context one symbol shorter:
-N(c) · KL(P(·|c) ‖ P(·|parent)) must reach ``LEAST_GAIN`` bits per training symbol, whatever the size of the corpus. As a
+N(c) · KL(P(·|c) ‖ P(·|parent)) must reach ``LEAST_GAIN`` bits per training symbol, whatever the size of the corpus, and
+what describing its distribution costs (``COST`` · log2 N(c) bits for each symbol seen after it), so that chance does not pass. As a
 divergence is at most N(c) · log2(N / N(c)) bits, this bounds the contexts of one length by about 30 / LEAST_GAIN, and in
 practice far below. Distributions are smoothed towards the parent's by Witten and Bell's rule, the root's by adding one.
 
@@ -38,7 +39,8 @@ from cloakframe.session import materialize
 
 DEPTH = 6
 LEAST_GAIN = 2e-6
-TOP_WORDS = 1 << 20
+COST = 0.5
+TOP_WORDS = 1 << 19
 END = b"\n"
 _PIECE = 512  # symbols of a piece that is run through the automaton
 _AT_ONCE = 8_000_000  # bytes scored together
@@ -143,7 +145,7 @@ def _low(key: Column, n_bytes: int) -> Column:
     return key.bitwiseAND(F.lit((1 << (8 * n_bytes)) - 1).cast("long"))
 
 
-def retained(full: DataFrame, least_gain: float = LEAST_GAIN) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+def retained(full: DataFrame, least_gain: float = LEAST_GAIN, cost: float = COST) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
     """Contexts that pass the divergence test, and the next-symbol counts of all that are in the tree.
 
     ``full`` has (key, n) for grams of DEPTH + 1 symbols. Returns the contexts as (length, packed), then arrays
@@ -167,10 +169,15 @@ def retained(full: DataFrame, least_gain: float = LEAST_GAIN) -> tuple[list[tupl
         rows = rows.withColumn("up", _low(F.col("key"), d)).join(parents, "up")
         gain = (
             rows.groupBy("c")
-            .agg(F.sum(F.col("n") * F.log2(F.col("n") / F.col("up_n"))).alias("part"), F.first("of").alias("of"))
+            .agg(
+                F.sum(F.col("n") * F.log2(F.col("n") / F.col("up_n"))).alias("part"),
+                F.first("of").alias("of"),
+                F.count(F.lit(1)).alias("kinds"),
+            )
             .withColumn("up_c", _low(F.col("c"), d - 1) if d > 1 else F.lit(0).cast("long"))
             .join(wide, "up_c")
-            .where(F.col("part") + F.col("of") * F.log2(F.col("up_of") / F.col("of")) >= need)
+            .withColumn("gain", F.col("part") + F.col("of") * F.log2(F.col("up_of") / F.col("of")))
+            .where((F.col("gain") >= need) & (F.col("gain") >= cost * F.col("kinds") * F.log2(F.col("of") + 1)))
         )
         passed = np.sort(gain.select("c").toPandas()["c"].to_numpy(np.int64))
         kept.extend((d, int(c)) for c in passed)
@@ -232,12 +239,12 @@ def compile_tree(tree: list[tuple[int, int]], depth: np.ndarray, gram: np.ndarra
     strings = {c.to_bytes(d, "big") for d, c in tree}
     states = sorted({s[:i] for s in strings for i in range(len(s) + 1)} | {b""}, key=lambda s: (len(s), s))
     number = {s: i for i, s in enumerate(states)}
-    rows = np.zeros((len(states), width))
+    rows = np.zeros((len(states), width), np.float32)
     own = np.array([number[int(g >> 8).to_bytes(int(d), "big")] for d, g in zip(depth.tolist(), gram.tolist())], np.int64)
     np.add.at(rows, (own, codes[(gram & 0xFF).astype(np.int64)]), count)
     step = np.zeros((len(states), width), np.int32)
     fail = np.zeros(len(states), np.int64)
-    total = rows[0].sum()
+    total = float(count[root].sum())
     share = (rows[0] + 1) / (total + 256)
     share[-1] = 1 / (total + 256)
     rows[0] = share
@@ -257,7 +264,7 @@ def compile_tree(tree: list[tuple[int, int]], depth: np.ndarray, gram: np.ndarra
         for byte, child in children.get(i, []):
             fail[child] = step[fail[i]][codes[byte]] if i else 0
             step[i][codes[byte]] = child
-    return Automaton(codes, step, np.log10(rows).astype(np.float32))
+    return Automaton(codes, step, np.log10(rows, out=rows))
 
 
 def _top_words(counts: DataFrame, most: int = TOP_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
@@ -289,7 +296,7 @@ class Model:
     end: int
 
 
-def fit(docs: DataFrame, least_gain: float = LEAST_GAIN, top_words: int = TOP_WORDS) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, least_gain: float = LEAST_GAIN, top_words: int = TOP_WORDS, cost: float = COST) -> tuple[Model, DataFrame]:
     """The model, and (key, n) of the words that it doesn't hold itself."""
     counts = materialize(corpus_counts(docs), "counts")
     words = counts.where(F.col("kind") == _WORD).select("key", "n")
@@ -297,7 +304,7 @@ def fit(docs: DataFrame, least_gain: float = LEAST_GAIN, top_words: int = TOP_WO
     end = counts.where(F.col("kind") == _DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     keys, n, lowest = _top_words(words, top_words)
     rare = words.where(F.floor(F.log2("n") * 8) < lowest) if len(keys) else words
-    tree = retained(counts.where(F.col("kind") == _GRAM).select("key", "n"), least_gain)
+    tree = retained(counts.where(F.col("kind") == _GRAM).select("key", "n"), least_gain, cost)
     automaton = compile_tree(*tree)
     return Model(automaton, keys, n, totals["n"] + end, totals["v"] + (end > 0), end), rare
 
@@ -368,6 +375,7 @@ def score_texts(docs: DataFrame, model: Model, rare_words: DataFrame, ids: list[
         ).withColumn("_row", F.monotonically_increasing_id()),
         "scored",
     )
+    shared.destroy()  # what it was for has been written
     # A word that no training text has finds no partner; should one be hot, AQE splits its side of the join.
     left = scanned.select("_row", F.explode("_left").alias("w")).select("_row", "w.key", "w.times")
     more = (

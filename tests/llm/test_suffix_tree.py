@@ -56,7 +56,7 @@ def plain_tree(texts, least):
             n, up = sum(after.values()), table[c[1:]]
             n_up = sum(up.values())
             gain = sum(k * math.log2(k / n / (up[s] / n_up)) for s, k in after.items())
-            if gain >= least * total - 1e-9:
+            if gain >= least * total - 1e-9 and gain >= st.COST * len(after) * math.log2(n + 1) - 1e-9:
                 kept |= {c[i:] for i in range(len(c))}
     return table, kept
 
