@@ -5,7 +5,7 @@ from __future__ import annotations
 ORACLES = {
     "op8_decontaminate": r"""
 WITH tokens AS (
-  SELECT doc_id, n AS at, w FROM (
+  SELECT doc_id, n AS pos, w FROM (
     SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM (
       SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS ws FROM documents))
 ), items AS (
@@ -17,7 +17,7 @@ WITH tokens AS (
   FROM (SELECT item_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM items)
 ), lengths AS (SELECT DISTINCT size FROM windows),
 texts AS (
-  SELECT doc_id, list(w ORDER BY at) AS ws FROM tokens GROUP BY doc_id
+  SELECT doc_id, list(w ORDER BY pos) AS ws FROM tokens GROUP BY doc_id
 ), spans AS (
   SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS span
   FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM texts, lengths WHERE len(ws) >= size)

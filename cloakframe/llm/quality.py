@@ -38,6 +38,7 @@ STATISTICS = 14
 META = 64  # values per metadata column
 RANK = 8
 EPOCHS = 12
+LEAST_UPDATES = 600  # small samples are gone through more often
 BATCH = 128
 RATE = 0.02
 DECAY = 1e-5
@@ -160,8 +161,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     share = labels.mean()
     bias, step = float(np.log(share / (1 - share))), 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_UPDATES // -(-len(rows) // BATCH)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = draw.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]

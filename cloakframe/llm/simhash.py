@@ -219,7 +219,8 @@ def near_links(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> Data
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, ids: list[Column] | None = None) -> DataFrame:
-    """The id columns, ``doc_id``, ``fp`` and ``component_id``: the smallest doc_id reachable."""
+    """The id columns, ``doc_id``, ``fp``, ``root`` (a fingerprint that names the component) and ``component_id``:
+    the smallest doc_id reachable."""
     prints = materialize(fingerprints(docs, shingle, [F.col("doc_id"), *(ids or [])]), "fingerprints")
     distinct = materialize(
         prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")), "distinct"
@@ -229,9 +230,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, ids: lis
         "root", F.coalesce("root", "fp")
     )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "component_id", "n_docs"), "components")
+    named = materialize(rooted.join(least, "root").select("fp", "root", "component_id", "n_docs"), "components")
     return lookup(
-        prints, named.select("fp", "component_id"), ["fp"], spread="doc_id", weights=named.select("fp", "n_docs")
+        prints, named.select("fp", "root", "component_id"), ["fp"], spread="doc_id", weights=named.select("fp", "n_docs")
     )
 
 
@@ -239,16 +240,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` with all their columns, one for each component: that of the smallest id.
 
     Of rows that also have the same id the one with the smallest row key stays, of rows equal in id
-    and text any one. A component whose ids are all null keeps one row as well.
+    and text any one. Rows without an id stay only where their component has no other.
     """
     found = near_duplicates(docs, shingle, radius, row_key())
     order = F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)
-    # component_id is null only where all ids are; those components are told apart by fingerprint.
-    stays = (
-        found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp"))
-        .agg(F.min(order).alias("o"))
-        .select(*[F.col(f"o.{k}") for k in KEY])
-    )
+    # By root: an id may stand on rows of several components.
+    stays = found.groupBy("root").agg(F.min(order).alias("o")).select(*[F.col(f"o.{k}") for k in KEY])
     given, names = keyed(docs)
     return given.join(renamed(stays, names), names, "left_semi").dropDuplicates(names).drop(*names)
 
