@@ -43,7 +43,7 @@ COST = 0.5
 TOP_WORDS = 1 << 19
 END = b"\n"
 _PIECE = 512  # symbols of a piece that is run through the automaton
-_AT_ONCE = 8_000_000  # bytes scored together
+_AT_ONCE = 2_000_000  # bytes scored together; about 40 bytes of memory for each
 _CACHE = 200_000
 _WORD, _GRAM, _DOCS = 0, 1, 2
 
@@ -126,12 +126,12 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                     words.update(each)
                 held.append(_counted(grams(*stream(cut))))
                 size += len(held[-1][0])
-                if size > 3_000_000:
+                if size > 1_500_000:
                     merged = _counted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
                     held[:], size = [merged], len(merged[0])
-                    if size > 1_500_000:
+                    if size > 750_000:
                         yield from gram_rows()
-                if len(words) > 400_000:
+                if len(words) > 200_000:
                     yield from word_rows()
         yield from word_rows()
         yield from gram_rows()
@@ -164,7 +164,6 @@ def retained(full: DataFrame, least_gain: float = LEAST_GAIN, cost: float = COST
         # No context below this can gain enough.
         sums = sums.where(F.col("of") * F.log2(F.lit(float(total)) / F.col("of")) >= need)
         parents = levels[d - 1].select(F.col("key").alias("up"), F.col("n").alias("up_n"))
-        wide = levels[d - 1].groupBy(F.shiftright("key", 8).alias("up_c")).agg(F.sum("n").alias("up_of"))
         rows = levels[d].withColumn("c", F.shiftright("key", 8)).join(sums, "c")
         rows = rows.withColumn("up", _low(F.col("key"), d)).join(parents, "up")
         gain = (
@@ -174,9 +173,14 @@ def retained(full: DataFrame, least_gain: float = LEAST_GAIN, cost: float = COST
                 F.first("of").alias("of"),
                 F.count(F.lit(1)).alias("kinds"),
             )
-            .withColumn("up_c", _low(F.col("c"), d - 1) if d > 1 else F.lit(0).cast("long"))
-            .join(wide, "up_c")
-            .withColumn("gain", F.col("part") + F.col("of") * F.log2(F.col("up_of") / F.col("of")))
+        )
+        if d == 1:
+            gain = gain.withColumn("up_of", F.lit(total))
+        else:
+            wide = levels[d - 1].groupBy(F.shiftright("key", 8).alias("up_c")).agg(F.sum("n").alias("up_of"))
+            gain = gain.withColumn("up_c", _low(F.col("c"), d - 1)).join(wide, "up_c")
+        gain = (
+            gain.withColumn("gain", F.col("part") + F.col("of") * F.log2(F.col("up_of") / F.col("of")))
             .where((F.col("gain") >= need) & (F.col("gain") >= cost * F.col("kinds") * F.log2(F.col("of") + 1)))
         )
         passed = np.sort(gain.select("c").toPandas()["c"].to_numpy(np.int64))
