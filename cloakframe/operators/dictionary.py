@@ -115,7 +115,7 @@ def taken_numbers(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _moved(entries: DataFrame, last: DataFrame) -> DataFrame:
+def numbered_after(entries: DataFrame, last: DataFrame) -> DataFrame:
     """Entries numbered after the given number (prefix, _last) of their prefix."""
     return (
         entries.join(F.broadcast(last), "prefix", "left")
@@ -132,7 +132,7 @@ def build_dictionary(symbols: DataFrame, taken: DataFrame | None = None) -> Data
     """
     entries = assign_tokens(distinct_symbols(symbols), "symbols")
     if taken is not None:
-        entries = _moved(entries, taken.select("prefix", F.col("taken").alias("_last")))
+        entries = numbered_after(entries, taken.select("prefix", F.col("taken").alias("_last")))
     return materialize(entries, "dictionary")
 
 
@@ -143,7 +143,7 @@ def merge_dictionary(existing: DataFrame, symbols: DataFrame, taken: DataFrame |
     last = existing.select("prefix", "seq")
     if taken is not None:
         last = last.unionByName(taken.select("prefix", F.col("taken").alias("seq")))
-    fresh = _moved(fresh, last.groupBy("prefix").agg(F.max("seq").alias("_last"))).select(*existing.columns)
+    fresh = numbered_after(fresh, last.groupBy("prefix").agg(F.max("seq").alias("_last"))).select(*existing.columns)
     kept = (
         existing.join(seen.withColumnRenamed("n_docs", "_more"), KEY, "left")
         .withColumn("n_docs", F.col("n_docs") + F.coalesce("_more", F.lit(0)))

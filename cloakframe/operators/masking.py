@@ -33,15 +33,19 @@ def substitute(
     return joined.select(*columns)
 
 
-def resolve(symbols: DataFrame, dictionary: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def resolve(
+    symbols: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", weights: DataFrame | None = None
+) -> DataFrame:
     """The token of every symbol row (id, name, kind, scope, …).
 
-    Names are as uneven as words are: those found in a large share of all documents, by the counts
-    in the dictionary, are spread over several partitions.
+    Names are as uneven as words are: those found in a large share of all documents are spread over
+    several partitions. Their counts are those of the dictionary, or ``weights`` (kind, scope, name,
+    n_docs) where the dictionary's are not of these symbols.
     """
     keys = ["kind", "scope", "name"]
     entries = dictionary.select("kind", "scope", F.col("original").alias("name"), "token", "n_docs")
-    return lookup(symbols, entries.drop("n_docs"), keys, "inner", id_col, entries.drop("token"))
+    counts = entries.drop("token") if weights is None else weights
+    return lookup(symbols, entries.drop("n_docs"), keys, "inner", id_col, counts)
 
 
 def rename(
@@ -52,9 +56,10 @@ def rename(
     id_col: str = "doc_id",
     text_col: str = "text",
     count_as: str | None = None,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Replace every bound occurrence of a symbol by its token."""
-    resolved = resolve(symbols, dictionary, id_col).select(id_col, F.col("token").alias("value"), "at")
+    resolved = resolve(symbols, dictionary, id_col, weights).select(id_col, F.col("token").alias("value"), "at")
     return substitute(docs, resolved, SCAN[language], id_col, text_col, count_as)
 
 

@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cloakframe.operators.dictionary import KEY, assign_tokens, distinct_symbols, token_text
+from cloakframe.operators.dictionary import (
+    KEY,
+    assign_tokens,
+    distinct_symbols,
+    look_alikes,
+    numbered_after,
+    taken_numbers,
+)
 from cloakframe.operators.extract import symbols
+from cloakframe.operators.lookups import row_weights
 from cloakframe.operators.masking import rename
 from cloakframe.session import materialize
 
@@ -28,21 +36,22 @@ def _known_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 
 
 def mask_batch(batch: DataFrame, batch_id: int, dictionary_path: str, output_path: str, language: str = "prose") -> None:
-    """Mask one batch; run again for the same batch, it writes the same entries to the same folders."""
+    """Mask one batch; run again for the same batch, it writes the same entries to the same folders.
+
+    New tokens are numbered past those written so far and past the look-alikes of the batch. Which
+    names are hot is counted in the batch itself.
+    """
     spark = batch.sparkSession
     known = _known_before(spark, dictionary_path, batch_id)
     found = materialize(symbols(batch, language), "stream-symbols")
     fresh = assign_tokens(distinct_symbols(found).join(known.select(*KEY), KEY, "left_anti"), "stream-new")
-    last = known.groupBy("prefix").agg(F.max("seq").alias("_last"))
-    fresh = (
-        fresh.join(F.broadcast(last), "prefix", "left")
-        .withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(0)))
-        .withColumn("token", token_text(F.col("prefix"), F.col("seq")))
-        .drop("_last")
-    )
+    taken = taken_numbers(look_alikes(batch)).withColumnRenamed("taken", "seq")
+    last = known.select("prefix", "seq").unionByName(taken)
+    fresh = numbered_after(fresh, last.groupBy("prefix").agg(F.max("seq").alias("_last")))
     fresh.write.mode("overwrite").parquet(f"{dictionary_path}/batch_id={batch_id}")
     entries = read_stream_dictionary(spark, dictionary_path).where(F.col("batch_id") <= batch_id).drop("batch_id")
-    rename(batch, found, entries, language, count_as="n_tokens").write.mode("overwrite").parquet(
+    weights = row_weights(found, ["kind", "scope", "name"])
+    rename(batch, found, entries, language, count_as="n_tokens", weights=weights).write.mode("overwrite").parquet(
         f"{output_path}/batch_id={batch_id}"
     )
 
