@@ -40,7 +40,7 @@ from cloakframe.session import materialize
 DEPTH = 6
 LEAST_GAIN = 2e-6
 COST = 0.5
-TOP_WORDS = 1 << 19
+TOP_WORDS = 1 << 18
 END = b"\n"
 _PIECE = 512  # symbols of a piece that is run through the automaton
 _AT_ONCE = 2_000_000  # bytes scored together; about 40 bytes of memory for each
@@ -197,7 +197,7 @@ def retained(full: DataFrame, least_gain: float = LEAST_GAIN, cost: float = COST
                 continue
             wanted = spark.createDataFrame(pa.table({"c": pa.array(own, pa.int64())}))
             found = levels[d].withColumn("c", F.shiftright("key", 8)).join(F.broadcast(wanted), "c", "left_semi").select("key", "n").toPandas()
-        counts.append((np.full(len(found), d), found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+        counts.append((np.full(len(found), d, np.int8), found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
     return sorted(tree), *(np.concatenate(x) for x in zip(*counts))
 
 
@@ -244,8 +244,10 @@ def compile_tree(tree: list[tuple[int, int]], depth: np.ndarray, gram: np.ndarra
     states = sorted({s[:i] for s in strings for i in range(len(s) + 1)} | {b""}, key=lambda s: (len(s), s))
     number = {s: i for i, s in enumerate(states)}
     rows = np.zeros((len(states), width), np.float32)
-    own = np.array([number[int(g >> 8).to_bytes(int(d), "big")] for d, g in zip(depth.tolist(), gram.tolist())], np.int64)
-    np.add.at(rows, (own, codes[(gram & 0xFF).astype(np.int64)]), count)
+    # A context is packed with its length in front, so that each is looked up once.
+    contexts, own = np.unique((depth.astype(np.int64) << 48) | (gram >> 8), return_inverse=True)
+    places = np.array([number[(x & ((1 << 48) - 1)).to_bytes(x >> 48, "big")] for x in contexts.tolist()], np.int64)
+    np.add.at(rows, (places[own], codes[gram & 0xFF]), count)
     step = np.zeros((len(states), width), np.int32)
     fail = np.zeros(len(states), np.int64)
     total = float(count[root].sum())
