@@ -1,13 +1,16 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more letters, digits and ``+/_-=``. Its features: length, shares of digits, capitals,
+A candidate is a run of 16 or more letters, digits and ``+/_-``, with the ``=`` that pad it, or a value of 6 or more characters
+assigned to a name such as token or password (``NAMED``), quoted or not, also behind ``Bearer``. A quoted value ends at its quotation mark
+or a blank, others at a blank, quotation mark, bracket or one of ``,;&``, in a URL's query also at ``#``. Its features: length, shares of digits, capitals,
 small letters and signs, changes between these kinds, letters that differ, how likely its character transitions are
 in secrets against other findings (learned), how much of it is covered by letter triples of the documents' words
 (dictionary coverage), words and signs before it, a quotation mark behind it, and its path (the column ``path``).
 
 The forest is trained on labelled findings: rows (value, before, after, path, label). Where none are given they are
-derived from the corpus: a value assigned to a name such as token, password or api_key is a secret; a word
-of letters only, or a number, without such a name is none; all others have no label. At most ``SAMPLE`` findings of each
+derived from the corpus: a value assigned to a name such as token, password or api_key is a secret, unless it is a word
+of fewer than 16 letters only (it may be a type or a person); a word of letters only, or a number, without such a name is
+none; all others have no label. At most ``SAMPLE`` findings of each
 label are used, chosen by a hash of the value.
 
 All of it is DataFrame operations and Spark's forest; no Python on the executors. Null and empty texts have no candidates.
@@ -29,7 +32,6 @@ from cloakframe.functions.arrays import bind, gaps_of, pieces_of, sql_let, sql_s
 from cloakframe.llm.common import bounded_sample, whole_text
 from cloakframe.session import materialize
 
-PATTERN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}+"
 BEFORE, AFTER = 40, 8
 SAMPLE = 4000
 WORD_DOCUMENTS = 2000
@@ -38,10 +40,28 @@ THRESHOLD = 0.5
 
 # Names that a secret is assigned to, and other words beside a finding or in its path.
 NAMED = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)"
-ASSIGNED = NAMED + r"[a-z0-9_]*[\"']?\s*(=|:|=>|:=)\s*[\"']?$"
+_SCHEME = r"(bearer|basic|token)\s"
+ASSIGNED = NAMED + rf"[a-z0-9_]*[\"']?\]?\s*(=|:|=>|:=)\s*({_SCHEME}+)?[\"'`]?$"
 HARMLESS = r"(?i)(example|sample|dummy|placeholder|checksum|sha1|sha256|md5|commit|uuid)"
 TEST_PATH = r"(?i)(test|example|doc|fixture|readme)"
 
+LEAST_RUN, LEAST_VALUE = 16, 6
+_RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RUN},}}+(?:={{1,2}}+(?![A-Za-z0-9+/_-]))?+"
+# Right behind an assignment; the first two look back a few characters only and are false at nearly all places.
+_BEHIND = (
+    r"(?<=[=:>\s\"'`])(?<=[=:>]\s{0,3}[\"'`]?|(?i:bearer|basic|token)\s{1,3}[\"'`]?)"
+    rf"(?<={NAMED.replace('(?i)(', '(?i:')}[A-Za-z0-9_]{{0,64}}[\"']?\]?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}(?:(?i:bearer|basic|token)\s{{1,3}})?[\"'`]?)"
+    rf"(?!(?i:{_SCHEME}))"
+)
+_VALUE = "|".join(
+    [
+        *(rf"(?<={q})[^{q}\s]{{{LEAST_VALUE},}}+" for q in "\"'`"),
+        rf"(?<=[?&][A-Za-z0-9_.-]{{1,64}}=)[^\s\"'`<>()\[\]{{}},;&#]{{{LEAST_VALUE},}}+",
+        rf"(?<![\"'`]|[?&][A-Za-z0-9_.-]{{1,64}}=)[^\s\"'`<>()\[\]{{}},;&]{{{LEAST_VALUE},}}(?<![.:])",
+    ]
+)
+PATTERN = f"{_BEHIND}(?:{_VALUE})|{_RUN}"
+
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _KINDS = 29  # letters, any digit, any capital, any sign
 FEATURES = [
@@ -53,15 +73,19 @@ FEATURES = [
 def candidates(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, path, start, end, value, before, after) per candidate; offsets in code points."""
     widths = "zip_with(s.p, slice(s.g, 1, size(s.p)), (p, g) -> length(p) + length(g))"
+    # The name of a value may be a candidate itself, so what stands before reaches over candidates: so many have BEFORE characters.
+    many = -(-BEFORE // LEAST_VALUE)
+    last = f"greatest(1, i - {many - 1}), least(i, {many})"
+    over = f"zip_with(slice(s.g, {last}), slice(s.p, {last}), (x, y) -> concat(right(x, {BEFORE}), right(y, {BEFORE})))"
     rows = (
         "transform(s.p, (p, i) -> named_struct('value', p, 'start', o[i] + length(s.g[i]), "
-        f"'before', right(s.g[i], {BEFORE}), 'after', left(s.g[i + 1], {AFTER})))"
+        f"'before', right(concat(array_join({over}, ''), s.g[i]), {BEFORE}), 'after', left(s.g[i + 1], {AFTER})))"
     )
     text = F.col("_text")
     found = bind(sql_let(widths, "w", sql_let(sql_sums("w"), "o", rows)), g=gaps_of(text, PATTERN), p=pieces_of(text, PATTERN))
     given = docs.select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), whole_text().alias("_text"))
     return (
-        given.where(F.col("_text").rlike("[A-Za-z0-9+/_-]{16}"))
+        given.where(F.col("_text").rlike(f"[A-Za-z0-9+/_-]{{{LEAST_RUN}}}") | F.col("_text").rlike(NAMED))
         .select("doc_id", "path", F.explode(found).alias("f"))
         .select("doc_id", "path", "f.start", (F.col("f.start") + F.length("f.value")).alias("end"), "f.value", "f.before", "f.after")
     )
@@ -70,7 +94,8 @@ def candidates(docs: DataFrame, path: str) -> DataFrame:
 def derived_labels(found: DataFrame) -> DataFrame:
     """The candidates that carry a label by where they stand, with it."""
     plain = F.col("value").rlike("^([A-Za-z]+|[0-9]+)$")
-    label = F.when(F.col("before").rlike(ASSIGNED), 1).when(plain & ~F.col("before").rlike(NAMED), 0)
+    short = F.col("value").rlike("^[A-Za-z]+$") & (F.length("value") < LEAST_RUN)
+    label = F.when(F.col("before").rlike(ASSIGNED) & ~short, 1).when(plain & ~F.col("before").rlike(NAMED), 0)
     return found.withColumn("label", label).where("label IS NOT NULL")
 
 
@@ -128,7 +153,7 @@ def with_features(found: DataFrame, odds: list[float], triples: list[int]) -> Da
         return F.length(F.regexp_replace(value, pattern, "")) / size
 
     kinds = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[+/_=-]++", "#"), "[a-z]++", "a"), "[A-Z]++", "B"), "[0-9]++", "0"
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9]++", "#"), "[a-z]++", "a"), "[A-Z]++", "B"), "[0-9]++", "0"
     )
     codes = found.withColumn("_codes", _codes(value))
     pairs, covered = bind(_PAIRS, c=F.col("_codes")), bind(_TRIPLES, c=F.col("_codes"))
@@ -139,7 +164,7 @@ def with_features(found: DataFrame, odds: list[float], triples: list[int]) -> Da
         "digits": share("[^0-9]"),
         "capitals": share("[^A-Z]"),
         "smalls": share("[^a-z]"),
-        "signs": share("[^+/_=-]"),
+        "signs": share("[A-Za-z0-9]"),
         "changes": (F.length(kinds) - 1) / size,
         "distinct": F.size(F.array_distinct("_codes")) / F.least(size, F.lit(_KINDS)),
         "hex": value.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),

@@ -75,3 +75,37 @@ def test_odd_and_empty(odd_documents, no_documents):
     assert [r["doc_id"] for r in got] == [6] and got[0]["secret"]
     assert secrets.scan(no_documents).collect() == []
     assert secrets.scan(odd_documents.withColumn("source", F.lit(None).cast("string"))).count() == 1
+
+
+ASSIGNED = [
+    ("API_KEY=abcdef0123456789abcdef0123", ["abcdef0123456789abcdef0123"]),
+    ("https://a.b/c?token=abcdef0123456789abcdef0123&x=1", ["abcdef0123456789abcdef0123"]),
+    ("https://a.b/c?x=1&auth_token=abc.def-0123#top", ["abc.def-0123"]),
+    ("export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]),
+    ("password=hunter2hunter2", ["hunter2hunter2"]),
+    ("password: 'S3cr3t!pass'", ["S3cr3t!pass"]),
+    ('{"db_password" : "it\'s@1:$.x"}', ["it's@1:$.x"]),
+    ("pwd := abc123, next", ["abc123"]),
+    ("The secret: x1y2z3w4.", ["x1y2z3w4"]),
+    ("Authorization: Bearer eyJh.eyJz.c2ln", ["eyJh.eyJz.c2ln"]),
+    ("API_TOKEN=a1b2c3d4 API_SECRET=e5f6a7b8", ["a1b2c3d4", "e5f6a7b8"]),
+    ("token = short; user=hunter2hunter2; the token was lost", []),
+    ("password=${DB_PASSWORD}", []),
+]
+
+
+def test_assigned_values(spark):
+    """Values behind a name, without quotation marks, short and with further signs."""
+    df = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(ASSIGNED)], "doc_id long, text string, source string")
+    found = {}
+    for r in secrets.candidates(df, "source").collect():
+        text = ASSIGNED[r["doc_id"]][0]
+        assert text[r["start"] : r["end"]] == r["value"] and r["before"] == text[max(0, r["start"] - 40) : r["start"]]
+        found.setdefault(r["doc_id"], []).append((r["start"], r["value"]))
+    said = {}
+    for r in secrets.scan(df).where("secret").collect():
+        said.setdefault(r["doc_id"], []).append((r["start"], ASSIGNED[r["doc_id"]][0][r["start"] : r["end"]]))
+    for i, (text, want) in enumerate(ASSIGNED):
+        names = [v for v in (x for _, x in sorted(found.get(i, []))) if v != "AWS_SECRET_ACCESS_KEY"]
+        assert names == want, text
+        assert [v for _, v in sorted(said.get(i, []))] == want, text
