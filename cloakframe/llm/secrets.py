@@ -34,7 +34,6 @@ from cloakframe.session import materialize
 
 BEFORE, AFTER = 40, 8
 SAMPLE = 4000
-WORD_DOCUMENTS = 2000
 TREES, TREE_DEPTH, SEED = 40, 7, 11
 THRESHOLD = 0.5
 
@@ -133,11 +132,13 @@ def transition_odds(labelled: DataFrame) -> list[float]:
     ]
 
 
-def word_triples(docs: DataFrame, bound: int = WORD_DOCUMENTS) -> list[int]:
-    """1 for each letter triple that is common in words of a bounded sample of documents."""
-    some = bounded_sample(docs.select("doc_id", "text"), bound)
-    letters = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[A-Za-z0-9+/_=-]{16,}+", " "))
-    words = some.select(F.explode(F.split(letters, "[^a-z]++")).alias("w")).where(F.length("w") >= 3)
+def word_triples(docs: DataFrame) -> list[int]:
+    """1 for each letter triple that is common in words of all documents.
+
+    Words are combined on the map side, then their triples, of which there are 26^3 at most.
+    """
+    letters = F.lower(F.regexp_replace(whole_text(), r"[A-Za-z0-9+/_=-]{16,}+", " "))
+    words = docs.select(F.explode(F.split(letters, "[^a-z]++")).alias("w")).where(F.length("w") >= 3)
     words = words.groupBy("w").count()
     triples = words.select("count", F.explode(bind(_TRIPLES, c=_codes(F.col("w")))).alias("t")).where("t >= 0")
     counts = {r["t"]: r["n"] for r in triples.groupBy("t").agg(F.sum("count").alias("n")).collect()}

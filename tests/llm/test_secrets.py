@@ -109,3 +109,12 @@ def test_assigned_values(spark):
         names = [v for v in (x for _, x in sorted(found.get(i, []))) if v != "AWS_SECRET_ACCESS_KEY"]
         assert names == want, text
         assert [v for _, v in sorted(said.get(i, []))] == want, text
+
+
+def test_triples_of_all_documents(spark):
+    """Each of 3,000 documents has a triple of its own; none may be missed."""
+    codes = [(i * 7919) % 26**3 for i in range(3000)]
+    words = ["".join(chr(97 + c // d % 26) for d in (676, 26, 1)) for c in codes]
+    df = spark.createDataFrame(list(enumerate(words)) + [(None, None)], "doc_id long, text string")
+    got = secrets.word_triples(df)
+    assert [t for t, known in enumerate(got) if known] == sorted(codes)
