@@ -10,7 +10,7 @@ first). No global window is needed: ids are cut into ranges by quantiles, a rang
 first document of the following range is added to it as a guest. Texts are shuffled once.
 
 ``near_duplicate_classes`` groups near copies: signature bands are joined in Spark, and every proposed pair is
-verified by the Jaccard similarity of its full shingle sets.
+verified by the Jaccard similarity of its full shingle sets; pairs that links to a center imply or exclude are left out.
 
 Null texts are empty. Texts of fewer than five words are one shingle of all words; texts without words share
 one fingerprint (likeness 1 among them). Equal ids follow each other in the order of their row keys; null
@@ -37,6 +37,8 @@ SHINGLE = 5
 PERMUTATIONS = 128
 BAND = 4  # places of a band: 32 bands meet a pair of similarity 0.8 with probability 1 - 5e-8
 SIMILAR = 0.8
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21  # texts of a center, and their shingles, that are compared in one piece
+_ROUNDING = 1e-9
 SEED = 5
 RANGES_PER_PARTITION = 4
 _BLOCK = 1 << 15  # shingles hashed at a time
@@ -239,11 +241,75 @@ def _prints(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, f"doc_id {kind}, rep long, bands array<long>, shingles array<long>")
 
 
+def _past_centers(rings: DataFrame, sets: DataFrame, parts: DataFrame, similar: float) -> DataFrame | None:
+    """(rep, center): links between texts near a center and texts that are not, where no class holds both yet.
+
+    ``rings`` has (rep, center, size, near, apart). The texts of a center are cut into blocks by a hash; each pair of blocks is
+    a group of its own, read as a stream behind its block of near texts. One link to a center's texts is enough for a text.
+    """
+    root = parts.select(F.col("node").alias("rep"), "root")
+    of = root.select(F.col("rep").alias("center"), F.col("root").alias("center_root"))
+    outer = rings.where("NOT near").join(root, "rep", "left").join(of, "center", "left")
+    same = F.coalesce("root", "rep") == F.coalesce("center_root", "center")
+    outer = materialize(outer.where(~same).select("rep", "center", "size", "near", "apart"), "outer")
+    centers = outer.groupBy("center").agg(F.min("apart").alias("_least"), *_blocks("_outer"))
+    # Only those far enough from the center can be similar to one outside.
+    inner = rings.where("near").join(centers.select("center", "_least"), "center").where(F.col("apart") >= F.col("_least") - (1 - similar) - _ROUNDING)
+    inner = materialize(inner.select("rep", "center", "size", "near", "apart"), "inner")
+    counts = materialize(centers.join(inner.groupBy("center").agg(*_blocks("_inner")), "center"), "blocks")
+    if counts.isEmpty():
+        return None
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        mine, others = F.pmod(F.xxhash64("rep"), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        at = rows.join(counts, "center").select("rep", "center", "near", mine.alias(own), others.alias(other))
+        return at.select("center", "_inner", "_outer", "near", "rep")
+
+    pairs = dealt(inner, "_inner", "_outer").unionByName(dealt(outer, "_outer", "_inner")).join(sets, "rep")
+    group = ["center", "_inner", "_outer"]
+    spread = pairs.repartition(*group).sortWithinPartitions(*group, F.desc("near"), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, reps, held, flat = None, [], [], None
+        for batch in batches:
+            left, right = [], []
+            shingles = batch.column("shingles")
+            rows = zip(*(batch.column(c).to_pylist() for c in (*group, "near", "rep")))
+            for i, (center, inner, outer, near, rep) in enumerate(rows):
+                if (center, inner, outer) != last:
+                    last, reps, held, flat = (center, inner, outer), [], [], None
+                own = shingles[i].values.to_numpy(zero_copy_only=False).view(np.uint64)  # sorted as unsigned
+                if near:
+                    reps.append(rep)
+                    held.append(own)
+                    continue
+                if not reps:
+                    continue
+                if flat is None:
+                    flat, sizes = np.concatenate(held), np.array([len(h) for h in held])
+                    starts, held = np.concatenate([[0], np.cumsum(sizes)]), []
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat if len(own) else np.zeros(len(flat), bool)
+                common = np.diff(np.concatenate([[0], np.cumsum(hit)])[starts])
+                linked = np.flatnonzero(common >= similar * (sizes + len(own) - common))
+                if len(linked):
+                    left.append(rep)
+                    right.append(reps[linked[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["rep", "center"])
+
+    return materialize(spread.mapInArrow(run, "rep long, center long"), "past")
+
+
+def _blocks(name: str) -> list[Column]:
+    """Into how many blocks the texts of a center go."""
+    return [F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias(name)]
+
+
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id): smallest doc_id of the class; classes are connected by verified pairs.
 
     In each band bucket all texts are compared with the smallest; those not similar to it are compared with the
-    smallest among themselves, and so on until none is left.
+    smallest among themselves, and so on until none is left. A text that is not similar to a center may still be
+    similar to one that is: ``_past_centers`` compares these, unless a class already holds both.
     """
     prints = materialize(_prints(docs), "prints")
     reps = materialize(
@@ -256,6 +322,7 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
     sets = reps.select("rep", "shingles")
     left = materialize(reps.select("rep", F.posexplode("bands").alias("band", "value")), "buckets")
     links: DataFrame | None = None
+    rings: DataFrame | None = None
     while True:
         centers = left.groupBy("band", "value").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
         met = left.join(centers.drop("n"), ["band", "value"]).where("rep <> center")
@@ -265,15 +332,24 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
         judged = materialize(
             pairs.join(sets.alias("a"), "rep")
             .join(sets.select(F.col("rep").alias("center"), "shingles").alias("b"), "center")
-            .select("rep", "center", (common >= similar * whole).alias("near")),
+            .select(
+                "rep", "center", F.size("a.shingles").alias("size"), (common >= similar * whole).alias("near"),
+                F.when(whole > 0, 1 - common / whole).otherwise(0.0).alias("apart"),
+            ),
             "judged",
-        )
+        )
         near = judged.where("near").select("rep", "center")
         links = near if links is None else links.unionByName(near)
+        # 1 - Jaccard is a metric: a text further from the center can't be similar to one that is similar to it.
+        ring = judged.where(F.col("apart") <= 2 * (1 - similar) + _ROUNDING)
+        rings = ring if rings is None else rings.unionByName(ring)
         left = materialize(met.join(judged.where("NOT near"), ["rep", "center"]).select("rep", "band", "value"), "buckets")
         if left.isEmpty():
             break
     parts = connected_components(links)
+    found = _past_centers(rings, sets, parts, similar)
+    if found is not None:
+        parts = connected_components(links.unionByName(found))
     rooted = reps.select("rep", "first_id", "n_docs").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "rep"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))

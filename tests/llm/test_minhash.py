@@ -80,3 +80,38 @@ def test_classes(spark):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: find(d) for d, _ in rows}
+
+
+def test_drifted_copies(spark, monkeypatch):
+    """Large groups of near copies, and one text near a single copy far from the others."""
+    rows = []
+    for seed in (9, 35, 40):  # groups whose link to the drifted text was lost in every bucket
+        draw = random.Random(seed)
+        base = [f"s{seed}w{i}" for i in range(200)]
+        copies = []
+        for k in range(250):
+            w = list(base)
+            w[draw.randrange(10, 190)] = f"c{k}"
+            copies.append(w)
+        drifted = list(copies[-1])
+        at = drifted.index("c249")
+        for i in range(4):
+            drifted[(at + 20 + 20 * i - 10) % 180 + 10] = f"y{i}"
+        rows += copies + [drifted]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if common >= 0.8 * (len(a) + len(sets[j]) - common) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i, _ in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2048, 7):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(df).collect()} == want
