@@ -6,7 +6,7 @@ the longest fitting rule wins. The URLs that a rule decides are the labelled one
 For the others, tokens of a URL (host labels with their distance from the end, words of the path and of the query,
 file ending, scheme) are items. FP-growth mines token combinations that occur with a verdict; a rule
 "these tokens -> verdict" is kept with enough support and confidence, unless a part of its tokens already gives the same verdict
-with no less confidence. Rules are matched by an inverted index from token to rule: a rule fires when all its
+with no less confidence; rules may have any number of tokens. Rules are matched by an inverted index from token to rule: a rule fires when all its
 tokens are counted. The most confident fired rule decides, then the one with more support, then block before allow; without a
 fired rule the verdict is allow.
 
@@ -25,10 +25,10 @@ from cloakframe.operators.lookups import lookup
 from cloakframe.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_SUPPORT = 0.01
+MIN_SUPPORT = 0.005
 LEAST_ROWS = 20  # judged URLs behind a rule, however small the table
 MIN_CONFIDENCE = 0.8
-MOST_TOKENS = 4  # tokens of a mined rule
+MOST_TOKENS = 4  # of the rules that are tested against all subsets; mined ones have any number
 BROADCAST_RULES = 20_000
 SALTS = 64
 
@@ -94,29 +94,36 @@ def mine(judged: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: fl
     items = F.filter("tokens", lambda t: F.array_contains(F.lit(frequent), t)) if frequent else F.array().cast("array<string>")
     baskets = judged.select(F.concat(items, F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    mined = (
-        model.associationRules.where(F.col("consequent")[0].startswith("verdict=") & (F.size("antecedent") <= MOST_TOKENS))
-        .where(~F.exists("antecedent", lambda t: t.startswith("verdict=")))
-        .select(
-            F.array_sort("antecedent").alias("tokens"),
-            F.substring(F.col("consequent")[0], 9, 99).alias("verdict"),
-            "confidence",
-            "support",
-        )
-    )
-    mined = materialize(mined.withColumn("rule_id", F.xxhash64("tokens", "verdict")), "mined")
-    # A longer rule goes if a shorter one made of some of its tokens is as confident: met by the same index.
-    sized = mined.withColumn("n", F.size("tokens"))
-    by_token = sized.select("rule_id", "n", "verdict", "confidence", F.explode("tokens").alias("t"))
-    short = by_token.select(F.col("rule_id").alias("short_id"), F.col("n").alias("short_n"), F.col("verdict").alias("short_verdict"), F.col("confidence").alias("short_confidence"), "t")
-    inside = (
-        by_token.join(short, "t")
-        .where("short_n < n AND short_verdict = verdict AND short_confidence >= confidence")
-        .groupBy("rule_id", "short_id")
-        .agg(F.count(F.lit(1)).alias("met"), F.first("short_n").alias("short_n"))
-        .where("met = short_n")
-    )
-    return mined.join(inside.select("rule_id").distinct(), "rule_id", "left_anti")
+    said = F.filter("items", lambda t: t.startswith("verdict="))
+    sets = model.freqItemsets.select(
+        F.array_sort(F.array_except("items", said)).alias("tokens"), F.substring(F.get(said, F.lit(0)), 9, 99).alias("verdict"), "freq"
+    ).where(F.size("tokens") > 0)
+    of = sets.where("verdict IS NULL").select("tokens", F.col("freq").alias("of"))
+    rules = materialize(
+        sets.where("verdict IS NOT NULL").join(of, "tokens").select(
+            "tokens", "verdict", F.size("tokens").alias("n"), (F.col("freq") / F.col("of")).alias("confidence"),
+            (F.col("freq") / total).alias("support"), F.xxhash64("tokens", "verdict").alias("rule_id"),
+        ),
+        "mined",
+    )
+    # A longer rule goes if a part of it is as confident. Every part is frequent too, so the most confident one comes up by length.
+    longest = rules.agg(F.max("n")).first()[0] or 0
+    kept, parts_best = None, None
+    for n in range(1, longest + 1):
+        level = rules.where(F.col("n") == n)
+        if parts_best is None:
+            level = level.withColumn("part", F.lit(-1.0))
+        else:
+            without = F.transform("tokens", lambda t: F.xxhash64(F.filter("tokens", lambda x: x != t), "verdict"))
+            best = level.select("rule_id", F.explode(without).alias("less")).join(parts_best, "less").groupBy("rule_id").agg(F.max("best").alias("part"))
+            level = level.join(best, "rule_id")
+        level = materialize(level, "rules_of_a_length")
+        own = level.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("part")))
+        kept = own if kept is None else kept.unionByName(own)
+        parts_best = level.select(F.col("rule_id").alias("less"), F.greatest("confidence", "part").alias("best"))
+    if kept is None:
+        return spark.createDataFrame([], empty)
+    return kept.select("rule_id", "tokens", "verdict", "confidence", "support")
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -124,7 +131,7 @@ def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     rules = materialize(rules, "rules")
     index = rules.select("rule_id", "verdict", "confidence", "support", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     each = urls.select("tokens_id", F.explode("tokens").alias("t"))
-    if rules.count() * MOST_TOKENS <= BROADCAST_RULES:
+    if index.count() <= BROADCAST_RULES:
         met = each.join(F.broadcast(index), "t")
     else:
         salted = each.withColumn("_salt", F.pmod(F.xxhash64("tokens_id"), F.lit(SALTS)).cast("int"))

@@ -100,3 +100,15 @@ def test_no_labels_and_no_rows(spark):
     df = spark.createDataFrame([(1, "http://a.b/c", "x"), (1, "http://a.b/c", "x"), (None, None, None)], schema)
     assert [r["verdict"] for r in urls.judge(df, []).collect()] == ["allow"] * 3
     assert urls.judge(spark.createDataFrame([], schema), URL_RULES).collect() == []
+
+
+def test_long_and_rare_rules(spark):
+    """A rule of five tokens of which no part is one, and one in 0.7 % of the judged URLs."""
+    five = ["a", "b", "c", "d", "e"]
+    rows = [(five, "block")] * 100
+    rows += [([t for t in five if t != x], "allow") for x in five for _ in range(100)]
+    rows += [(["rare"], "block")] * 28 + [(["z"], "allow")] * (4000 - 628)
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
+    found = {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in got}
+    assert found[tuple(five), "block"] == (1.0, 0.025)
+    assert found[("rare",), "block"] == (1.0, 0.007)
