@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import decontaminate, minhash, mixing, pii, quality, secrets, simhash, suffix_tree, toxicity, urls
+from cloakframe.llm import (
+    decontaminate,
+    filter_audit,
+    line_dedup,
+    merkle,
+    minhash,
+    mixing,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    suffix_tree,
+    toxicity,
+    urls,
+)
 from cloakframe.llm.common import fold, table
 from cloakframe.llm.oracles import ORACLES as ORACLES
 
@@ -84,6 +98,25 @@ def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(table(spark, sf, "documents"), path="source")
 
 
+def op11_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf, "documents"), least_chars=40, least_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    tampered = F.when(fold(2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    made = merkle.manifest(docs, claimed=merkle.leaf_hash(text=tampered))
+    checked = made.withColumn("check", merkle.folded("claimed", "witness"))
+    return checked.select(
+        "doc_id", "leaf", "subroot", "root", "check.proof_sha256", F.col("check.root").alias("folded_root"), (F.col("check.root") == F.col("root")).alias("verified")
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.interaction(table(spark, sf, "documents"), table(spark, sf, "labels"), part="lang")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -95,4 +128,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_secrets": op10_secrets,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_merkle": op12_merkle,
+    "op13_filter_audit": op13_filter_audit,
 }
