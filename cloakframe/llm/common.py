@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakframe.session import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,16 +68,37 @@ def one_label(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
-def bounded_sample(labels: DataFrame, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """About ``bound`` rows at most, chosen by a hash of the id; all rows if there are fewer.
+def bounded_sample(rows: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` rows at most, chosen by a hash of the whole row; all rows if there are fewer.
 
-    A share is kept, not a top-k, so no task sees more than its own rows.
+    The rows must be distinct: equal ones go or stay together. A share is kept, not a top-k, so no task
+    sees more than its own rows.
     """
-    total = labels.count()
+    total = rows.count()
     if total <= bound:
-        return labels
-    place = F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 30))
-    return labels.where(place < int((1 << 30) * bound / total))
+        return rows
+    place = F.pmod(F.xxhash64(F.lit(7), *[F.col(f"`{c}`") for c in rows.columns]), F.lit(1 << 30))
+    return rows.where(place < int((1 << 30) * bound / total))
+
+
+LABELLED = "_label"
+
+
+def labelled_keys(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(row key, label): every distinct row of ``docs`` whose id has a label, as its key.
+
+    Ids are joined, not texts, and repeated rows are one: samples of these keys bound rows, also where one
+    labelled id stands on very many rows.
+    """
+    known = one_label(labels, label).withColumnRenamed("label", LABELLED)
+    keys = docs.select("doc_id", *row_key()).distinct().join(known, "doc_id")
+    return materialize(keys.select(*KEY, LABELLED).distinct(), "labelled-keys")
+
+
+def rows_of_keys(docs: DataFrame, keys: DataFrame, **columns: Column) -> DataFrame:
+    """(row key, label, …): ``columns`` of the rows that a bounded sample of ``labelled_keys`` names, each once."""
+    given = docs.select(*row_key(), *[c.alias(n) for n, c in columns.items()])
+    return given.join(F.broadcast(keys), KEY).dropDuplicates(KEY)
 
 
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

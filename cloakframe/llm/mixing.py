@@ -15,7 +15,7 @@ has at most ``BROADCAST_SOURCES`` rows, else joined with salted sources.
 Null or empty texts count one character. A null source is a source of its own. A null doc_id is replaced by a
 hash of the text. Equal ids get equal numbers of copies. Without target weights p_s is proportional to
 c_s^ALPHA; sources that a given table of weights lacks, or gives a weight of 0, go. Extra columns are kept;
-those named like the two that are added, or like an inner one (``_INNER``), go. Empty tables give empty results.
+those named like the two that are added go. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.llm.common import fresh
+
 ALPHA = 0.5
 SEED = 2024
 PIECE = 16
@@ -30,16 +32,15 @@ LEVELS = 96  # steps of the distribution function of a mean up to PIECE; the res
 BROADCAST_SOURCES = 10_000
 SALTS = 64
 ADDED = ["copy_no", "shuffle_key"]
-_INNER = ["_name", "_parts", "_steps", "_salt", "_copies"]
 
 
-def _name() -> Column:
+def _named() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
 
 
-def _uniform(part: Column, seed: int) -> Column:
+def _uniform(name: str, part: Column, seed: int) -> Column:
     """From 0 to below 1, by 52 bits of a hash."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "_name", part.cast("string")))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), name, part.cast("string")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -77,25 +78,26 @@ def mix(
     docs: DataFrame, targets: DataFrame | None = None, alpha: float = ALPHA, seed: int = SEED, size: Column | None = None
 ) -> DataFrame:
     """The columns of ``docs``, copy_no (from 0) and shuffle_key, one row per copy, shuffled by the key."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED + _INNER])
-    plan = rates(docs, targets, alpha, size).withColumn("_parts", F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int"))
-    plan = plan.select("source", "_parts", _steps(F.col("rate") / F.col("_parts")).alias("_steps"))
-    named = docs.withColumn("_name", _name())
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+    name, salt, parts, steps, copies = (fresh(docs, c) for c in ("_name", "_salt", "_parts", "_steps", "_copies"))
+    plan = rates(docs, targets, alpha, size).withColumn(parts, F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int"))
+    plan = plan.select(F.col("source").alias("source"), parts, _steps(F.col("rate") / F.col(parts)).alias(steps))
+    named = docs.withColumn(name, _named())
     same = F.col("d.source").eqNullSafe(F.col("p.source"))
     if plan.count() <= BROADCAST_SOURCES:
         joined = named.alias("d").join(F.broadcast(plan.alias("p")), same)
     else:
-        salted = named.withColumn("_salt", F.pmod(F.xxhash64("_name"), F.lit(SALTS)).cast("int"))
-        copies = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.alias("d").join(copies.alias("p"), same & (F.col("d._salt") == F.col("p._salt")))
-    draws = F.transform(F.sequence(F.lit(0), F.col("p._parts") - 1), lambda i: _uniform(i, seed))
-    steps = F.col("p._steps")
+        salted = named.withColumn(salt, F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
+        repeated = plan.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.alias("d").join(repeated.alias("p"), same & (F.col(f"d.{salt}") == F.col(f"p.{salt}")))
+    draws = F.transform(F.sequence(F.lit(0), F.col(f"p.{parts}") - 1), lambda i: _uniform(name, i, seed))
+    reached = F.col(f"p.{steps}")
     counted = joined.withColumn(
-        "_copies", F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter(steps, lambda s: u >= s)))
-    ).where("_copies > 0")
+        copies, F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter(reached, lambda s: u >= s)))
+    ).where(F.col(copies) > 0)
     exploded = counted.select(
-        *[F.col(f"d.`{c}`") for c in docs.columns], "_name", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy_no")
+        *[F.col(f"d.`{c}`") for c in docs.columns], name, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias("copy_no")
     )
-    key = F.substring(F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(seed)), "_name", F.col("copy_no").cast("string"))), 1, 16)
+    key = F.substring(F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(seed)), name, F.col("copy_no").cast("string"))), 1, 16)
     keyed = exploded.select(*[F.col(f"`{c}`") for c in docs.columns], "copy_no", key.alias("shuffle_key"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -9,7 +9,7 @@ Features of a text, as one sparse vector:
   length of words and lines, …), each cut into steps, one feature per step;
 - metadata: columns named by the caller, as number of digits if numeric, else hashed by value.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE``) with mini-batch Adam: the sample's
+The model is fitted on a bounded sample of distinct labelled rows (``SAMPLE``) with mini-batch Adam: the sample's
 sparse vectors come to the driver, the model goes to the tasks as some 600 KB. Everything
 else runs in the scan, without a shuffle. Features that the sample lacks have weight 0.
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import bounded_sample, one_label, whole_text
+from cloakframe.llm.common import KEY, LABELLED, bounded_sample, labelled_keys, rows_of_keys, whole_text
 
 SAMPLE = 6000  # labelled rows to fit on
 HASHED = 1 << 14
@@ -208,11 +208,9 @@ def metadata(docs: DataFrame, columns: list[str]) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, meta: list[str], sample: int = SAMPLE) -> Machine:
-    """Fit on at most about ``sample`` of the rows of ``labels`` (doc_id, label) that have a document."""
-    chosen = bounded_sample(one_label(labels, label), sample)
-    # The sample is bounded, so it is broadcast; repeated ids give repeated rows.
-    given = docs.select("doc_id", whole_text().alias("_text"), metadata(docs, meta).alias("_meta"))
-    joined = given.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "_text", "_meta")
+    """Fit on at most about ``sample`` of the distinct rows of ``docs`` that have a label in ``labels`` (doc_id, label)."""
+    chosen = bounded_sample(labelled_keys(docs, labels, label), sample)
+    joined = rows_of_keys(docs, chosen, _text=whole_text(), _meta=metadata(docs, meta))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = Features()
@@ -220,16 +218,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str, meta: list[str], sampl
             vectors = [made.of(t.encode(), list(m)) for t, m in zip(frame["_text"], frame["_meta"])]
             yield pd.DataFrame(
                 {
-                    "doc_id": frame["doc_id"],
-                    "label": frame["label"],
+                    "key": frame[KEY[0]],
+                    "label": frame[LABELLED],
                     "i": [v[0].astype(np.int32).tobytes() for v in vectors],
                     "x": [v[1].astype(np.float32).tobytes() for v in vectors],
                 }
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = joined.mapInPandas(run, f"doc_id {kind}, label int, i binary, x binary").toPandas()
-    found = found.sort_values(["doc_id", "i"], kind="stable")
+    found = joined.mapInPandas(run, "key long, label int, i binary, x binary").toPandas()
+    found = found.sort_values(["key", "i"], kind="stable")
     rows = [
         (np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float))
         for i, x in zip(found["i"], found["x"])

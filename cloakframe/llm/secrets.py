@@ -10,8 +10,8 @@ in secrets against other findings (learned), how much of it is covered by letter
 The forest is trained on labelled findings: rows (value, before, after, path, label). Where none are given they are
 derived from the corpus: a value assigned to a name such as token, password or api_key is a secret, unless it is a word
 of fewer than 16 letters only (it may be a type or a person); a word of letters only, or a number, without such a name is
-none; all others have no label. At most ``SAMPLE`` findings of each
-label are used, chosen by a hash of the value.
+none; all others have no label. At most about ``SAMPLE`` distinct findings of each
+label are used, chosen by a hash of the whole finding.
 
 All of it is DataFrame operations and Spark's forest; no Python on the executors. Null and empty texts have no candidates.
 Repeated rows give repeated findings. A null path counts as empty. Without findings of both labels a candidate's score is 1 if
@@ -190,9 +190,10 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, odds: list[float], triples: list[int]) -> RandomForestClassificationModel:
-    """The forest; rows are put in a fixed order so that the same findings give the same trees."""
-    rows = _vectors(with_features(labelled, odds, triples)).select(F.col("label").cast("double").alias("label"), "_features", "value", "before")
-    ordered = rows.repartition(6, "value").sortWithinPartitions("value", "before", "label")
+    """The forest; rows (distinct) are dealt and ordered by all their columns, so that the same findings give the same trees."""
+    whole = ["value", "before", "after", "path", "label"]
+    rows = _vectors(with_features(labelled, odds, triples)).select(*whole, "_features").withColumn("label", F.col("label").cast("double"))
+    ordered = rows.repartition(6, *whole).sortWithinPartitions(*whole)
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="_features", numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED, probabilityCol="_p",
         rawPredictionCol="_raw", predictionCol="_said",
@@ -211,7 +212,7 @@ def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = Non
         score = F.col("before").rlike(ASSIGNED).cast("double")
         return found.select("doc_id", "start", "end", hidden, score.alias("score"), (score >= THRESHOLD).alias("secret"))
     sample = materialize(
-        bounded_sample(given.where("label = 1"), SAMPLE, "value").unionByName(bounded_sample(given.where("label = 0"), SAMPLE, "value")),
+        bounded_sample(given.where("label = 1"), SAMPLE).unionByName(bounded_sample(given.where("label = 0"), SAMPLE)),
         "findings",
     )
     odds, triples = transition_odds(sample), word_triples(docs)

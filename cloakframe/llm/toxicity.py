@@ -11,8 +11,8 @@ The weight of a match is the weight of its word times the factor that the gramma
 its matched clauses (largest weight, sum, number, share), not by isolated words.
 
 What is learned from labelled rows: the insult lexicon beyond the given words (words and beginnings of words that occur
-nearly only in toxic texts, with their log-odds as weight), from one half of a bounded sample (``SAMPLE`` rows of
-each label at most), and from the other half the logistic scale that turns matches into a score.
+nearly only in toxic texts, with their log-odds as weight; as many as have the support and purity), from one half of a
+bounded sample (``SAMPLE`` distinct rows of each label at most), and from the other half the logistic scale that turns matches into a score.
 
 Null and empty texts have no clauses and get the score of a text without matches. Without labels of both kinds
 the given words alone are used with a fixed scale. Rows repeat as given; extra columns are ignored.
@@ -30,14 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import bounded_sample, one_label, whole_text
+from cloakframe.llm.common import LABELLED, bounded_sample, labelled_keys, rows_of_keys, whole_text
 from cloakframe.session import materialize
 
 SAMPLE = 4000
 LEAST_SHARE = 0.01  # of the toxic sample that must hold a learned term
 LEAST_PURITY = 0.9  # share of toxic texts among those that hold it, labels weighed equally
 BEGINNINGS = range(4, 9)
-MOST_TERMS = 4000
 _CACHE = 200_000
 
 OTHER, INSULT, THREATENS, AIMED, NOT, SAYS = range(6)
@@ -248,18 +247,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> Grammar:
-    """Fit on a bounded sample of the rows of ``labels`` (doc_id, label) that have a document."""
-    known = one_label(labels, label)
-    kinds = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    """Fit on a bounded sample of the distinct rows of ``docs`` that have a label in ``labels`` (doc_id, label)."""
+    keys = labelled_keys(docs, labels, label)
+    kinds = {r[LABELLED]: r["count"] for r in keys.groupBy(LABELLED).count().collect()}
     if not kinds.get(0) or not kinds.get(1):
         return Grammar()
-    chosen = bounded_sample(known.where("label = 1"), sample).unionByName(bounded_sample(known.where("label = 0"), sample))
-    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).alias("half")
-    # The sample is bounded, so its ids are broadcast.
-    rows = materialize(
-        docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text", half),
-        "labelled",
-    )
+    of_kind = [bounded_sample(keys.where(F.col(LABELLED) == k), sample) for k in (1, 0)]
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
+    rows = rows_of_keys(docs, of_kind[0].unionByName(of_kind[1]), text=whole_text(), half=half)
+    rows = materialize(rows.select(F.col(LABELLED).alias("label"), "text", "half"), "labelled")
     sizes = {(r["half"], r["label"]): r["count"] for r in rows.groupBy("half", "label").count().collect()}
     n = [max(1, sizes.get((0, k), 0)) for k in (0, 1)]
     odds = (F.col("n_toxic") + 0.5) / (n[1] + 1) / ((F.col("n") - F.col("n_toxic") + 0.5) / (n[0] + 1))
@@ -268,8 +264,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE)
         _terms(rows.where("half = 0").select("text", "label"))
         .where((F.col("n_toxic") >= F.lit(max(3, LEAST_SHARE * n[1]))) & (purity >= LEAST_PURITY))
         .select("term", F.log(odds).alias("weight"))
-        .orderBy(F.desc("weight"), "term")
-        .limit(MOST_TERMS)
         .collect()
     )
     words = {r["term"][1:]: r["weight"] for r in terms if r["term"][0] == "w"}

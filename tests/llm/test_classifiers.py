@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.llm import quality, toxicity
-from cloakframe.llm.common import fold
+from cloakframe.llm.common import bounded_sample, fold, labelled_keys, rows_of_keys
 from cloakframe.llm.queries import op1_quality, op3_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -114,3 +114,20 @@ def test_odd_and_empty(spark, odd_documents, no_documents, odd_labels):
             grammar = toxicity.train(docs, labels, "toxic")
             scored = toxicity.with_score(docs, grammar, "new").collect()
             assert len(scored) == docs.count() and all(0 <= r["new"] <= 1 for r in scored)
+
+
+def test_samples_bound_rows_of_a_repeated_id(spark, monkeypatch):
+    """One labelled id on 60,000 rows, half of them equal: at most about the bound leaves the executors."""
+    docs = spark.range(60_000).selectExpr("if(id < 59000, 7, id) doc_id", "if(id % 2 = 0, 'the same text', concat('text ', id, ' you idiot')) text")
+    labels = spark.createDataFrame([(7, 1, 1), (59_001, 0, 0), (59_003, 0, 0)], "doc_id long, quality int, toxic int")
+    keys = labelled_keys(docs, labels, "quality")
+    assert keys.count() == 29_500 + 1 + 2
+    for bound in (500, 4000):
+        chosen = bounded_sample(keys, bound)
+        assert 0.8 * bound < chosen.count() < 1.1 * bound
+        rows = rows_of_keys(docs, chosen, text=F.col("text"))
+        assert rows.count() == chosen.count()
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, size: fitted.append(len(rows)) or quality.Machine(constant=0.5))
+    quality.train(docs, labels, "quality", [], sample=500)
+    assert 400 < fitted[0] < 550

@@ -49,7 +49,8 @@ def test_same_on_any_partitioning(spark):
 
 
 def test_odd_and_empty(odd_documents, no_documents):
-    out = mixing.mix(odd_documents.withColumn("copy_no", F.lit("clash")))
-    assert set(odd_documents.columns) | {"copy_no", "shuffle_key"} == set(out.columns)
-    out.collect()
+    inner = {c: F.lit(c) for c in ("_name", "_salt", "_parts", "_steps", "_copies")}
+    out = mixing.mix(odd_documents.withColumn("copy_no", F.lit("clash")).withColumns(inner))
+    assert set(odd_documents.columns) | {"copy_no", "shuffle_key"} | set(inner) == set(out.columns)
+    assert all(r[c] == c for r in out.collect() for c in inner)
     assert mixing.mix(no_documents).collect() == []

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.llm import secrets
+from cloakframe.llm.common import bounded_sample
 from cloakframe.llm.queries import op10_secrets
 
 SF = "/root/testdata/sf0.01"
@@ -118,3 +119,12 @@ def test_triples_of_all_documents(spark):
     df = spark.createDataFrame(list(enumerate(words)) + [(None, None)], "doc_id long, text string")
     got = secrets.word_triples(df)
     assert [t for t, known in enumerate(got) if known] == sorted(codes)
+
+
+def test_sample_of_findings_with_a_hot_value(spark):
+    """One value in 50,000 places: the bound holds, and rare values keep their share."""
+    rows = spark.range(50_000).selectExpr("'hotvalue0123456789' value", "concat('token = ', id) before", "'' after", "'a' path", "1 label")
+    rare = spark.range(100).selectExpr("concat('rare', id % 13) value", "concat('key = ', id) before", "'' after", "'b' path", "1 label")
+    chosen = bounded_sample(rows.unionByName(rare), 4000)
+    counts = {r["hot"]: r["count"] for r in chosen.groupBy((F.col("path") == "a").alias("hot")).count().collect()}
+    assert 3600 < counts[True] + counts.get(False, 0) < 4400 and 1 <= counts.get(False, 0) < 25
