@@ -77,6 +77,57 @@ def exclusive_sums(values: Column) -> Column:
     return bind(sql_sums("s.v"), v=values)
 
 
+# Levels of minima over blocks of 32: a search looks at 32 places per level and at n / 32,768 at the top.
+_WIDE = 5
+_LEVELS = 3
+
+
+def _sql_hit(values: str, start: str, count: str, bound: str) -> str:
+    """The first place from ``start`` on, among ``count``, with a value below ``bound``; or null."""
+    places = f"transform(slice({values}, {start} + 1, {count}), (x, k) -> IF(x < {bound}, {start} + k, NULL))"
+    return f"get(filter({places}, x -> x IS NOT NULL), 0)"
+
+
+def sql_minima(name: str, body: str, **arrays: str) -> str:
+    """Bind arrays, with their minima per block, per block of blocks …, to the fields of ``name``."""
+    made = body
+    for level in range(_LEVELS, -1, -1):
+        fields = []
+        for field, values in arrays.items():
+            fields += [f"'{field}{k}', {name}{level - 1}.{field}{k}" for k in range(level)]
+            if level:
+                below = f"{name}{level - 1}.{field}{level - 1}"
+                blocks = f"sequence(0, shiftright(greatest(size({below}) - 1, 0), {_WIDE}))"
+                values = f"transform({blocks}, b -> array_min(slice({below}, shiftleft(b, {_WIDE}) + 1, {1 << _WIDE})))"
+            fields.append(f"'{field}{level}', {values}")
+        made = sql_let(f"named_struct({', '.join(fields)})", name if level == _LEVELS else f"{name}{level}", made)
+    return made
+
+
+def sql_first_below(minima: str, start: str, bound: str) -> str:
+    """The first place from the bound ``start`` on whose value is below ``bound``, or null.
+
+    ``minima`` is an array of ``sql_minima`` (``name.field``). The rest of the block is searched, then the blocks
+    behind it on each level, and from a hit down to its place: no value is passed one by one, so many searches in a
+    long array stay linear.
+    """
+
+    def down(level: int, place: str) -> str:
+        if not level:
+            return place
+        hit = _sql_hit(f"{minima}{level - 1}", f"shiftleft({place}, {_WIDE})", str(1 << _WIDE), bound)
+        return hit if level == 1 else sql_let(hit, f"d{level}", down(level - 1, f"d{level}"))
+
+    cases, place = [], start
+    for level in range(_LEVELS + 1):
+        values = f"{minima}{level}"
+        count = f"size({values})" if level == _LEVELS else f"{1 << _WIDE} - ({place} & {(1 << _WIDE) - 1})"
+        hit = _sql_hit(values, place, count, bound)
+        cases.append(hit if not level else sql_let(hit, "hit", down(level, "hit")))
+        place = f"(shiftright({place}, {_WIDE}) + 1)"
+    return f"coalesce({', '.join(cases)})"
+
+
 def _newlines(text: str) -> str:
     return f"(length({text}) - length(replace({text}, char(10), '')))"
 

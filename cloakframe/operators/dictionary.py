@@ -105,12 +105,17 @@ def look_alikes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return some.select(F.explode(F.regexp_extract_all(text, F.lit(word), F.lit(0))).alias("token")).distinct()
 
 
+# Numbers of the input's look-alikes that new tokens are numbered past.
+_DIGITS = 12
+
+
 def taken_numbers(tokens: DataFrame) -> DataFrame:
     """(prefix, taken): the largest number per prefix; at most one row for each of the prefixes.
 
-    Numbers of over 12 digits are left out: no dictionary grows to them.
+    Numbers of over 12 digits are left out: starting past them would use up the range. They are met, if
+    at all, one by one (``free_of``).
     """
-    return tokens.where(F.length("token") <= 15).groupBy(F.substring("token", 1, 2).alias("prefix")).agg(
+    return tokens.where(F.length("token") <= 3 + _DIGITS).groupBy(F.substring("token", 1, 2).alias("prefix")).agg(
         F.max(F.expr("substring(token, 4)").cast("bigint")).alias("taken")
     )
 
@@ -125,25 +130,52 @@ def numbered_after(entries: DataFrame, last: DataFrame) -> DataFrame:
     )
 
 
-def build_dictionary(symbols: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+def free_of(entries: DataFrame, foreign: DataFrame | None) -> DataFrame:
+    """``entries`` without a token that is a word of the input (``foreign``, token), whatever its number.
+
+    Entries that meet one are numbered again past the last one of their prefix, until none does. Look-alikes
+    of up to 12 digits are passed by ``taken_numbers``, so this joins only longer ones, if there are any.
+    """
+    if foreign is None:
+        return entries
+    long = foreign.where(F.length("token") > 3 + _DIGITS)
+    if long.isEmpty():
+        return entries
+    entries = materialize(entries, "numbered")
+    while True:
+        met = materialize(entries.join(long, "token", "left_semi"), "met")
+        if met.isEmpty():
+            return entries
+        again = assign_tokens(met.select("kind", "scope", "original", "n_docs"), "again")
+        last = entries.groupBy("prefix").agg(F.max("seq").alias("_last"))
+        moved = numbered_after(again, last).select(*entries.columns)
+        entries = materialize(entries.join(met.select("token"), "token", "left_anti").unionByName(moved), "numbered")
+
+
+def build_dictionary(symbols: DataFrame, foreign: DataFrame | None = None) -> DataFrame:
     """Dictionary of all (name, kind, scope) rows; written once, so that tokens stay as they are.
 
-    Numbers start after those in ``taken`` (prefix, taken), which the input already uses.
+    No token is among ``foreign`` (token), the words of the input that look like tokens.
     """
     entries = assign_tokens(distinct_symbols(symbols), "symbols")
-    if taken is not None:
-        entries = numbered_after(entries, taken.select("prefix", F.col("taken").alias("_last")))
-    return materialize(entries, "dictionary")
+    if foreign is not None:
+        entries = numbered_after(entries, taken_numbers(foreign).withColumnRenamed("taken", "_last"))
+    return materialize(free_of(entries, foreign), "dictionary")
 
 
-def merge_dictionary(existing: DataFrame, symbols: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """Known symbols keep their token, new ones are numbered after the last one of their prefix."""
-    seen = distinct_symbols(symbols)
+def new_entries(existing: DataFrame, seen: DataFrame, foreign: DataFrame | None = None) -> DataFrame:
+    """Entries for the symbols (kind, scope, original, n_docs) that ``existing`` lacks, numbered after its last ones."""
     fresh = assign_tokens(seen.join(existing.select(*KEY), KEY, "left_anti"), "new-symbols")
     last = existing.select("prefix", "seq")
-    if taken is not None:
-        last = last.unionByName(taken.select("prefix", F.col("taken").alias("seq")))
-    fresh = numbered_after(fresh, last.groupBy("prefix").agg(F.max("seq").alias("_last"))).select(*existing.columns)
+    if foreign is not None:
+        last = last.unionByName(taken_numbers(foreign).withColumnRenamed("taken", "seq"))
+    return free_of(numbered_after(fresh, last.groupBy("prefix").agg(F.max("seq").alias("_last"))), foreign)
+
+
+def merge_dictionary(existing: DataFrame, symbols: DataFrame, foreign: DataFrame | None = None) -> DataFrame:
+    """Known symbols keep their token, new ones are numbered after the last one of their prefix."""
+    seen = distinct_symbols(symbols)
+    fresh = new_entries(existing, seen, foreign).select(*existing.columns)
     kept = (
         existing.join(seen.withColumnRenamed("n_docs", "_more"), KEY, "left")
         .withColumn("n_docs", F.col("n_docs") + F.coalesce("_more", F.lit(0)))

@@ -21,8 +21,8 @@ from cloakframe.functions.patterns import (
     STRINGS,
     Rule,
 )
+from cloakframe.operators.cpp_scopes import SYMBOLS, cpp_declared
 
-SYMBOLS = "array<struct<name:string,kind:string,scope:string>>"
 BINDING = "array<struct<name:string,kind:string,scope:string,at:array<int>>>"
 
 
@@ -211,45 +211,6 @@ def _python_declared(text: Column) -> Column:
     return F.aggregate(code_lines(text, "python"), start, step)["found"]
 
 
-_CPP_TYPE = rf"(?:(?:const|static|constexpr|unsigned|signed|inline|virtual|mutable)\s+)*(?:std::)?{NAME}(?:::{NAME})*(?:\s*<[^;{{}}()=]*>)?(?:\s*[*&]+\s*|\s+)"
-_CPP_RULES = [
-    # (kind, pattern, group of the name, group of the scope or 0)
-    ("namespace", rf"\bnamespace\s+({NAME})", 1, 0),
-    ("class", rf"(?<!enum\s)\bclass\s+({NAME})", 1, 0),
-    ("struct", rf"\bstruct\s+({NAME})", 1, 0),
-    ("enum", rf"\benum\s+(?:class\s+)?({NAME})", 1, 0),
-    ("typedef", rf"\btypedef\s+[^;]*?({NAME})\s*;", 1, 0),
-    ("type_alias", rf"\busing\s+({NAME})\s*=", 1, 0),
-    ("macro", rf"#define\s+({NAME})", 1, 0),
-    ("method", rf"({NAME})::({NAME})\s*\([^;{{}}]*\)[^;{{}}]*\{{", 2, 1),
-    ("function", rf"(?:^|[;{{}}\n])\s*{_CPP_TYPE}({NAME})\s*(?=\()", 1, 0),
-    ("parameter", rf"[(,]\s*{_CPP_TYPE}({NAME})\s*(?=[,)=])", 1, 0),
-    ("variable", rf"(?:^|[;{{}}(\n])\s*{_CPP_TYPE}({NAME})\s*(?=[=;\[{{])", 1, 0),
-]
-
-
-def _zipped(names: Column, scopes: Column, kind: str) -> Column:
-    return F.zip_with(names, scopes, lambda n, s: _symbol(n, kind, s)).cast(SYMBOLS)
-
-
-def _cpp_declared(text: Column) -> Column:
-    bare = F.regexp_replace(text, f"{STRINGS['cpp']}|{COMMENTS['cpp']}", '""')
-
-    def apply_rules(source: Column) -> Column:
-        found = []
-        for kind, pattern, name, scope in _CPP_RULES:
-            names = F.regexp_extract_all(source, F.lit(pattern), F.lit(name))
-            scopes = (
-                F.regexp_extract_all(source, F.lit(pattern), F.lit(scope))
-                if scope
-                else F.transform(names, lambda _: F.lit(""))
-            )
-            found.append(_zipped(names, scopes, kind))
-        return F.concat(*found)
-
-    return let(bare, apply_rules)
-
-
 def declared_symbols(text: Column, language: str) -> Column:
     """array<struct<name, kind, scope>>; the first declaration of a name in a document wins."""
     if language == "python":
@@ -260,7 +221,7 @@ def declared_symbols(text: Column, language: str) -> Column:
             ),
         )
     else:
-        symbols = F.filter(_cpp_declared(text), lambda s: is_user_name(s["name"], "cpp"))
+        symbols = F.filter(cpp_declared(text), lambda s: is_user_name(s["name"], "cpp"))
     numbered = F.transform(
         symbols,
         lambda s, i: F.struct(s["name"].alias("name"), i.alias("nth"), s["kind"].alias("kind"), s["scope"].alias("scope")),

@@ -16,6 +16,8 @@ from cloakframe.functions.patterns import (
 )
 from cloakframe.operators.lookups import lookup, row_weights
 from cloakframe.operators.masking import resolve, substitute
+from cloakframe.operators.substrings import GRAM, contained_names, string_id
+from cloakframe.operators.substrings import ID as STRING_ID
 from cloakframe.session import materialize
 
 _LOOK_BACK = 80
@@ -117,9 +119,11 @@ def classify_number(value: Column, context: Column) -> Column:
     return let(raw, decide)
 
 
-def _with_surroundings() -> str:
+def _with_surroundings(listed: bool, given: bool) -> str:
     """SQL body: every literal with its place, what stands around it, and its line's marks.
 
+    Known names come from a list (``s.names``), from rows per string (``s.known``), or are not asked for.
+
     The 80 characters before and the 20 from a literal on are put together from at most as many
     neighbouring pieces, so a literal costs the same wherever it stands in the text.
     """
@@ -131,35 +135,58 @@ def _with_surroundings() -> str:
         f"concat(array_join(slice(k.tails, {earlier} + 1, i - {earlier}), ''), s.g[i]) END, {_LOOK_BACK})"
     )
     after = f"left(array_join(slice(k.heads, i + 1, {_LOOK_AHEAD}), ''), {_LOOK_AHEAD})"
-    known = (
-        "coalesce(get(k.known, i), CASE WHEN left(piece, 1) = '\"' THEN "
-        "array_min(filter(s.names, n -> length(n) > 2 AND contains(btrim(piece, '\"'), n))) END)"
-    )
     # One name or null per piece up to the last one that has a name.
     dense = (
         "flatten(transform(s.known, (x, i) -> concat(array_repeat(cast(null AS string), "
         "x.at - coalesce(get(s.known, i - 1).at, -1) - 1), array(x.name))))"
     )
+    first = (
+        "CASE WHEN left(piece, 1) = '\"' THEN "
+        "array_min(filter(s.names, n -> length(n) > 2 AND contains(btrim(piece, '\"'), n))) END"
+    )
+    cases = ["get(k.known, i)"] * given + [first] * listed + ["cast(null AS string)"]
+    known = f"coalesce({', '.join(cases)})"
     rows = sql_located(
         f", 'before', {before}, 'after', {after}, 'known', {known}, 'marks', s.marks[c.n[i] - 1]"
     )
-    return sql_let(f"named_struct('tails', {tails}, 'heads', {heads}, 'known', {dense})", "k", rows)
+    more = f", 'known', {dense}" if given else ""
+    return sql_let(f"named_struct('tails', {tails}, 'heads', {heads}{more})", "k", rows)
 
 
-def names_in_strings(
-    docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, known): for each string that holds a word among ``names`` (name) its place and the first such word.
-
-    Words of two letters or less don't count. What is collected per document are its own strings.
-    """
-    strings = docs.select(id_col, F.posexplode(pieces_of(F.col(text_col), LITERAL)).alias("at", "piece")).where(
+def strings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, at, piece): the quoted strings of each text with their place among its literals."""
+    return docs.select(id_col, F.posexplode(pieces_of(F.col(text_col), LITERAL)).alias("at", "piece")).where(
         F.col("piece").startswith('"')
     )
+
+
+def _words_in_strings(strings: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
     words = F.array_distinct(pieces_of(F.col("piece"), WORD))
     held = strings.select(id_col, "at", F.explode(words).alias("name")).where(F.length("name") > 2)
     held = materialize(held, "string-words")
-    found = lookup(held, names.select("name").distinct(), ["name"], "inner", id_col, row_weights(held, ["name"]))
+    return lookup(held, names.select("name").distinct(), ["name"], "inner", id_col, row_weights(held, ["name"]))
+
+
+def _parts_of_strings(strings: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
+    value = F.btrim("piece", F.lit('"'))
+    held = strings.select(id_col, "at", *string_id(value), value.alias("value")).where(F.length("value") >= GRAM)
+    held = materialize(held, "strings")
+    distinct = held.groupBy(*STRING_ID).agg(F.first("value").alias("value"))
+    named = contained_names(distinct, names).groupBy(*STRING_ID).agg(F.min("name").alias("name"))
+    places = held.select(id_col, "at", *STRING_ID)
+    return lookup(places, named, STRING_ID, "inner", id_col, row_weights(places, STRING_ID)).select(id_col, "at", "name")
+
+
+def names_in_strings(
+    docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: str = "word"
+) -> DataFrame:
+    """(id, known): for each string that holds one of ``names`` (name) its place and the first such name.
+
+    ``within`` is ``word`` (a name is a whole word of the string) or ``substring`` (it may stand inside a word).
+    Names of two letters or less don't count. What is collected per document are its own strings.
+    """
+    strings = strings_of(docs, id_col, text_col)
+    found = (_words_in_strings if within == "word" else _parts_of_strings)(strings, names, id_col)
     return (
         found.groupBy(id_col, "at")
         .agg(F.min("name").alias("name"))
@@ -183,15 +210,12 @@ def literals_of(text: Column, names: Column | None = None, known: Column | None
             F.instr(line, "for (").alias("for_at"),
         ),
     )
-    places = bind(
-        _with_surroundings(),
-        g=gaps_of(text, LITERAL),
-        p=pieces_of(text, LITERAL),
-        l=line_widths(text),
-        marks=marks,
-        names=F.lit(None).cast("array<string>") if names is None else names,
-        known=F.coalesce(F.lit(None) if known is None else known, F.array()).cast("array<struct<at:int,name:string>>"),
-    )
+    bound = {"g": gaps_of(text, LITERAL), "p": pieces_of(text, LITERAL), "l": line_widths(text), "marks": marks}
+    if names is not None:
+        bound["names"] = names
+    if known is not None:
+        bound["known"] = F.coalesce(known, F.array()).cast("array<struct<at:int,name:string>>")
+    places = bind(_with_surroundings(names is not None, known is not None), **bound)
 
     def decided(o: Column) -> Column:
         marks = o["marks"]

@@ -230,13 +230,39 @@ def code_symbols_python(spark, sf):
     body = F.when(targets == "", "pass").otherwise(F.concat(targets, F.lit(" = first")))
     code = F.concat(F.lit("class Holder:\n    def run(first):\n        self.kept = first\n        "), body, F.lit("\n"))
     docs = doc_texts(spark, sf).withColumn("text", code)
-    found = docs.select("doc_id", F.explode(extract.declared_symbols(F.col("text"), "python")).alias("s"))
+    return _names_by_scope(docs, "python")
+
+
+def _names_by_scope(docs: DataFrame, language: str) -> DataFrame:
+    found = docs.select("doc_id", F.explode(extract.declared_symbols(F.col("text"), language)).alias("s"))
     # The names collected per document are those of its own text.
     return found.groupBy("doc_id", "s.kind", "s.scope").agg(
         F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("s.name")), ","), 256).alias("names_sha")
     )
 
 
+def cpp_like(text: Column) -> Column:
+    """C++ made of a text: its words as enum constants, fields, parameters and variables."""
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,}"), F.lit(0)))
+
+    def listed(before: str, after: str = "") -> Column:
+        names = F.transform(words, lambda w: F.concat(F.lit(before), w, F.lit(after)))
+        return F.array_join(F.concat(F.array(F.lit(before.split()[-1] + "first" + after)), names), ", ")
+
+    return F.concat(
+        F.lit("#define LIMIT 3\nnamespace corpus {\nenum class Mode { "), listed("e_", " = 1"),
+        F.lit(" };\nclass Holder : public Base<int> {\n  int "), listed("f_"),
+        F.lit(";  // fields\n public:\n  void run(const Part& p_none, "), listed("int p_", " = 2"),
+        F.lit(") const {\n    for (int i = 0; i < 3; ++i) { long inner = i; }\n    auto "), listed("v_", " = call(1, 2)"),
+        F.lit(";\n  }\n  struct Part { double depth; };\n};\n}\nint corpus::Holder::later() { return 0; }\n"),
+    )
+
+
+def code_symbols_cpp(spark, sf):
+    docs = doc_texts(spark, sf)
+    return _names_by_scope(docs.withColumn("text", cpp_like(F.col("text"))), "cpp")
+
+
 def symbol_first(spark, sf):
     return extract.first_symbols(_turn_symbols(spark, sf), "conv_id", "turn")
 
@@ -389,7 +415,7 @@ def mask_level4(spark, sf):
 def roundtrip_lookalikes(spark, sf):
     """Words that look like tokens, in code and in running text, come back as they were."""
     docs = doc_texts(spark, sf)
-    alike = F.format_string("gv_%03d + gf_007", F.col("doc_id") % 500)
+    alike = F.format_string("gv_%03d + gf_007 + gv_999999999999 + gv_1000000000000 + gv_1000000000002", F.col("doc_id") % 500)
     code = docs.withColumn("text", F.concat(F.lit("def work(first):\n    kept = "), alike, F.lit(" + first\n")))
     prose = docs.withColumn("text", F.concat(alike, F.lit(" "), F.col("text"), F.lit(" gs_002 gv_001")))
     parts = [
@@ -465,6 +491,13 @@ def literals_string_class(spark, sf):
     return found.where("kind = 'string'").select("page_id", "offset", "value", "action", "reason", "context")
 
 
+def strings_by_substring(spark, sf):
+    """Quoted passages of all documents that hold a word of the benchmark, also inside a longer word."""
+    names = _benchmark_symbols(spark, sf).select("name")
+    found = literals.names_in_strings(quoted_docs(spark, sf), names, within="substring")
+    return found.select("doc_id", F.explode("known").alias("k")).select("doc_id", F.col("k.at").cast("bigint").alias("at"), "k.name")
+
+
 def literals_number_class(spark, sf):
     found = literals.literals(doc_texts(spark, sf))
     return found.where("kind = 'number'").select("doc_id", "offset", "value", "action", "reason", "context")
@@ -511,6 +544,37 @@ def section_rows(spark, sf):
     return found.select("doc_id", "name", "start_line", "end_line", sha(F.col("body")).alias("body_sha"))
 
 
+def _line_code(text: Column, template: str) -> Column:
+    """Code made of a text: the template once per line, with the line's letters and its number."""
+    parts = template.split("%")
+
+    def one(line: Column, i: Column) -> Column:
+        fields = {"s": F.regexp_replace(line, "[^A-Za-z ]", ""), "i": i.cast("string"), "n": (i + 1).cast("string")}
+        return F.concat(F.lit(parts[0]), *[x for p in parts[1:] for x in (fields[p[0]], F.lit(p[1:]))])
+
+    return F.array_join(F.transform(F.split(text, "\n", -1), one), "")
+
+
+PYTHON_PARTS = (
+    "class Holder_%i:\n    def part_%i(self, a,\n            b=0) -> int:\n        kept = \"%s\"\n\n        return part_%n(a)\ntop_%i = 1\n"
+)
+CPP_PARTS = "int Holder::part_%i(int a)\n{\n  if (a) { kept(\"%s\"); }\n  return part_%n(a);\n}\nint later_%i(int a);\n"
+
+
+def _code_sections(spark, sf, template: str, language: str) -> DataFrame:
+    docs = doc_texts(spark, sf).withColumn("text", _line_code(F.col("text"), template))
+    found = sections.sections(docs, language)
+    return found.select("doc_id", "name", "start_line", "end_line", "signature", sha(F.col("body")).alias("body_sha"))
+
+
+def sections_python(spark, sf):
+    return _code_sections(spark, sf, PYTHON_PARTS, "python")
+
+
+def sections_cpp(spark, sf):
+    return _code_sections(spark, sf, CPP_PARTS, "cpp")
+
+
 def called_names(spark, sf):
     """Names before a parenthesis, over text with a parenthesis after every comma."""
     body = F.replace("text", F.lit(", "), F.lit(" (, "))
@@ -844,14 +908,14 @@ QUERIES = {
     f.__name__: f
     for f in [
         corpus_profile, lang_route, policy_banned, policy_level_check,
-        occurrences, occurrences_code_only, protected_anti, registry_semi, symbols_by_rule, code_symbols_python, symbol_first,
+        occurrences, occurrences_code_only, protected_anti, registry_semi, symbols_by_rule, code_symbols_python, code_symbols_cpp, symbol_first,
         comment_spans, import_names,
         dict_build, dict_multi_table, dict_merge, dict_lookup, dict_reverse, dict_summary, dict_browse,
         dict_files, token_hover, token_collisions, dict_encrypt_roundtrip,
         mask_rename, mask_level1, mask_level2, roundtrip_lookalikes, mask_level4, masking_risk, mask_personal_data, mask_span, strip_comments,
-        anonymize_comments, restored_comments, literals_extract, literals_string_class,
+        anonymize_comments, restored_comments, literals_extract, literals_string_class, strings_by_substring,
         literals_number_class, literals_summary, mask_literals, format_spec_keep, generalize_numbers,
-        isolate_section, section_rows, called_names,
+        isolate_section, section_rows, sections_python, sections_cpp, called_names,
         unmask, unknown_tokens, roundtrip, zones, unmask_zones, dependencies,
         section_changes, token_except, dependency_except, confidence, change_blocks, change_describe,
         change_annotations,

@@ -635,7 +635,7 @@ ORACLES: dict[str, str] = {
         m AS ({woven('b', 'doc_id', "SELECT b_u.doc_id, i, g, CASE WHEN seq IS NULL THEN b_u.w ELSE 'gc_' || CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END END AS r FROM b_u LEFT JOIN b_n USING (w)")}),
         {restored('m', NAMES_AND_LITERALS + " UNION ALL SELECT 'gc_' || CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END, w FROM b_n")}
         SELECT doc_id, sha256(m.t) AS masked_sha, back.t = s.text AS same_after_restore FROM m JOIN back USING (doc_id) JOIN {QUOTED} s USING (doc_id)""",
-    "roundtrip_lookalikes": r"""WITH a AS (SELECT doc_id, text, 'gv_' || lpad((doc_id % 500)::VARCHAR, 3, '0') || ' + gf_007' AS alike FROM documents)
+    "roundtrip_lookalikes": r"""WITH a AS (SELECT doc_id, text, 'gv_' || lpad((doc_id % 500)::VARCHAR, 3, '0') || ' + gf_007 + gv_999999999999 + gv_1000000000000 + gv_1000000000002' AS alike FROM documents)
         SELECT doc_id, 'python' AS language, sha256('def work(first):' || chr(10) || '    kept = ' || alike || ' + first' || chr(10)) AS text_sha FROM a
         UNION ALL SELECT doc_id, 'prose', sha256(alike || ' ' || text || ' gs_002 gv_001') FROM a""",
     "masking_risk": f"""WITH {LEVEL_TWO}, m AS ({LEVEL_TWO_TEXT}),
@@ -699,6 +699,38 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT doc_id, 'first', 'parameter', 'Holder::run' FROM documents
           UNION ALL SELECT doc_id, 'kept', 'field', 'Holder::run' FROM documents)
         SELECT doc_id, kind, scope, count(*) AS n, sha256(string_agg(name, ',' ORDER BY name)) AS names_sha FROM s GROUP BY 1, 2, 3""",
+    "code_symbols_cpp": """WITH w AS (
+          SELECT doc_id, unnest(list_prepend('first', list_distinct(regexp_extract_all(text, '[A-Za-z]{3,}')))) AS name FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, 'e_' || name AS name, 'enum_constant' AS kind, 'corpus::Mode' AS scope FROM w
+          UNION SELECT doc_id, 'f_' || name, 'field', 'corpus::Holder' FROM w
+          UNION SELECT doc_id, 'p_' || name, 'parameter', 'corpus::Holder::run' FROM w
+          UNION SELECT doc_id, 'v_' || name, 'variable', 'corpus::Holder::run' FROM w
+          UNION SELECT doc_id, v.name, v.kind, v.scope FROM documents, (VALUES
+            ('LIMIT', 'macro', ''), ('corpus', 'namespace', ''), ('Mode', 'enum', 'corpus'), ('Holder', 'class', 'corpus'),
+            ('run', 'method', 'corpus::Holder'), ('p_none', 'parameter', 'corpus::Holder::run'), ('i', 'variable', 'corpus::Holder::run'),
+            ('inner', 'variable', 'corpus::Holder::run'), ('Part', 'struct', 'corpus::Holder'), ('depth', 'field', 'corpus::Holder::Part'),
+            ('later', 'method', 'corpus::Holder')) v(name, kind, scope))
+        SELECT doc_id, kind, scope, count(*) AS n, sha256(string_agg(name, ',' ORDER BY name)) AS names_sha FROM s GROUP BY 1, 2, 3""",
+    "sections_python": r"""WITH l AS (
+          SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+        SELECT doc_id, 'part_' || i AS name, 7 * i + 1 AS start_line, 7 * i + 6 AS end_line,
+          'def part_' || i || '(self, a,' || chr(10) || '            b=0)' AS signature,
+          sha256('def part_' || i || '(self, a,' || chr(10) || '            b=0) -> int:' || chr(10) || '        kept = "'
+            || regexp_replace(line, '[^A-Za-z ]', '', 'g') || '"' || chr(10) || chr(10) || '        return part_' || (i + 1) || '(a)') AS body_sha FROM l""",
+    "sections_cpp": r"""WITH l AS (
+          SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+        SELECT doc_id, 'part_' || i AS name, 6 * i AS start_line, 6 * i + 5 AS end_line, 'int Holder::part_' || i || '(int a)' AS signature,
+          sha256('int Holder::part_' || i || '(int a)' || chr(10) || '{' || chr(10) || '  if (a) { kept("'
+            || regexp_replace(line, '[^A-Za-z ]', '', 'g') || '"); }' || chr(10) || '  return part_' || (i + 1) || '(a);' || chr(10) || '}') AS body_sha FROM l""",
+    "strings_by_substring": f"""WITH {pieces('lit', QUOTED, 'doc_id', 'text', LIT)}, names AS (
+          SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_extract_all(text, {q(W)})) AS w FROM benchmark) WHERE {is_name('w')} AND length(w) > 2),
+        kept AS (
+          SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS "at" FROM lit JOIN lit_t t USING (doc_id)
+          WHERE w NOT LIKE '.%' OR NOT regexp_matches(coalesce(substring(t.t, greatest(off, 1), least(off, 1)), ''), '_')),
+        strings AS (SELECT DISTINCT trim(w, '"') AS v FROM kept WHERE w LIKE '"%'),
+        held AS (SELECT v, min(name) AS name FROM strings JOIN names ON contains(v, name) GROUP BY v)
+        SELECT doc_id, "at", name FROM kept JOIN held ON v = trim(w, '"') WHERE w LIKE '"%'""",
     "called_names": rf"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, ', ', ' (, '), '({W})\s*\(', 1)) AS w FROM documents)
         SELECT w AS callee, count(DISTINCT doc_id) AS n_docs FROM c
         WHERE regexp_full_match(w, '[A-Za-z_][\p{{L}}\p{{N}}_]*') AND w NOT IN ({listed(NOT_CALLS)}) GROUP BY 1""",

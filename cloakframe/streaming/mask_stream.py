@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cloakframe.operators.dictionary import (
-    KEY,
-    assign_tokens,
     distinct_symbols,
     look_alikes,
-    numbered_after,
-    taken_numbers,
+    new_entries,
 )
 from cloakframe.operators.extract import symbols
 from cloakframe.operators.lookups import row_weights
@@ -44,10 +41,7 @@ def mask_batch(batch: DataFrame, batch_id: int, dictionary_path: str, output_pat
     spark = batch.sparkSession
     known = _known_before(spark, dictionary_path, batch_id)
     found = materialize(symbols(batch, language), "stream-symbols")
-    fresh = assign_tokens(distinct_symbols(found).join(known.select(*KEY), KEY, "left_anti"), "stream-new")
-    taken = taken_numbers(look_alikes(batch)).withColumnRenamed("taken", "seq")
-    last = known.select("prefix", "seq").unionByName(taken)
-    fresh = numbered_after(fresh, last.groupBy("prefix").agg(F.max("seq").alias("_last")))
+    fresh = new_entries(known, distinct_symbols(found), look_alikes(batch))
     fresh.write.mode("overwrite").parquet(f"{dictionary_path}/batch_id={batch_id}")
     entries = read_stream_dictionary(spark, dictionary_path).where(F.col("batch_id") <= batch_id).drop("batch_id")
     weights = row_weights(found, ["kind", "scope", "name"])

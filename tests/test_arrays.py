@@ -4,7 +4,7 @@ import re
 import regex
 from pyspark.sql import functions as F
 
-from cloakframe.functions.arrays import exclusive_sums, fill, located, pieces_of, slots
+from cloakframe.functions.arrays import bind, exclusive_sums, fill, located, pieces_of, slots, sql_first_below, sql_minima
 from cloakframe.functions.patterns import WORD
 
 
@@ -57,3 +57,19 @@ def test_slots_handle_a_text_of_one_repeated_word(texts):
     text = "same " * 20_000
     row = texts(text).select(slots(pieces_of(F.col("text"), WORD)).alias("s")).head()
     assert [s.key for s in row.s] == ["same"] and row.s[0].at == list(range(20_000))
+
+
+def test_first_below_equals_a_plain_search(spark):
+    draw = random.Random(2)
+    rows = []
+    for n in (0, 1, 5, 31, 32, 33, 1023, 1025, 40_000):
+        values = [draw.choice([3, 5, 9, 9, 9]) + (n > 1000) * draw.choice([0, 0, 0, 7]) for _ in range(n)]
+        asked = [(draw.randrange(max(1, n)), draw.choice([0, 1, 4, 6, 20])) for _ in range(30)] + [(max(0, n - 1), 6), (n, 6), (0, 4)]
+        rows.append((n, values, asked))
+    df = spark.createDataFrame(rows, "n int, v array<int>, asked array<struct<at:int,bound:int>>")
+    search = f"transform(s.asked, q -> {sql_first_below('m.v', 'q.at', 'q.bound')})"
+    got = df.select("n", bind(sql_minima("m", search, v="s.v"), v=F.col("v"), asked=F.col("asked")).alias("found")).collect()
+    found = {r["n"]: r["found"] for r in got}
+    for n, values, asked in rows:
+        want = [next((i for i in range(at, n) if values[i] < bound), None) for at, bound in asked]
+        assert found[n] == want

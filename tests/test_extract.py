@@ -109,7 +109,9 @@ def test_cpp_symbols(texts):
         ("Alias", "type_alias"),
         ("sum", "method"),
         ("item", "parameter"),
-        ("px", "variable"),
+        ("px", "field"),
+        ("count_", "field"),
+        ("RED", "enum_constant"),
         ("result", "variable"),
         ("values", "variable"),
     } <= got
@@ -117,6 +119,81 @@ def test_cpp_symbols(texts):
     assert ("sum", "method", "Basket") in _symbols(extract.symbols(texts(CPP), "cpp"))
 
 
+SCOPED = r"""
+#include <map>
+#define LIMIT 5
+namespace app::core {
+enum Mode { FAST, SLOW = 2, OTHER };
+enum class Color : int { RED };
+class Box final : public Base<int> {
+ public:
+  Box(int size) : size_(size), n{0} { total = size; }
+  ~Box();
+  virtual void run(const std::map<int, std::string>& table, int* out = nullptr) const override;
+  int size_, *next, grid[3] = {1, 2};
+  static const unsigned long long counter;
+ private:
+  struct Inner { float depth; } inner;
+};
+template <typename T> T biggest(std::vector<T> items, T seed) {
+  for (int i = 0; i < 3; ++i) { auto v = items[i]; if (int z = f(v)) { g(z); } }
+  for (const auto& item : items) seed += item;
+  std::map<int, Box> lookup, other;
+  unsigned x = 5, y(6);
+  auto fn = [&](int q) { double inside = 2.0; return inside; };
+  return seed;
+}
+}
+void app::core::Box::run(const std::map<int, std::string>& table, int* out) const { int local{3}; table_use(local); }
+typedef struct { int a_field; } Record;
+typedef void (*Callback)(int);
+using Alias = std::vector<int>;
+struct Forward;
+int global_value = 3;
+int main(int argc, char** argv) { try { global_value = 4; } catch (const Err& problem) { } }
+"""
+
+
+def test_cpp_scopes(texts):
+    got = {}
+    for r in texts(SCOPED).select(F.explode(extract.declared_symbols(F.col("text"), "cpp")).alias("s")).select("s.*").collect():
+        got.setdefault((r.kind, r.scope), set()).add(r.name)
+    box, big, run = "app::core::Box", "app::core::biggest", "app::core::Box::run"
+    assert got == {
+        ("macro", ""): {"LIMIT"},
+        ("namespace", ""): {"app", "core"},
+        ("enum", "app::core"): {"Mode", "Color"},
+        ("enum_constant", "app::core::Mode"): {"FAST", "SLOW", "OTHER"},
+        ("enum_constant", "app::core::Color"): {"RED"},
+        ("class", "app::core"): {"Box"},
+        ("struct", box): {"Inner"},
+        ("method", box): {"run"},
+        ("parameter", f"{box}::Box"): {"size"},
+        ("parameter", run): {"table", "out"},
+        ("field", box): {"size_", "next", "grid", "counter", "inner"},
+        ("field", f"{box}::Inner"): {"depth"},
+        ("function", "app::core"): {"biggest"},
+        ("parameter", big): {"items", "seed"},
+        ("variable", big): {"i", "v", "z", "item", "lookup", "other", "x", "y", "fn", "inside"},
+        ("variable", run): {"local"},
+        ("field", ""): {"a_field"},
+        ("typedef", ""): {"Record", "Callback"},
+        ("type_alias", ""): {"Alias"},
+        ("struct", ""): {"Forward"},
+        ("variable", ""): {"global_value"},
+        ("variable", "main"): {"problem"},
+    }
+
+
+def test_cpp_of_any_shape_ends(texts):
+    """Deep nesting, text without statements, open brackets, many functions: each within seconds."""
+    deep = "{" * 3000 + "int zz;" + "}" * 3000
+    rows = [deep, "word " * 100_000, "for ( x " * 10_000, "}}}} int a; {", "", None]
+    rows.append("".join(f"void f_{i}(int a_{i}) {{\n  if (a_{i}) {{ int b_{i} = 1; }}\n}}\n" for i in range(3000)))
+    got = [r.n for r in texts(*rows).select("doc_id", F.size(extract.declared_symbols(F.col("text"), "cpp")).alias("n")).orderBy("doc_id").collect()]
+    assert got[:5] == [1, 0, 0, 1, 0] and got[6] == 9000
+
+
 def test_comment_spans_hold_the_comment(texts):
     for language, code in (("python", PYTHON), ("cpp", CPP), ("html", "a<!-- x\ny -->b<!---->")):
         rows = extract.comment_spans(texts(code), language).collect()

@@ -141,3 +141,37 @@ def test_summary(texts):
     row = lit.literal_summary(lit.literal_arrays(texts('x = 5\ny = "medium" + 7\nz = "http://x"'))).head()
     assert (row.n_scrub, row.n_keep, row.n_flag, row.kept_sample) == (1, 2, 1, "5, 7")
     assert row.flagged == '2: "medium" - medium-length string (review recommended)'
+
+
+def test_names_inside_words_of_strings(spark):
+    import random
+
+    draw = random.Random(8)
+    parts = ["ab", "abc", "bcd", "xyz", "é", "ü", "😀", "_", " ", "the", "other", "a" * 40]
+    make = lambda n: "".join(draw.choice(parts) for _ in range(n))
+    names = {make(draw.randint(1, 6)).strip() for _ in range(80)} | {"a" * 300, "a" * 260 + "b", "ab", "", "nowhere"}
+    strings = [make(draw.randint(0, 30)) for _ in range(120)] + ["a" * 400, "x" + "a" * 260 + "b" + "c" * 300, "", "ab", "abc", make(900)]
+    docs = [(i // 3, f'{i} "{a}" and "{b}" 12') for i, (a, b) in enumerate(zip(strings, strings[1:]))]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string")
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    found = lit.names_in_strings(d, n, within="substring")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {(r.doc_id, k.at): k.name for r in found.collect() for k in r.known}
+    want = {}
+    for i, (a, b) in enumerate(zip(strings, strings[1:])):
+        for at, value in ((1, a), (2, b)):
+            held = sorted(x for x in names if len(x) > 2 and x in value)
+            if held:
+                want[i, at] = held[0]
+    assert got == want
+
+
+def test_hot_grams_are_spread(spark, monkeypatch):
+    from cloakframe.operators import lookups
+
+    monkeypatch.setattr(lookups, "HOT_FLOOR", 3)
+    d = spark.createDataFrame([(i, f'say "the same {i % 7} theme" twice') for i in range(300)], "doc_id long, text string")
+    n = spark.createDataFrame([("the",), ("heme",), ("6 th",), ("absent",)], "name string")
+    got = {r.doc_id: r.known[0].name for r in lit.names_in_strings(d, n, within="substring").collect()}
+    assert got == {i: "6 th" if i % 7 == 6 else "heme" for i in range(300)}

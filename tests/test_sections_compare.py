@@ -55,6 +55,25 @@ def test_cpp_sections_and_calls(texts):
     assert [(r.caller, r.callee) for r in sections.call_edges(found).collect()] == [("total", "helper")]
 
 
+def test_hundred_thousand_headers(texts):
+    python = "".join(f"def f{i}(a):\n    return a\n" for i in range(100_000))
+    cpp = "".join(f"int f{i}(int a) {{\n  return a;\n}}\n" for i in range(100_000))
+    # The empty line behind the last line break belongs to the last section of Python.
+    for language, code, lines, exact in (("python", python, 2, 99_999), ("cpp", cpp, 3, 100_000)):
+        found = sections.sections(texts(code), language).select("name", "start_line", "end_line")
+        facts = found.agg(F.count("*"), F.sum("start_line"), F.count_if(F.col("end_line") - F.col("start_line") == lines)).first()
+        assert tuple(facts) == (100_000, lines * 99_999 * 50_000, exact)
+
+
+def test_nested_sections_and_odd_endings(texts):
+    code = "def a(\n    x,\n):\n    def b(y):\n        pass\n\n    # note\n  \nz = 1\ndef c(\n"
+    rows = [(r.name, r.start_line, r.end_line) for r in sections.sections(texts(code), "python").collect()]
+    assert rows == [("a", 0, 8), ("b", 3, 6), ("c", 9, 11)]
+    code = "int a(int x)\n{\n  if (x) { }\n}\nvoid b() { }\nint c();\nint d(int y) {\n"
+    rows = [(r.name, r.start_line, r.end_line) for r in sections.sections(texts(code), "cpp").collect()]
+    assert rows == [("a", 0, 4), ("b", 4, 5), ("d", 6, 8)]
+
+
 def test_isolate(texts):
     cut = lambda code, name, lang: texts(code).select(sections.isolate_of(F.col("text"), F.lit(name), lang).alias("t")).head().t
     assert cut(CODE, "price", "python") == (
