@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.names import python_names, registry
 from cloakframe.functions.patterns import PERSONAL_DATA
-from cloakframe.operators import annotate, audit, compare, extract, literals, masking, policy, risk, sections
+from cloakframe.operators import annotate, audit, compare, extract, isolation, literals, masking, policy, risk, sections
 from cloakframe.operators import dictionary as dic
 from cloakframe.operators import unmask as un
 from cloakframe.operators.lookups import lookup, row_weights
@@ -166,6 +166,24 @@ def policy_level_check(spark, sf):
     )
 
 
+def policy_gate(spark, sf):
+    """Pages as requests; the policy's globs are some of their hosts, and a few of other forms."""
+    table = read_table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
+    level = F.when(F.col("page_id") % 7 == 0, None).otherwise(F.col("page_id") % 4 + 1)
+    hosts = table.where("page_id % 25 = 0").select(
+        F.concat(F.lit("*//"), F.regexp_extract("path", "//([^/?#]*)", 1), F.lit("/*")).alias("glob")
+    )
+    fixed = spark.createDataFrame([(g,) for g in [*BANNED, "*ref=[!a-w]", "?", "*[&?^]page=9*", "*.org/[a-d]?/*"]], "glob string")
+    of_repo = hosts.unionByName(fixed).select(
+        F.lit("repo").alias("tier"), F.lit(2).alias("min_scrub_level"), F.lit(None).cast("int").alias("default_scrub_level"),
+        F.lit(True).alias("block_level_1"), *[F.lit(None).cast("boolean").alias(c) for c in ("enforce_audit", "encrypt_maps")],
+        F.array("glob").alias("banned_patterns"),
+    )
+    of_user = spark.createDataFrame([("user", 4, 3, False, True, False, ["*"])], policy.POLICY_SCHEMA)
+    out = policy.policy_gate(table.withColumn("level", level), of_repo.unionByName(of_user), "page_id")
+    return out.select("page_id", F.col("effective_level").cast("bigint").alias("effective_level"), "status", "reason")
+
+
 # --- extraction ---------------------------------------------------------------------------
 
 
@@ -575,6 +593,23 @@ def sections_cpp(spark, sf):
     return _code_sections(spark, sf, CPP_PARTS, "cpp")
 
 
+def isolate_code(spark, sf):
+    """Code made of the documents, each calling into the next one; a third asks for a section that is missing."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    i, n = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    kept = F.regexp_replace("text", "[^A-Za-z ]", "")
+    code = F.concat(
+        F.lit("import os\nfrom lib import tool_"), i, F.lit("\n\nclass Holder_"), i, F.lit(":\n    def part_"), i,
+        F.lit("(self, a):\n        kept = \""), kept, F.lit("\"\n        return shared(a) + part_"), n, F.lit("(a) + unknown_"), i,
+        F.lit("(a)\n\ndef shared(x):\n    return tail_"), i, F.lit("(x)\n\ndef tail_"), i, F.lit("(x):\n    return x\n"),
+    )
+    target = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("part_"), i)).when(F.col("doc_id") % 3 == 1, "missing").otherwise("shared")
+    rows = spread(docs.select("doc_id", code.alias("text"), F.lit("python").alias("language"), target.alias("target")), "doc_id")
+    out, missed = isolation.isolate_corpus(rows, "target", "language", hops=2)
+    warned = missed.select("doc_id", F.concat_ws(": ", "type", "symbol").alias("warning"))
+    return out.join(warned, "doc_id", "left").select("doc_id", "isolated", "warning", sha(F.col("text")).alias("text_sha"))
+
+
 def called_names(spark, sf):
     """Names before a parenthesis, over text with a parenthesis after every comma."""
     body = F.replace("text", F.lit(", "), F.lit(" (, "))
@@ -907,7 +942,7 @@ def stream_mask(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in [
-        corpus_profile, lang_route, policy_banned, policy_level_check,
+        corpus_profile, lang_route, policy_banned, policy_level_check, policy_gate,
         occurrences, occurrences_code_only, protected_anti, registry_semi, symbols_by_rule, code_symbols_python, code_symbols_cpp, symbol_first,
         comment_spans, import_names,
         dict_build, dict_multi_table, dict_merge, dict_lookup, dict_reverse, dict_summary, dict_browse,
@@ -915,7 +950,7 @@ QUERIES = {
         mask_rename, mask_level1, mask_level2, roundtrip_lookalikes, mask_level4, masking_risk, mask_personal_data, mask_span, strip_comments,
         anonymize_comments, restored_comments, literals_extract, literals_string_class, strings_by_substring,
         literals_number_class, literals_summary, mask_literals, format_spec_keep, generalize_numbers,
-        isolate_section, section_rows, sections_python, sections_cpp, called_names,
+        isolate_section, section_rows, sections_python, sections_cpp, isolate_code, called_names,
         unmask, unknown_tokens, roundtrip, zones, unmask_zones, dependencies,
         section_changes, token_except, dependency_except, confidence, change_blocks, change_describe,
         change_annotations,

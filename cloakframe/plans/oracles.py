@@ -547,6 +547,18 @@ ORACLES: dict[str, str] = {
         for g in ["*/fr/*", "*.net/en/*", "1*", "*#top", "*page=[2-4]*"]
     )
     + " AS banned FROM pages",
+    "policy_gate": r"""WITH p AS (
+          SELECT page_id, url, regexp_extract(url, '[^/]*$') AS base, coalesce(CASE WHEN page_id % 7 <> 0 THEN page_id % 4 + 1 END, 3) AS l FROM pages),
+        hosts AS (SELECT DISTINCT regexp_extract(url, '//([^/?#]*)', 1) AS h FROM pages WHERE page_id % 25 = 0),
+        fixed(pat, re) AS (VALUES ('*/fr/*', '/fr/'), ('*.net/en/*', '\.net/en/'), ('1*', '^1'), ('*#top', '#top$'), ('*page=[2-4]*', 'page=[2-4]'),
+          ('*ref=[!a-w]', 'ref=[^a-w]$'), ('?', '^.$'), ('*[&?^]page=9*', '[&?\^]page=9'), ('*.org/[a-d]?/*', '\.org/[a-d]./')),
+        hits AS (
+          SELECT page_id, '*//' || h || '/*' AS pat FROM p JOIN hosts ON contains(url, '//' || h || '/')
+          UNION ALL SELECT page_id, pat FROM p JOIN fixed ON regexp_matches(url, re) OR regexp_matches(base, re)),
+        first AS (SELECT page_id, min(pat) AS pat FROM hits GROUP BY page_id)
+        SELECT page_id, l::BIGINT AS effective_level, CASE WHEN l < 2 OR pat IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS status,
+          CASE WHEN l = 1 THEN 'level 1 is blocked' WHEN pat IS NOT NULL THEN 'path matches banned pattern ' || pat ELSE '' END AS reason
+        FROM p LEFT JOIN first USING (page_id)""",
     "policy_level_check": """WITH r AS (SELECT event_id, coalesce(CASE WHEN event_id % 7 <> 0 THEN event_id % 4 + 1 END, 3)::BIGINT AS l FROM events)
         SELECT event_id, l AS effective_level, CASE WHEN l < 2 THEN 'rejected' ELSE 'accepted' END AS status,
           CASE WHEN l = 1 THEN 'level 1 is blocked' ELSE '' END AS reason FROM r""",
@@ -731,6 +743,25 @@ ORACLES: dict[str, str] = {
         strings AS (SELECT DISTINCT trim(w, '"') AS v FROM kept WHERE w LIKE '"%'),
         held AS (SELECT v, min(name) AS name FROM strings JOIN names ON contains(v, name) GROUP BY v)
         SELECT doc_id, "at", name FROM kept JOIN held ON v = trim(w, '"') WHERE w LIKE '"%'""",
+    "isolate_code": r"""WITH d AS (
+          SELECT doc_id AS i, doc_id + 1 AS n, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS kept,
+            'import os' || chr(10) || 'from lib import tool_' || doc_id || chr(10) AS head, chr(10) || '    pass  # stub' || chr(10) AS stub,
+            (SELECT list(o.doc_id) FROM documents o WHERE o.doc_id IN (p.doc_id + 1, p.doc_id + 2)) AS others
+          FROM documents p),
+        t AS (
+          SELECT *, chr(10) || '        kept = "' || kept || '"' || chr(10) || '        return shared(a) + part_' || n || '(a) + unknown_' || i || '(a)' AS body,
+            'def shared(x):' || chr(10) || '    return tail_' || i || '(x)' AS shared, 'def tail_' || i || '(x):' AS tail FROM d)
+        SELECT i AS doc_id, i % 3 <> 1 AS isolated, CASE WHEN i % 3 = 1 THEN 'isolation_missed: missing' END AS warning,
+          sha256(CASE i % 3
+            WHEN 1 THEN head || chr(10) || 'class Holder_' || i || ':' || chr(10) || '    def part_' || i || '(self, a):' || body || chr(10) || chr(10)
+              || shared || chr(10) || chr(10) || tail || chr(10) || '    return x' || chr(10)
+            WHEN 2 THEN head || chr(10) || '# Dependency stubs' || chr(10) || tail || stub || chr(10) || '# Target function' || chr(10) || shared
+            ELSE head || chr(10) || '# Class context (stub)' || chr(10) || 'class Holder_' || i || ':  # stub' || chr(10) || '    pass' || chr(10) || chr(10)
+              || '# Dependency stubs' || chr(10) || 'def shared(x):' || stub || tail || stub
+              || CASE WHEN list_contains(others, n) THEN 'def part_' || n || '(self, a):' || stub
+                   || CASE WHEN list_contains(others, n + 1) THEN 'def part_' || (n + 1) || '(self, a):' || stub ELSE '' END ELSE '' END
+              || chr(10) || '# Target function' || chr(10) || 'def part_' || i || '(self, a):' || replace(body, chr(10) || '    ', chr(10)) END) AS text_sha
+        FROM t""",
     "called_names": rf"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, ', ', ' (, '), '({W})\s*\(', 1)) AS w FROM documents)
         SELECT w AS callee, count(DISTINCT doc_id) AS n_docs FROM c
         WHERE regexp_full_match(w, '[A-Za-z_][\p{{L}}\p{{N}}_]*') AND w NOT IN ({listed(NOT_CALLS)}) GROUP BY 1""",

@@ -141,3 +141,51 @@ def test_entries(spark, texts):
     assert (hide.action, hide.scrub_level, hide.symbols_scrubbed, hide.source_files) == ("hide", 2, 0, ["1"])
     missing = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert audit.reveal_entries(missing, "doc_id", "m", "code").head().output_hash == "unavailable"
+
+
+GLOBS = [
+    "*.py", "src/*", "*/fr/*", "??", "*", "", "[!a-c]*", "[]x]*", "[[]y", "a[&&b]c", "[^a]*", "[a^]z", "[z-a]*", "[!z-a]?", "[a-", "x[!]", "*a-c[--0]*",
+    "[-a]*", "[a-]*", "é*", "*ü?", "a.b+c(d)", "lib/[a-c]*[0-9].h", "a\\\\b", "*[\\\\]*", "*#top", "$HOME/{x}|y", "[a-c-e]*",
+]
+PATHS = [
+    "", "a", "ab", "abc", "b", "z", "]x", "x", "[y", "a&c", "abc/a&c", "^", "az", "^z", "src/main.py", "lib/a7.h", "lib/d7.h", "x/fr/y", "[a-", "x[!]", "a-c/0", "a-c.",
+    "-q", "é1", "düd", "a.b+c(d)", "a\\\\b", "page#top", "$HOME/{x}|y", "e", "d", "line\nbreak", "x/", "c-",
+]
+
+
+def test_globs_equal_the_shell_ones(spark):
+    """One by one as patterns, compiled in a column, and as a table joined by runs of characters."""
+
+    def plain(path, glob):
+        return fnmatch.fnmatchcase(path, glob) or fnmatch.fnmatchcase(path.rsplit("/", 1)[-1], glob)
+
+    globs = spark.createDataFrame([(g,) for g in GLOBS] + [(None,), ("*",)], "glob string")
+    paths = spark.createDataFrame([(p,) for p in PATHS] + [(None,), ("a",)], "path string")
+    compiled = {r.glob: r.regex for r in policy.compiled_globs(globs).collect()}
+    assert compiled == {g: policy.glob_regex(g) for g in GLOBS}
+    for g in GLOBS:
+        got = {r.path for r in paths.where(policy.is_banned(F.col("path"), [g])).collect()}
+        assert got == {p for p in PATHS if plain(p, g)}, g
+    for some in (GLOBS, [g for g in GLOBS if g != "*"], ["*.py", "[!z-a]?"], []):
+        found = policy.banned_paths(paths, globs.where(F.col("glob").isin(some)))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        got = {r.path: r.glob for r in found.collect()}
+        assert got == {p: min(g for g in some if plain(p, g)) for p in PATHS if any(plain(p, g) for g in some)}
+
+
+def test_gate_tells_the_level_first(spark):
+    policies = spark.createDataFrame(
+        [("user", None, 3, None, None, None, None), ("repo", 2, None, True, None, None, ["*.key"]), ("repo", None, None, None, None, None, ["secret/*"])],
+        policy.POLICY_SCHEMA,
+    )
+    rows = [(1, "a.key", 1), (2, "a.key", 2), (3, "secret/b", None), (4, "ok.py", 1), (5, "ok.py", None), (6, None, 4)]
+    out = policy.policy_gate(spark.createDataFrame(rows, "id long, path string, level int"), policies, "id")
+    assert {r.id: (r.effective_level, r.status, r.reason) for r in out.collect()} == {
+        1: (1, "rejected", "level 1 is blocked"),
+        2: (2, "rejected", "path matches banned pattern *.key"),
+        3: (3, "rejected", "path matches banned pattern secret/*"),
+        4: (1, "rejected", "level 1 is blocked"),
+        5: (3, "accepted", ""),
+        6: (4, "accepted", ""),
+    }
