@@ -96,9 +96,12 @@ def labelled_keys(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def rows_of_keys(docs: DataFrame, keys: DataFrame, **columns: Column) -> DataFrame:
-    """(row key, label, …): ``columns`` of the rows that a bounded sample of ``labelled_keys`` names, each once."""
+    """(row key, label, …): ``columns`` of the rows that a bounded sample of ``labelled_keys`` names.
+
+    Repeated rows repeat: make the result distinct before it leaves the executors.
+    """
     given = docs.select(*row_key(), *[c.alias(n) for n, c in columns.items()])
-    return given.join(F.broadcast(keys), KEY).dropDuplicates(KEY)
+    return given.join(F.broadcast(keys), KEY)
 
 
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -225,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, meta: list[str], sampl
                 }
             )
 
-    found = joined.mapInPandas(run, "key long, label int, i binary, x binary").toPandas()
+    found = joined.mapInPandas(run, "key long, label int, i binary, x binary").distinct().toPandas()
     found = found.sort_values(["key", "i"], kind="stable")
     rows = [
         (np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float))

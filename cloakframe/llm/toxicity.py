@@ -254,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE)
         return Grammar()
     of_kind = [bounded_sample(keys.where(F.col(LABELLED) == k), sample) for k in (1, 0)]
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
-    rows = rows_of_keys(docs, of_kind[0].unionByName(of_kind[1]), text=whole_text(), half=half)
+    rows = rows_of_keys(docs, of_kind[0].unionByName(of_kind[1]), text=whole_text(), half=half).distinct()
     rows = materialize(rows.select(F.col(LABELLED).alias("label"), "text", "half"), "labelled")
     sizes = {(r["half"], r["label"]): r["count"] for r in rows.groupBy("half", "label").count().collect()}
     n = [max(1, sizes.get((0, k), 0)) for k in (0, 1)]

@@ -125,7 +125,7 @@ def test_samples_bound_rows_of_a_repeated_id(spark, monkeypatch):
     for bound in (500, 4000):
         chosen = bounded_sample(keys, bound)
         assert 0.8 * bound < chosen.count() < 1.1 * bound
-        rows = rows_of_keys(docs, chosen, text=F.col("text"))
+        rows = rows_of_keys(docs, chosen, text=F.col("text")).distinct()
         assert rows.count() == chosen.count()
     fitted = []
     monkeypatch.setattr(quality, "fit", lambda rows, labels, size: fitted.append(len(rows)) or quality.Machine(constant=0.5))
