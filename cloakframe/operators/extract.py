@@ -268,11 +268,14 @@ def code_symbols(text: Column, language: str) -> Column:
     ).cast(BINDING)
 
 
+def binding_of(text: Column, scan: str) -> Column:
+    """The symbols of a text with their places, for one way to scan it."""
+    return prose_symbols(text, scan) if scan in ("prose", "quoted") else code_symbols(text, scan)
+
+
 def symbols(docs: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per symbol of a document, ready for the dictionary: (id, name, kind, scope, at)."""
-    text = F.col(text_col)
-    binding = prose_symbols(text, language) if language in ("prose", "quoted") else code_symbols(text, language)
-    return docs.select(id_col, F.explode(binding).alias("s")).select(id_col, "s.*")
+    return docs.select(id_col, F.explode(binding_of(F.col(text_col), language)).alias("s")).select(id_col, "s.*")
 
 
 def symbols_by_rule(

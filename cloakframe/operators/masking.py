@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,15 @@ from cloakframe.operators.lookups import lookup
 def substitute(
     docs: DataFrame,
     resolved: DataFrame,
-    pattern: str,
+    pattern: str | Callable[[Column], Column],
     id_col: str = "doc_id",
     text_col: str = "text",
     count_as: str | None = None,
 ) -> DataFrame:
     """Rewrite each text: ``resolved`` has (id, value, at) for the pieces to replace.
 
+    ``pattern`` cuts the texts, or is a function that gives the filled text of ``_filled`` (where rows differ).
+
     Only positions and tokens are regrouped; the text itself is shuffled once, for the join by id,
     and not at all where the documents are bucketed by id. The list collected per id is no longer
     than the text of that row.
@@ -27,7 +31,8 @@ def substitute(
     filled = resolved.groupBy(id_col).agg(F.collect_list(F.struct("value", "at")).alias("_filled"))
     joined = docs.join(filled, id_col, "left")
     others = [c for c in docs.columns if c != text_col]
-    columns = [*others, fill(F.col(text_col), pattern, F.col("_filled")).alias(text_col)]
+    filling = fill(F.col(text_col), pattern, F.col("_filled")) if isinstance(pattern, str) else pattern(F.col("_filled"))
+    columns = [*others, filling.alias(text_col)]
     if count_as:
         columns.append(F.greatest(F.coalesce(F.size("_filled"), F.lit(0)), F.lit(0)).cast("bigint").alias(count_as))
     return joined.select(*columns)

@@ -15,6 +15,7 @@ from cloakframe.operators import annotate, audit, compare, extract, isolation, l
 from cloakframe.operators import dictionary as dic
 from cloakframe.operators import unmask as un
 from cloakframe.operators.lookups import lookup, row_weights
+from cloakframe.plans import corpus
 from cloakframe.plans.mask import audit_of, mask, restore, risk_of
 from cloakframe.session import materialize, shared_dir
 from cloakframe.sources.audit_log import append_entries
@@ -430,6 +431,41 @@ def mask_level4(spark, sf):
     return _masked_and_back(spark, sf, 4, bound_pattern=masking.ANY_NUMBER)
 
 
+def _mixed_files(spark, sf) -> DataFrame:
+    """Files made of the documents: Python, C++, running text, an unknown type and a banned path by turns; five levels asked for."""
+    d = F.col("doc_id").cast("string")
+    label = F.concat(F.lit('"customer record of number '), d, F.lit('"'))
+    python = F.concat(
+        F.lit("import os\n\nclass Holder_"), d, F.lit(":\n    def part_"), d, F.lit("(self, first):\n        label = "), label,
+        F.lit("\n        # a note\n        for step in range(25):\n            kept = first + 0x2A\n        return label\n"),
+    )
+    cpp = F.concat(
+        F.lit("#include <map>\nint part_"), d, F.lit("(int first) {\n  // a note\n  auto label = "), label,
+        F.lit(";\n  for (int step = 0; step < 25; ++step) { kept(first + 0x2A); }\n  return first;\n}\n"),
+    )
+    kind = F.col("doc_id") % 5
+    path = F.concat(F.when(kind == 4, "secret/f").otherwise("src/f"), d, F.element_at(F.array(*map(F.lit, (".py", ".cpp", ".txt", ".rs", ".py"))), (kind + 1).cast("int")))
+    text = F.when(kind == 0, python).when(kind == 1, cpp).otherwise(F.regexp_replace("text", '[0-9"]', ""))
+    asked = F.floor(F.col("doc_id") / 5) % 5
+    return read_table(spark, sf, "documents").select(
+        "doc_id", path.alias("path"), text.alias("text"), F.when(asked > 0, asked).cast("int").alias("level"), F.concat(F.lit("part_"), d).alias("section")
+    )
+
+
+def mask_corpus(spark, sf):
+    """One job over files of several languages and levels, under a policy, and its way back."""
+    files = spread(_mixed_files(spark, sf), "doc_id")
+    policies = spark.createDataFrame(
+        [("user", None, 2, None, None, None, None), ("repo", 1, None, False, None, None, ["secret/*"])], policy.POLICY_SCHEMA
+    )
+    out = corpus.mask_corpus(files, policies, section_col="section")
+    back = corpus.restore_corpus(out).select("doc_id", sha(F.col("text")).alias("restored_sha"))
+    done = out.docs.select("doc_id", sha(F.col("text")).alias("masked_sha"), "symbols_scrubbed").join(back, "doc_id")
+    return out.decisions.join(done, "doc_id", "left").select(
+        "doc_id", "language", F.col("effective_level").cast("bigint").alias("level"), "status", "reason", "symbols_scrubbed", "masked_sha", "restored_sha"
+    )
+
+
 def roundtrip_lookalikes(spark, sf):
     """Words that look like tokens, in code and in running text, come back as they were."""
     docs = doc_texts(spark, sf)
@@ -947,7 +983,7 @@ QUERIES = {
         comment_spans, import_names,
         dict_build, dict_multi_table, dict_merge, dict_lookup, dict_reverse, dict_summary, dict_browse,
         dict_files, token_hover, token_collisions, dict_encrypt_roundtrip,
-        mask_rename, mask_level1, mask_level2, roundtrip_lookalikes, mask_level4, masking_risk, mask_personal_data, mask_span, strip_comments,
+        mask_rename, mask_level1, mask_level2, mask_corpus, roundtrip_lookalikes, mask_level4, masking_risk, mask_personal_data, mask_span, strip_comments,
         anonymize_comments, restored_comments, literals_extract, literals_string_class, strings_by_substring,
         literals_number_class, literals_summary, mask_literals, format_spec_keep, generalize_numbers,
         isolate_section, section_rows, sections_python, sections_cpp, isolate_code, called_names,

@@ -647,6 +647,56 @@ ORACLES: dict[str, str] = {
         m AS ({woven('b', 'doc_id', "SELECT b_u.doc_id, i, g, CASE WHEN seq IS NULL THEN b_u.w ELSE 'gc_' || CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END END AS r FROM b_u LEFT JOIN b_n USING (w)")}),
         {restored('m', NAMES_AND_LITERALS + " UNION ALL SELECT 'gc_' || CASE WHEN seq < 1000 THEN lpad(seq::VARCHAR, 3, '0') ELSE seq::VARCHAR END, w FROM b_n")}
         SELECT doc_id, sha256(m.t) AS masked_sha, back.t = s.text AS same_after_restore FROM m JOIN back USING (doc_id) JOIN {QUOTED} s USING (doc_id)""",
+    "mask_corpus": f"""WITH files AS (
+          SELECT doc_id, doc_id % 5 AS k, CASE WHEN doc_id // 5 % 5 = 0 THEN 2 ELSE doc_id // 5 % 5 END AS lvl, regexp_replace(text, '[0-9"]', '', 'g') AS text FROM documents),
+        {pieces('p', "(SELECT doc_id, text FROM files WHERE k = 2)", 'doc_id', 'text', W)},
+        scopes AS (SELECT doc_id, k, lvl, 'part_' || doc_id AS f, 'Holder_' || doc_id AS h,
+          CASE WHEN k = 0 AND lvl < 3 THEN 'Holder_' || doc_id || '::' ELSE '' END || 'part_' || doc_id AS s FROM files WHERE k < 2),
+        syms AS (
+          SELECT DISTINCT doc_id, 'gv' AS prefix, 'variable' AS kind, '' AS scope, w AS original FROM p WHERE {is_name('w')}
+          UNION ALL SELECT doc_id, 'gt', 'class', '', h FROM scopes WHERE k = 0
+          UNION ALL SELECT doc_id, 'gf', CASE WHEN k = 0 AND lvl < 3 THEN 'method' ELSE 'function' END, CASE WHEN k = 0 AND lvl < 3 THEN h ELSE '' END, f FROM scopes
+          UNION ALL SELECT doc_id, 'gv', 'parameter', s, 'first' FROM scopes
+          UNION ALL SELECT doc_id, 'gv', 'variable', s, unnest(['label', 'step']) FROM scopes
+          UNION ALL SELECT doc_id, 'gv', 'variable', s, 'kept' FROM scopes WHERE k = 0),
+        entries AS (
+          SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY kind, scope, original) AS n
+          FROM (SELECT DISTINCT prefix, kind, scope, original FROM syms)),
+        named AS (
+          SELECT s.doc_id, s.kind, s.original, s.prefix || '_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS token
+          FROM syms s JOIN entries USING (prefix, kind, scope, original)),
+        code AS (
+          SELECT doc_id, max(token) FILTER (WHERE kind = 'class') AS h, max(token) FILTER (WHERE kind IN ('function', 'method')) AS f,
+            max(token) FILTER (WHERE original = 'first') AS p, max(token) FILTER (WHERE original = 'label') AS l,
+            max(token) FILTER (WHERE original = 'step') AS st, max(token) FILTER (WHERE original = 'kept') AS kp
+          FROM named JOIN scopes USING (doc_id) GROUP BY doc_id),
+        strings AS (SELECT doc_id, row_number() OVER (ORDER BY 'customer record of number ' || doc_id) AS n FROM scopes WHERE lvl >= 2),
+        filled AS (
+          SELECT s.doc_id, s.k, s.lvl, true AS masked, c.h, c.f, c.p, c.l, c.st, c.kp, CASE WHEN n IS NULL THEN 'customer record of number ' || s.doc_id
+              ELSE 'gs_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END END AS lab,
+            CASE WHEN s.lvl >= 2 THEN 'gc_001' ELSE '0x2A' END AS x, CASE WHEN s.lvl >= 4 THEN 'gc_002' ELSE '25' END AS b
+          FROM scopes s JOIN code c USING (doc_id) LEFT JOIN strings USING (doc_id)
+          UNION ALL
+          SELECT doc_id, k, lvl, false, h, f, 'first', 'label', 'step', 'kept', 'customer record of number ' || doc_id, '0x2A', '25' FROM scopes),
+        texts AS (
+          SELECT doc_id, masked, CASE
+            WHEN k = 0 AND lvl < 3 THEN concat('import os', chr(10), chr(10), 'class ', h, ':', chr(10), '    def ', f, '(self, ', p, '):', chr(10), '        ', l, ' = "', lab, '"', chr(10),
+              '        for ', st, ' in range(', b, '):', chr(10), '            ', kp, ' = ', p, ' + ', x, chr(10), '        return ', l, chr(10))
+            WHEN k = 0 THEN concat('import os', chr(10), chr(10), 'class ', h, ':', chr(10), '    pass', chr(10), chr(10), 'def ', f, '(self, ', p, '):', chr(10), '    ', l, ' = "', lab, '"', chr(10),
+              '    for ', st, ' in range(', b, '):', chr(10), '        ', kp, ' = ', p, ' + ', x, chr(10), '    return ', l)
+            ELSE concat('#include <map>', chr(10), CASE WHEN lvl >= 3 THEN chr(10) ELSE '' END, 'int ', f, '(int ', p, ') {{', chr(10), '  auto ', l, ' = "', lab, '";', chr(10),
+              '  for (int ', st, ' = 0; ', st, ' < ', b, '; ++', st, ') {{ kept(', p, ' + ', x, '); }}', chr(10), '  return ', p, ';', chr(10), '}}', CASE WHEN lvl < 3 THEN chr(10) ELSE '' END) END AS t
+          FROM filled),
+        prose AS ({woven('p', 'doc_id', 'SELECT p_u.doc_id, i, g, coalesce(token, w) AS r FROM p_u LEFT JOIN named ON named.doc_id = p_u.doc_id AND original = w')}),
+        done AS (
+          SELECT a.doc_id, sha256(a.t) AS masked_sha, sha256(b.t) AS restored_sha FROM texts a JOIN texts b ON a.doc_id = b.doc_id WHERE a.masked AND NOT b.masked
+          UNION ALL SELECT doc_id, sha256(prose.t), sha256(text) FROM prose JOIN files USING (doc_id)),
+        counts AS (SELECT doc_id, count(*) AS n FROM syms GROUP BY doc_id)
+        SELECT doc_id, CASE k WHEN 1 THEN 'cpp' WHEN 2 THEN 'prose' WHEN 3 THEN NULL ELSE 'python' END AS language, lvl::BIGINT AS level,
+          CASE WHEN k < 3 THEN 'accepted' ELSE 'rejected' END AS status,
+          CASE k WHEN 3 THEN concat('unsupported file type ', chr(39), '.rs', chr(39)) WHEN 4 THEN 'path matches banned pattern secret/*' ELSE '' END AS reason,
+          CASE WHEN k < 3 THEN coalesce(n, 0) END AS symbols_scrubbed, masked_sha, restored_sha
+        FROM files LEFT JOIN done USING (doc_id) LEFT JOIN counts USING (doc_id)""",
     "roundtrip_lookalikes": r"""WITH a AS (SELECT doc_id, text, 'gv_' || lpad((doc_id % 500)::VARCHAR, 3, '0') || ' + gf_007 + gv_999999999999 + gv_1000000000000 + gv_1000000000002' AS alike FROM documents)
         SELECT doc_id, 'python' AS language, sha256('def work(first):' || chr(10) || '    kept = ' || alike || ' + first' || chr(10)) AS text_sha FROM a
         UNION ALL SELECT doc_id, 'prose', sha256(alike || ' ' || text || ' gs_002 gv_001') FROM a""",
