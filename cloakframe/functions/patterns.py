@@ -179,6 +179,10 @@ COMMON_FLOATS = [0.0, 1.0, -1.0, 0.5, 2.0]
 
 FORMAT_SPEC = r"%[-+0 #]*[0-9]*\.?[0-9]*[diouxXeEfFgGaAcspn%]|\\[\s\S]"
 
+# The head of a function up to the end of its line, and a call.
+FUNCTION_HEAD = rf"def\s+{WORD}\s*\([^)]*\)[^\n]*\n"
+CALL = rf"(?<!{WORD_CHAR}){WORD}\s*\("
+
 # Structures that stay visible after masking; (description, pattern).
 # Boundaries around the words are looked at, not consumed.
 _B = rf"(?<!{WORD_CHAR})"
@@ -187,10 +191,8 @@ STRUCTURES = [
     ("matrix/2D array indexing", r"\[[^\n]*?\]\s*\[[^\n]*?\]"),
     ("exponential function (exp)", rf"{_B}exp\s*\("),
     ("sorting operation", rf"{_B}(?:sort|sorted|std::sort|qsort)\s*\("),
-    (
-        "recursive function",
-        rf"def\s+({WORD})\s*\([^)]*\)[^\n]*\n[\s\S]*?{_B}\1\s*\(",
-    ),
+    # Found by the table of calls (risk.calls_itself); this says where to look.
+    ("recursive function", r"def\s"),
     ("loop iteration", rf"{_B}(?:for|while)\s*[(:]|{_B}for\s+{WORD}\s+in{_E}"),
     ("file I/O operations", rf"{_B}(?:fopen|fread|fwrite|open|read|write|ifstream|ofstream)\s*\("),
     (

@@ -141,6 +141,8 @@ def zones(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFr
     )
 
 
+_HITS = "array<struct<zone:int,at:int,token:string,original:string>>"
+
 # A token in prose counts only before a possessive, punctuation, space or the end.
 _PROSE_NEXT = r"^(?:'s|[-/.,;:!?\s)]|\z)"
 
@@ -202,24 +204,31 @@ def unmask_replies(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], t
         F.collect_list(F.struct("token", "original", "at")).alias("_found")
     )
 
-    def restored(z: Column, n: Column, found_: Column) -> Column:
+    def restored(z: Column, mine: Column) -> Column:
         """The zone with known tokens restored; in code, unknown ones are marked."""
-        mine = F.filter(
+        unknown = F.when(z["zone_type"] == "code_block", F.concat(F.lit("NEW_"), mine["token"])).otherwise(mine["token"])
+        return F.struct(F.coalesce(mine["original"], unknown).alias("value"), F.array(mine["at"]).alias("at"))
+
+    def by_zone(found_: Column, zone_list: Column) -> Column:
+        """For each zone the tokens in it: one sort of the tokens and of a mark in front of each zone."""
+        hits = F.flatten(
             F.transform(
                 found_,
-                lambda f: F.struct(
-                    F.coalesce(
-                        f["original"],
-                        F.when(z["zone_type"] == "code_block", F.concat(F.lit("NEW_"), f["token"])).otherwise(
-                            f["token"]
-                        ),
-                    ).alias("value"),
-                    F.transform(F.filter(f["at"], lambda a: a["zone"] == n), lambda a: a["at"]).alias("at"),
+                lambda f: F.transform(
+                    f["at"],
+                    lambda a: F.struct(
+                        a["zone"].alias("zone"), a["at"].alias("at"), f["token"].alias("token"), f["original"].alias("original")
+                    ),
                 ),
+            )
+        ).cast(_HITS)
+        marks = F.transform(
+            zone_list,
+            lambda z, n: F.struct(
+                n.alias("zone"), F.lit(-1).alias("at"), F.lit(None).alias("token"), F.lit(None).alias("original")
             ),
-            lambda f: F.size(f["at"]) > 0,
-        )
-        return fill(z["content"], WORD, mine)
+        ).cast(_HITS)
+        return runs(F.array_sort(F.concat(marks, hits)), "zone")
 
     def wrap(z: Column) -> Column:
         return (
@@ -242,15 +251,15 @@ def unmask_replies(docs: DataFrame, dictionary: DataFrame, id_cols: list[str], t
         .withColumn("_found", F.coalesce("_found", empty))
         .withColumn(
             "_restored",
-            let(
-                F.col("_found"),
-                lambda found_: F.transform(
-                    F.col("_zones"),
-                    lambda z, n: F.struct(
-                        z["zone_type"].alias("zone_type"),
-                        z["language"].alias("language"),
-                        restored(z, n, found_).alias("content"),
-                    ),
+            F.zip_with(
+                F.col("_zones"),
+                by_zone(F.col("_found"), F.col("_zones")),
+                lambda z, run: F.struct(
+                    z["zone_type"].alias("zone_type"),
+                    z["language"].alias("language"),
+                    fill(
+                        z["content"], WORD, F.transform(F.slice(run, F.lit(2), F.size(run)), lambda h: restored(z, h))
+                    ).alias("content"),
                 ),
             ),
         )

@@ -154,39 +154,83 @@ def derive_key(passphrase: str, salt: bytes) -> bytes:
     return hashlib.pbkdf2_hmac("sha256", passphrase.encode(), salt, KDF_ROUNDS, 32)
 
 
-def encrypt_col(column: Column, key: bytes) -> Column:
+def key_column(spark: SparkSession, key: bytes) -> Column:
+    """A key as the value of a one-row table.
+
+    The row is data and not a literal, so the key stands in no plan, no event log and no generated code.
+    """
+    return spark.createDataFrame([(bytearray(key),)], "key binary").scalar()
+
+
+def encrypt_col(column: Column, key: Column) -> Column:
     """AES-GCM with a fresh nonce per value."""
-    return F.aes_encrypt(column.cast("binary"), F.lit(bytearray(key)), F.lit("GCM"))
+    return F.aes_encrypt(column.cast("binary"), key, F.lit("GCM"))
+
+
+def decrypt_col(column: Column, key: Column) -> Column:
+    """The plain bytes, or null for a wrong key or damaged data."""
+    return F.try_aes_decrypt(column, key, F.lit("GCM"))
 
 
-def decrypt_col(column: Column, key: bytes) -> Column:
-    """The plain text, or null for a wrong key or damaged data."""
-    return F.try_aes_decrypt(column, F.lit(bytearray(key)), F.lit("GCM")).cast("string")
+def wrap_key(spark: SparkSession, data_key: bytes, passphrase: str, salt: bytes) -> bytes:
+    """The data key, encrypted with the key that passphrase and salt give."""
+    row = spark.createDataFrame([(bytearray(data_key), bytearray(derive_key(passphrase, salt)))], "data binary, outer binary")
+    return bytes(row.select(encrypt_col(F.col("data"), F.col("outer")).alias("w")).first()["w"])
+
+
+def unwrap_key(spark: SparkSession, wrapped: bytes, passphrase: str, salt: bytes) -> bytes:
+    """The data key again; ValueError if the passphrase is wrong."""
+    if len(salt) < SALT_SIZE:
+        raise ValueError("encrypted data is too short, the file may be corrupted")
+    row = spark.createDataFrame([(bytearray(wrapped), bytearray(derive_key(passphrase, salt)))], "w binary, outer binary")
+    plain = row.select(decrypt_col(F.col("w"), F.col("outer")).alias("k")).first()["k"]
+    if plain is None:
+        raise ValueError("decryption failed: wrong passphrase or corrupted data")
+    return bytes(plain)
 
 
 def encrypt_dictionary(dictionary: DataFrame, passphrase: str, salt: bytes | None = None) -> DataFrame:
-    """Original, kind and scope as one encrypted column beside the token, and the salt in clear."""
-    salt = salt or os.urandom(SALT_SIZE)
-    key = derive_key(passphrase, salt)
+    """Original, kind and scope as one encrypted column beside the token.
+
+    Each dictionary has a data key of its own. The key is stored with it, wrapped by the passphrase's key, and the salt
+    in clear: a new passphrase wraps the same key anew (``rewrap``) and leaves the entries as they are.
+    """
+    spark, salt = dictionary.sparkSession, salt or os.urandom(SALT_SIZE)
+    data_key = os.urandom(32)
+    wrapped = wrap_key(spark, data_key, passphrase, salt)
     secret = F.to_json(F.struct("original", "kind", "scope"))
     return dictionary.select(
-        "token", "prefix", "seq", "n_docs", encrypt_col(secret, key).alias("secret"), F.lit(bytearray(salt)).alias("salt")
+        "token",
+        "prefix",
+        "seq",
+        "n_docs",
+        encrypt_col(secret, key_column(spark, data_key)).alias("secret"),
+        F.lit(bytearray(salt)).alias("salt"),
+        F.lit(bytearray(wrapped)).alias("wrapped_key"),
     )
 
 
+def _data_key(encrypted: DataFrame, passphrase: str) -> bytes:
+    first = encrypted.select("salt", "wrapped_key").head()
+    if first is None:
+        raise ValueError("no encrypted entries")
+    return unwrap_key(encrypted.sparkSession, bytes(first["wrapped_key"]), passphrase, bytes(first["salt"]))
+
+
+def rewrap(encrypted: DataFrame, passphrase: str, new_passphrase: str) -> DataFrame:
+    """The same entries under another passphrase."""
+    salt = os.urandom(SALT_SIZE)
+    wrapped = wrap_key(encrypted.sparkSession, _data_key(encrypted, passphrase), new_passphrase, salt)
+    return encrypted.withColumns({"salt": F.lit(bytearray(salt)), "wrapped_key": F.lit(bytearray(wrapped))})
+
+
 def decrypt_dictionary(encrypted: DataFrame, passphrase: str) -> DataFrame:
     """The dictionary again.
 
-    ValueError if the passphrase is wrong, seen on one row; a damaged row fails the job that reads it.
+    ValueError if the passphrase is wrong; a damaged row fails the job that reads it.
     """
-    first = encrypted.select("salt", "secret").head()
-    if first is None:
-        raise ValueError("no encrypted entries")
-    if len(first.salt) < SALT_SIZE:
-        raise ValueError("encrypted data is too short, the file may be corrupted")
-    plain = decrypt_col(F.col("secret"), derive_key(passphrase, bytes(first.salt)))
-    if encrypted.limit(1).select(plain.alias("p")).head().p is None:
-        raise ValueError("decryption failed: wrong passphrase or corrupted data")
+    key = key_column(encrypted.sparkSession, _data_key(encrypted, passphrase))
+    plain = decrypt_col(F.col("secret"), key).cast("string")
     whole = F.coalesce(plain, F.raise_error(F.lit("decryption failed: corrupted data")).cast("string"))
     fields = F.from_json(whole, "original string, kind string, scope string")
     return encrypted.withColumn("_f", fields).select(

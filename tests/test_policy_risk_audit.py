@@ -189,3 +189,22 @@ def test_gate_tells_the_level_first(spark):
         5: (3, "accepted", ""),
         6: (4, "accepted", ""),
     }
+
+
+def test_recursion_by_self_edges(spark):
+    cases = {
+        "def f(a):\n    return f(a - 1)\n": True,
+        "def f(a): return f(a)\n": False,
+        "def f(a):\n    return g(a)\n\ndef g(b):\n    return 1\n": False,
+        "def f(a):\n    return 1\n\ndef g(b):\n    return f(b)\n": True,
+        "f(1)\ndef f(a):\n    return 2\n": False,
+        "def f(a,\n      b):\n    pass\nx = f (1, 2)\n": True,
+        "def f(a):\n    return xf(a) + f2(a)\n": False,
+        "no code": False,
+    }
+    df = spark.createDataFrame(list(cases.items()), "text string, want boolean")
+    for r in df.select("text", "want", risk.structures_in(F.col("text")).alias("s")).collect():
+        assert ("recursive function" in r.s) == r.want, r.text
+    many = "".join(f"def f{i}(a):\n    return g{i}(a)\n" for i in range(50_000))
+    df = spark.createDataFrame([(many,), (many + "f0(1)\n",)], "text string")
+    assert [r.s for r in df.select(risk.calls_itself(F.col("text")).alias("s")).collect()] == [False, True]

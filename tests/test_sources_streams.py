@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators import audit
 from cloakframe.operators import dictionary as dic
+from cloakframe.session import materialize
 from cloakframe.sources import audit_log, corpus, dictionary_store
 from cloakframe.streaming.audit_stream import ingest_audit, live_totals, read_audit_stream
 from cloakframe.streaming.mask_stream import mask_batch, mask_stream, read_stream_dictionary
@@ -170,3 +171,73 @@ def test_json_lines_have_no_limit(spark, tmp_path):
     assert back.columns == entries.columns and header.first()["version"] == "1.0"
     assert back.count() == 100_500 and back.exceptAll(entries).isEmpty()
     assert back_files.count() == 100_500 and back_files.exceptAll(files).isEmpty()
+
+
+_KEY_SCRIPT = """
+import sys
+from cloakframe.session import local_session, materialize
+from cloakframe.sources import dictionary_store as store
+
+spark = local_session(2)
+entries = spark.createDataFrame([("gv_001", "gv", 1, "rate", "variable", "", 2)], "token string, prefix string, seq long, original string, kind string, scope string, n_docs long")
+sealed = store.encrypt_dictionary(entries, "open sesame")
+stored = materialize(sealed, "encrypted")
+key = store._data_key(stored, "open sesame")
+opened = store.decrypt_dictionary(stored, "open sesame")
+assert opened.exceptAll(entries).isEmpty()
+opened.collect()
+with open(sys.argv[1], "w") as out:
+    out.write("\\n".join(df._jdf.queryExecution().toString() for df in (sealed, opened)))
+print("KEYS", key.hex(), store.derive_key("open sesame", bytes(stored.first()["salt"])).hex())
+spark.stop()
+"""
+
+
+def test_no_key_in_plans_or_event_log(tmp_path):
+    """Neither the text of a plan nor the event log of a run holds a key or the passphrase, in any spelling."""
+    import base64
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "events").mkdir()
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    log = {"enabled": "true", "dir": f"file://{tmp_path}/events", "compress": "false"}
+    submit = " ".join(f"--conf spark.eventLog.{k}={v}" for k, v in log.items()) + " pyspark-shell"
+    done = subprocess.run(
+        [sys.executable, "-c", _KEY_SCRIPT, str(tmp_path / "plans")],
+        env={**os.environ, "PYTHONPATH": home, "PYSPARK_SUBMIT_ARGS": submit}, capture_output=True, text=True, timeout=300, check=True,
+    )
+    keys = next(line for line in done.stdout.splitlines() if line.startswith("KEYS")).split()[1:]
+    logs = [f for f in (tmp_path / "events").rglob("*") if f.is_file() and not f.name.endswith(".crc")]
+    texts = [(tmp_path / "plans").read_text(), *(f.read_bytes().decode("utf-8", "replace") for f in logs)]
+    assert any("aesEncrypt" in t for t in texts[1:]) and "aesEncrypt" in texts[0]
+    for secret in map(bytes.fromhex, keys):
+        spelled = " ".join(f"{x:02X}" for x in secret)
+        forms = [secret.hex(), secret.hex().upper(), spelled, base64.b64encode(secret).decode(), str(list(secret))[1:-1], "open sesame"]
+        assert not any(form in text for form in forms for text in texts)
+
+
+def test_new_passphrase_keeps_the_entries(spark):
+    entries = _entries(spark)
+    stored = materialize(dictionary_store.encrypt_dictionary(entries, "old"), "encrypted")
+    again = dictionary_store.rewrap(stored, "old", "new")
+    assert again.select("secret").exceptAll(stored.select("secret")).isEmpty()
+    assert dictionary_store.decrypt_dictionary(again, "new").exceptAll(entries).isEmpty()
+    with pytest.raises(ValueError):
+        dictionary_store.decrypt_dictionary(again, "old")
+
+
+def test_newest_entries_leave_old_days_unread(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.range(300).selectExpr(
+        "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id div 10 as int), cast(id % 10 as int)) timestamp", "'hide' action", "concat('u', id) user"
+    )
+    audit_log.append_entries(rows.coalesce(1), log)
+    newest = audit_log.recent_entries(spark, log, 25)
+    assert [r.user for r in newest.collect()] == [f"u{i}" for i in range(299, 274, -1)]
+    days = {f.split("log_date=")[1][:10] for f in newest.inputFiles()}
+    assert days == {"2024-01-28", "2024-01-29", "2024-01-30"}
+    assert audit_log.recent_entries(spark, log, 1000).count() == 300
+    (tmp_path / "empty").mkdir()
+    assert audit_log.recent_entries(spark, str(tmp_path / "empty"), 5).collect() == []

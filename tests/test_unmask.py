@@ -57,3 +57,14 @@ def test_replies_are_restored_zone_by_zone(spark, texts):
 def test_unknown_tokens(spark, texts):
     rows = un.unknown_tokens(texts("gv_001 gv_404 gv_404"), _entries(spark)).collect()
     assert [(r.token, r.n) for r in rows] == [("gv_404", 2)]
+
+
+def test_thousands_of_zones(spark):
+    """Each zone restores its own tokens, in time linear in the reply."""
+    entries = spark.createDataFrame([(f"gv_{i:03d}", f"name{i}") for i in range(1, 3000)], "token string, original string")
+    text = "".join(f"see `gv_{i:03d}` and\n```py\ngv_{i:03d} = gf_{i:03d}\n```\n" for i in range(1, 3000))
+    docs = spark.createDataFrame([(1, text), (2, "no zone at all"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in un.unmask_replies(docs, entries, ["doc_id"]).collect()}
+    assert got[1].explanation == "".join(f"see `name{i}` and\n```py\nname{i} = NEW_gf_{i:03d}\n\n```\n" for i in range(1, 3000))
+    assert got[1].n_restored == 2999 and len(got[1].new_symbols) == 2999
+    assert got[2].explanation == "no zone at all" and got[3].explanation == ""
