@@ -241,3 +241,39 @@ def test_newest_entries_leave_old_days_unread(spark, tmp_path):
     assert audit_log.recent_entries(spark, log, 1000).count() == 300
     (tmp_path / "empty").mkdir()
     assert audit_log.recent_entries(spark, str(tmp_path / "empty"), 5).collect() == []
+
+
+def test_many_batches_read_few_folders(spark, tmp_path):
+    """Snapshots bound what a batch reads; replays change nothing; every batch restores to its input."""
+    from cloakframe.operators.unmask import unmask
+    from cloakframe.streaming import mask_stream as ms
+
+    paths = [str(tmp_path / p) for p in ("dict", "out")]
+    texts = {n: f"word{n % 4} fresh{n} gv_{n + 1:03d} and gv_1000000000000 gf_002" for n in range(9)}
+
+    def frame(n):
+        return spark.createDataFrame([(n, texts[n])], "doc_id long, text string").coalesce(1)
+
+    for n in range(9):
+        mask_batch(frame(n), n, *paths, compact_every=3)
+        state = ms.state_behind(spark, paths[0], n)
+        assert len(state.entry_folders()) <= 3 and state.snapshot == (n + 1) // 3 * 3 - 1
+    entries = {(r.token, r.original, r.batch_id) for r in read_stream_dictionary(spark, paths[0]).collect()}
+    assert len({t for t, _, _ in entries}) == len({o for _, o, _ in entries}) == len(entries)
+    for n in (2, 4, 8):  # a batch that made a snapshot, one in between, the last one
+        mask_batch(frame(n), n, *paths, compact_every=3)
+        assert {(r.token, r.original, r.batch_id) for r in ms.state_behind(spark, paths[0], 8).entries(spark).collect()} == entries
+    masked = spark.read.parquet(paths[1])
+    back = unmask(masked, read_stream_dictionary(spark, paths[0]).select("token", "original"))
+    assert {r.doc_id: r.text for r in back.collect()} == texts
+
+
+def test_later_look_alikes_in_code(spark, tmp_path):
+    from cloakframe.operators.unmask import unmask
+
+    paths = [str(tmp_path / p) for p in ("dict", "out")]
+    texts = ["def work(first):\n    return first\n", "x = gv_001 + gf_001 + gv_999\n"]
+    for n, text in enumerate(texts):
+        mask_batch(spark.createDataFrame([(n, text)], "doc_id long, text string"), n, *paths, "python")
+    back = unmask(spark.read.parquet(paths[1]), read_stream_dictionary(spark, paths[0]).select("token", "original"))
+    assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts))
