@@ -92,15 +92,15 @@ POLICY_SCHEMA = (
 )
 
 
-def resolve_policy(policies: DataFrame) -> DataFrame:
-    """One row from the user and repository tiers: the repository can only make it stricter."""
+def resolve_policy(policies: DataFrame, *keys: str) -> DataFrame:
+    """One row (per ``keys``) from the user and repository tiers: the repository can only make it stricter."""
 
     def of(tier: str, column: str) -> Column:
         return F.when(F.col("tier") == tier, F.col(column))
 
     user_or = lambda column, default: F.coalesce(F.bool_or(of("user", column)), F.lit(default))
     repo_on = lambda column: F.coalesce(F.bool_or(of("repo", column)), F.lit(False))
-    return policies.agg(
+    return policies.groupBy(*keys).agg(
         F.greatest(F.coalesce(F.max(of("repo", "min_scrub_level")), F.lit(1)), F.lit(1)).alias("min_scrub_level"),
         F.coalesce(F.max(of("user", "default_scrub_level")), F.lit(2)).alias("default_scrub_level"),
         repo_on("block_level_1").alias("block_level_1"),

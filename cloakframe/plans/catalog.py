@@ -19,8 +19,15 @@ from cloakframe.plans import corpus
 from cloakframe.plans.mask import audit_of, mask, restore, risk_of
 from cloakframe.session import materialize, shared_dir
 from cloakframe.sources.audit_log import append_entries
-from cloakframe.sources.corpus import read_table, spread
-from cloakframe.sources.dictionary_store import decrypt_dictionary, encrypt_dictionary
+from cloakframe.sources.corpus import read_table, spread, write_masked
+from cloakframe.sources.dictionary_store import (
+    decrypt_dictionary,
+    encrypt_dictionary,
+    read_dictionary,
+    read_json_lines,
+    write_dictionary,
+    write_json_lines,
+)
 from cloakframe.streaming.audit_stream import ingest_audit, live_totals, read_audit_stream
 from cloakframe.streaming.mask_stream import mask_stream
 
@@ -167,6 +174,19 @@ def policy_level_check(spark, sf):
     )
 
 
+def policy_layers(spark, sf):
+    """Settings of all tiers of a policy, one policy per type of event, folded to one row each."""
+    n = F.col("event_id")
+    rows = read_table(spark, sf, "events").where("event_id % 97 = 0 OR event_id % 89 = 0").select(
+        "event_type", F.when(n % 97 == 0, "repo").otherwise("user").alias("tier"), (n % 4 + 1).cast("int").alias("min_scrub_level"),
+        F.when(n % 3 > 0, (n % 3 + 1).cast("int")).alias("default_scrub_level"), (n % 5 == 0).alias("block_level_1"),
+        F.when(n % 2 == 0, False).alias("enforce_audit"), (n % 7 == 0).alias("encrypt_maps"),
+        F.array(F.concat(F.lit("*."), (n % 6).cast("string"))).alias("banned_patterns"),
+    )
+    folded = policy.resolve_policy(rows, "event_type")
+    return folded.withColumn("banned_patterns", F.array_join("banned_patterns", ","))
+
+
 def policy_gate(spark, sf):
     """Pages as requests; the policy's globs are some of their hosts, and a few of other forms."""
     table = read_table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
@@ -380,8 +400,39 @@ def token_collisions(spark, sf):
     return dic.collisions(reply_like(turns(spark, sf)), word_dictionary(spark, sf), "turn_id")
 
 
+def _personal_dictionary(spark, sf) -> DataFrame:
+    return dic.build_dictionary(extract.symbols_by_rule(doc_texts(spark, sf)).select("name", "kind", "scope"))
+
+
+def dict_stored(spark, sf):
+    """A dictionary written by prefix and read again; the qualified name of each entry."""
+    home = _fresh_dir(spark, "stored")
+    write_dictionary(_personal_dictionary(spark, sf), home)
+    back = read_dictionary(spark, home)
+    return back.select("token", "prefix", "n_docs", dic.qualified(F.col("scope"), F.col("original")).alias("qualified"))
+
+
+def dict_json_roundtrip(spark, sf):
+    """Entries and their files as JSON lines and back."""
+    home = _fresh_dir(spark, "lines")
+    entries = word_dictionary(spark, sf)
+    sources = read_table(spark, sf, "documents").select("doc_id", "source")
+    rows = bindings(spark, sf).select("doc_id", "name", "kind", "scope").join(sources, "doc_id")
+    write_json_lines(entries, home, dic.symbol_files(rows, entries, "source"))
+    back, files, _ = read_json_lines(spark, home)
+    counts = files.groupBy("token").agg(F.count(F.lit(1)).alias("n_files"))
+    return back.join(counts, "token", "left").select("token", "original", "kind", "scope", "n_docs", "n_files")
+
+
+def symbol_warnings(spark, sf):
+    """Symbols whose kind has no prefix of its own: here the kind is the document's language."""
+    langs = read_table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", "variable").otherwise(F.col("lang")).alias("kind"))
+    found = bindings(spark, sf).select("doc_id", "name").join(langs, "doc_id")
+    return dic.warnings(found).select("doc_id", "type", "symbol", "detail")
+
+
 def dict_encrypt_roundtrip(spark, sf):
-    personal = dic.build_dictionary(extract.symbols_by_rule(doc_texts(spark, sf)).select("name", "kind", "scope"))
+    personal = _personal_dictionary(spark, sf)
     stored = materialize(encrypt_dictionary(personal, "a passphrase"), "encrypted")
     return decrypt_dictionary(stored, "a passphrase").select("token", "original", "kind", "scope")
 
@@ -665,6 +716,26 @@ def unknown_tokens(spark, sf):
     return un.unknown_tokens(reply_like(turns(spark, sf)), word_dictionary(spark, sf), "turn_id")
 
 
+def unmask_many(spark, sf):
+    """Documents of several dictionaries, restored in one job: each by its own."""
+    names = read_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("map"))
+    docs = masked_documents(spark, sf).select("doc_id", "text").join(names, "doc_id")
+    entries = word_dictionary(spark, sf).select("token", "original")
+    maps = entries.withColumn("map", F.explode(F.array(*map(F.lit, ("en", "fr", "de"))))).withColumn(
+        "original", F.when(F.col("map") == "fr", F.concat(F.lit("le_"), "original")).otherwise(F.col("original"))
+    )
+    out = un.unmask(docs, maps.where("map <> 'de' OR token < 'gv_5'"), map_col="map")
+    return out.select("doc_id", "map", "n_restored", F.size("unknown").cast("bigint").alias("n_unknown"), sha(F.col("text")).alias("text_sha"))
+
+
+def masked_written(spark, sf):
+    """Masked texts in a table of their own, with the id of the row they come from."""
+    home = _fresh_dir(spark, "masked-table")
+    write_masked(masked_documents(spark, sf).select("doc_id", "text", "n_tokens"), home, "documents")
+    back = spark.read.parquet(home)
+    return back.select("source_doc_id", "source", "n_tokens", sha(F.col("text")).alias("masked_sha"))
+
+
 def roundtrip(spark, sf):
     out = un.unmask(masked_documents(spark, sf), word_dictionary(spark, sf))
     source = read_table(spark, sf, "documents").select("doc_id", sha(F.col("text")).alias("before"))
@@ -978,16 +1049,16 @@ def stream_mask(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in [
-        corpus_profile, lang_route, policy_banned, policy_level_check, policy_gate,
+        corpus_profile, lang_route, policy_banned, policy_level_check, policy_layers, policy_gate,
         occurrences, occurrences_code_only, protected_anti, registry_semi, symbols_by_rule, code_symbols_python, code_symbols_cpp, symbol_first,
         comment_spans, import_names,
         dict_build, dict_multi_table, dict_merge, dict_lookup, dict_reverse, dict_summary, dict_browse,
-        dict_files, token_hover, token_collisions, dict_encrypt_roundtrip,
+        dict_files, token_hover, token_collisions, dict_stored, dict_json_roundtrip, symbol_warnings, dict_encrypt_roundtrip,
         mask_rename, mask_level1, mask_level2, mask_corpus, roundtrip_lookalikes, mask_level4, masking_risk, mask_personal_data, mask_span, strip_comments,
         anonymize_comments, restored_comments, literals_extract, literals_string_class, strings_by_substring,
         literals_number_class, literals_summary, mask_literals, format_spec_keep, generalize_numbers,
         isolate_section, section_rows, sections_python, sections_cpp, isolate_code, called_names,
-        unmask, unknown_tokens, roundtrip, zones, unmask_zones, dependencies,
+        unmask, unmask_many, masked_written, unknown_tokens, roundtrip, zones, unmask_zones, dependencies,
         section_changes, token_except, dependency_except, confidence, change_blocks, change_describe,
         change_annotations,
         risk_patterns, risk_symbol_pivot, risk_score, risk_json, risk_rollup,

@@ -547,6 +547,15 @@ ORACLES: dict[str, str] = {
         for g in ["*/fr/*", "*.net/en/*", "1*", "*#top", "*page=[2-4]*"]
     )
     + " AS banned FROM pages",
+    "policy_layers": """WITH r AS (
+          SELECT event_type, event_id % 97 = 0 AS repo, event_id AS n FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0)
+        SELECT event_type, greatest(coalesce(max(n % 4 + 1) FILTER (repo), 1), 1)::INTEGER AS min_scrub_level,
+          coalesce(max(n % 3 + 1) FILTER (NOT repo AND n % 3 > 0), 2)::INTEGER AS default_scrub_level,
+          coalesce(bool_or(n % 5 = 0) FILTER (repo), false) AS block_level_1,
+          coalesce(bool_or(false) FILTER (NOT repo AND n % 2 = 0), true) OR coalesce(bool_or(false) FILTER (repo AND n % 2 = 0), false) AS enforce_audit,
+          coalesce(bool_or(n % 7 = 0) FILTER (NOT repo), false) OR coalesce(bool_or(n % 7 = 0) FILTER (repo), false) AS encrypt_maps,
+          coalesce(string_agg(DISTINCT '*.' || (n % 6), ',' ORDER BY '*.' || (n % 6)) FILTER (repo), '') AS banned_patterns
+        FROM r GROUP BY event_type""",
     "policy_gate": r"""WITH p AS (
           SELECT page_id, url, regexp_extract(url, '[^/]*$') AS base, coalesce(CASE WHEN page_id % 7 <> 0 THEN page_id % 4 + 1 END, 3) AS l FROM pages),
         hosts AS (SELECT DISTINCT regexp_extract(url, '//([^/?#]*)', 1) AS h FROM pages WHERE page_id % 25 = 0),
@@ -632,6 +641,12 @@ ORACLES: dict[str, str] = {
         FROM found LEFT JOIN words USING (token)""",
     "token_collisions": f"""WITH {WORDS}, found AS ({token_pairs(REPLIES, 'turn_id')})
         SELECT turn_id, token, n FROM found WHERE token IN (SELECT token FROM words)""",
+    "dict_stored": f"""WITH {RULE_DICTIONARY} SELECT token, prefix, n_docs, scope || '::' || original AS qualified FROM personal""",
+    "dict_json_roundtrip": f"""WITH {WORDS}, f AS (
+          SELECT name AS original, count(DISTINCT source) AS n_files FROM doc_names JOIN documents USING (doc_id) GROUP BY 1)
+        SELECT token, original, kind, scope, n_docs, n_files FROM words LEFT JOIN f USING (original)""",
+    "symbol_warnings": f"""WITH {DOC_NAMES} SELECT doc_id, 'unknown_kind' AS type, name AS symbol, 'kind ' || lang AS detail
+        FROM doc_names JOIN documents USING (doc_id) WHERE lang <> 'en'""",
     "dict_encrypt_roundtrip": f"WITH {RULE_DICTIONARY} SELECT token, original, kind, scope FROM personal",
     "mask_rename": MASK_RENAME,
     "mask_level1": MASK_RENAME,
@@ -819,6 +834,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, sha256(text) AS text_sha, coalesce(n, 0) AS n_restored FROM documents LEFT JOIN counts USING (doc_id)""",
     "unknown_tokens": f"""WITH {WORDS}, found AS ({token_pairs(REPLIES, 'turn_id')})
         SELECT token, turn_id, n FROM found WHERE token NOT IN (SELECT token FROM words)""",
+    "unmask_many": f"""WITH {WORDS},{pieces('p', 'documents', 'doc_id', 'text', W)},
+        l AS (SELECT doc_id, lang AS map FROM documents),
+        back AS (
+          SELECT doc_id, i, g, coalesce(CASE WHEN token IS NULL THEN w WHEN map = 'en' THEN w WHEN map = 'fr' THEN 'le_' || w
+            WHEN map = 'de' AND token < 'gv_5' THEN w ELSE 'NEW_' || token END, w) AS r,
+            CASE WHEN map IN ('en', 'fr') OR map = 'de' AND token < 'gv_5' THEN token END AS known,
+            CASE WHEN map IN ('en', 'fr') OR map = 'de' AND token < 'gv_5' THEN NULL ELSE token END AS lost
+          FROM p_u JOIN l USING (doc_id) LEFT JOIN words ON words.original = p_u.w),
+        t AS ({woven('p', 'doc_id', 'SELECT doc_id, i, g, r FROM back')}),
+        n AS (SELECT doc_id, count(DISTINCT known) AS n_restored, count(DISTINCT lost) AS n_unknown FROM back GROUP BY doc_id)
+        SELECT doc_id, map, coalesce(n_restored, 0) AS n_restored, coalesce(n_unknown, 0) AS n_unknown, sha256(t) AS text_sha
+        FROM t JOIN l USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "masked_written": f"""SELECT doc_id AS source_doc_id, 'documents' AS source, n_tokens, masked_sha FROM ({MASK_RENAME})""",
     "roundtrip": "SELECT count(*) AS n_docs, 0::BIGINT AS n_different FROM documents",
     "zones": r"""WITH r AS (SELECT turn_id, text FROM """
     + REPLIES
