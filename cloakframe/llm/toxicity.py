@@ -3,6 +3,7 @@
 A text is cut into clauses, a clause into words, and a word becomes a symbol: insult, threat, target (whom
 it is aimed at), negation, reported speech, or another word. Small transducers read the symbols of a clause and are
 composed into one table (``GRAMMAR``):
+- ``INSULTING`` strengthens an insult that follows another one within three words of a clause,
 - ``NEGATION`` weakens what follows a negation within three words,
 - ``REPORTED`` weakens the rest of a clause after a verb of speech,
 - ``TARGET`` strengthens an insult near a target,
@@ -83,6 +84,13 @@ class Transducer:
         return Transducer(self.states * other.states, rule)
 
 
+def _insulting(state: int, symbol: int) -> tuple[int, int, float]:
+    """State: words left in which another insult counts as one of a run."""
+    if symbol == INSULT:
+        return 4, symbol, 1.25 if state else 1.0
+    return max(0, state - 1), symbol, 1.0
+
+
 def _negation(state: int, symbol: int) -> tuple[int, int, float]:
     if symbol == NOT:
         return 3, symbol, 1.0
@@ -124,9 +132,9 @@ def _threat(state: int, symbol: int) -> tuple[int, int, float]:
     return state - 1 if state % 4 else 0, symbol, 1.0
 
 
-NEGATION, REPORTED = Transducer(4, _negation), Transducer(2, _reported)
+INSULTING, NEGATION, REPORTED = Transducer(5, _insulting), Transducer(4, _negation), Transducer(2, _reported)
 TARGET, THREAT = Transducer(5, _near_target), Transducer(8, _threat)
-_COMPOSED = NEGATION.then(REPORTED).then(TARGET).then(THREAT)
+_COMPOSED = INSULTING.then(NEGATION).then(REPORTED).then(TARGET).then(THREAT)
 #: The composed table: for each state and symbol the next state, the symbol written and its factor.
 GRAMMAR = [[_COMPOSED.rule(state, symbol) for symbol in range(6)] for state in range(_COMPOSED.states)]
 _COUNTS = frozenset((INSULT, WEAK_INSULT, HARD_INSULT))

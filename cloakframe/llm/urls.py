@@ -7,7 +7,7 @@ For the others, tokens of a URL (host labels with their distance from the end, w
 file ending, scheme) are items. FP-growth mines token combinations that occur with a verdict; a rule
 "these tokens -> verdict" is kept with enough support and confidence, unless a part of its tokens already gives the same verdict
 with no less confidence; rules may have any number of tokens. Rules are matched by an inverted index from token to rule: a rule fires when all its
-tokens are counted. The most confident fired rule decides, then the one with more support, then block before allow; without a
+tokens are met. Tokens that stand on the same judged URLs are one item while mining and stand for each other in a rule. The most confident fired rule decides, then the one with more support, then block before allow; without a
 fired rule the verdict is allow.
 
 Only DataFrame operations and Spark's FP-growth are used. Null URLs and those without "://" have an empty host and path
@@ -28,7 +28,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT = 0.005
 LEAST_ROWS = 20  # judged URLs behind a rule, however small the table
 MIN_CONFIDENCE = 0.8
-MOST_TOKENS = 4  # of the rules that are tested against all subsets; mined ones have any number
 BROADCAST_RULES = 20_000
 SALTS = 64
 
@@ -78,21 +77,43 @@ def tokens(scheme: Column, host: Column, path: Column, query: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(all_of))
 
 
+def token_classes(judged: DataFrame, least: float) -> DataFrame:
+    """(token, alike): tokens on ``least`` and more of the rows (_row, tokens), those on the same rows as one class.
+
+    A class is named by its smallest token. Rows are compared by their number and 128 bits of hash over their ids. Tokens that
+    always come together, as the fields of one query string do, would else make an item set of every subset of theirs.
+    """
+    each = judged.select("_row", F.explode(F.array_distinct("tokens")).alias("t"))
+    seen = each.groupBy("t").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("_row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "_row")).alias("b")
+    )
+    grouped = seen.where(F.col("n") >= least).groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("t")).alias("alike"))
+    return materialize(grouped.select(F.get("alike", F.lit(0)).alias("token"), "alike"), "token-classes")
+
+
 def mine(judged: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule_id, tokens, verdict, confidence, support) from (tokens, verdict) rows."""
+    """(rule_id, tokens, alike, verdict, confidence, support) from (tokens, verdict) rows.
+
+    ``alike`` has for each token of a rule those that stand on the same rows, itself included: the rule holds for any of
+    them in its place. Two tokens of one class are never in a rule, as the rule with one of them is as confident.
+    """
     spark = judged.sparkSession
+    judged = materialize(judged.select("tokens", "verdict", F.monotonically_increasing_id().alias("_row")), "judged")
     total = judged.count()
-    empty = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
+    empty = "rule_id long, tokens array<string>, alike array<array<string>>, verdict string, confidence double, support double"
     if not total:
         return spark.createDataFrame([], empty)
     min_support = max(min_support, LEAST_ROWS / total)
     if min_support > 1:
         return spark.createDataFrame([], empty)
-    # Tokens below the support can't be in a rule; what is left per URL is short.
-    seen = judged.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= min_support * total)
-    frequent = [r["t"] for r in seen.select("t").collect()]  # at most (tokens of a URL) / min_support
-    items = F.filter("tokens", lambda t: F.array_contains(F.lit(frequent), t)) if frequent else F.array().cast("array<string>")
-    baskets = judged.select(F.concat(items, F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
+    classes = token_classes(judged, min_support * total)
+    each = judged.select("_row", F.explode(F.array_distinct("tokens")).alias("t"))
+    named = classes.select("token", F.explode("alike").alias("t"))  # at most (tokens of a URL) / min_support
+    items = each.join(named, "t").groupBy("_row").agg(F.collect_set("token").alias("held"))
+    own = F.coalesce("held", F.array().cast("array<string>"))
+    baskets = judged.select("_row", "verdict").join(items, "_row", "left").select(
+        F.concat(own, F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items")
+    )
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     said = F.filter("items", lambda t: t.startswith("verdict="))
     sets = model.freqItemsets.select(
@@ -123,13 +144,19 @@ def mine(judged: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: fl
         parts_best = level.select(F.col("rule_id").alias("less"), F.greatest("confidence", "part").alias("best"))
     if kept is None:
         return spark.createDataFrame([], empty)
-    return kept.select("rule_id", "tokens", "verdict", "confidence", "support")
+    kept = materialize(kept.select("rule_id", "tokens", "verdict", "confidence", "support"), "kept-rules")
+    wide = kept.select("rule_id", F.posexplode("tokens").alias("pos", "token")).join(classes, "token")
+    wide = wide.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("pos", "alike"))).alias("a"))
+    return kept.join(wide, "rule_id").select("rule_id", "tokens", F.col("a.alike").alias("alike"), "verdict", "confidence", "support")
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(tokens_id, verdict): what the mined rules say about each distinct set of tokens (tokens_id, tokens)."""
     rules = materialize(rules, "rules")
-    index = rules.select("rule_id", "verdict", "confidence", "support", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    of_rule = ["rule_id", "verdict", "confidence", "support"]
+    index = rules.select(*of_rule, F.size("tokens").alias("n"), F.posexplode("alike").alias("pos", "a")).select(
+        *of_rule, "n", F.expr("shiftleft(1L, pos)").alias("bit"), F.explode("a").alias("t")
+    )
     each = urls.select("tokens_id", F.explode("tokens").alias("t"))
     if index.count() <= BROADCAST_RULES:
         met = each.join(F.broadcast(index), "t")
@@ -139,7 +166,7 @@ def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
         met = salted.join(copies, ["t", "_salt"])
     whole = (
         met.groupBy("tokens_id", "rule_id")
-        .agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+        .agg(F.bit_count(F.bit_or("bit")).alias("met"), F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
         .where("met = n")
     )
     order = F.struct("confidence", "support", (F.col("verdict") == "block").alias("b"))

@@ -1,5 +1,7 @@
 """Quality and toxicity: the arithmetic against plain versions, held-out accuracy, odd rows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +106,47 @@ def test_composition_is_running_one_after_the_other():
             assert written == out and z == pytest.approx(x * y)
 
 
+def plain_clause_weight(symbols):
+    """The five transducers one after the other, each as a pass over what the one before has written."""
+    factors = [1.0] * len(symbols)
+    written = [s for s, _ in symbols]
+    for machine in (toxicity.INSULTING, toxicity.NEGATION, toxicity.REPORTED, toxicity.TARGET, toxicity.THREAT):
+        state = 0
+        for i, symbol in enumerate(written):
+            state, written[i], factor = machine.rule(state, symbol)
+            factors[i] *= factor
+    total = 0.0
+    for out, factor, (_, weight) in zip(written, factors, symbols):
+        if out in (toxicity.INSULT, toxicity.WEAK_INSULT, toxicity.HARD_INSULT):
+            total += weight * factor
+        elif out == toxicity.HARD_THREAT:
+            total += toxicity.THREAT_WEIGHT * factor
+    return total
+
+
+def test_clauses_equal_a_plain_run():
+    draw = np.random.default_rng(4)
+    for _ in range(500):
+        kinds = draw.integers(0, 6, draw.integers(1, 25)).tolist()
+        symbols = [(k, float(draw.uniform(0.5, 4)) if k == toxicity.INSULT else 0.0) for k in kinds]
+        assert toxicity.clause_weight(symbols) == pytest.approx(plain_clause_weight(symbols))
+    assert weight("idiot and moron") > weight("idiot") + weight("moron") - 1e-9
+
+
+def test_matches_equal_a_plain_run():
+    """Clauses, matches and their sums of whole texts."""
+    draw = np.random.default_rng(5)
+    words = ["you", "idiot", "not", "said", "kill", "moron", "tree", "a", ".", "!", ";", "they", "scum", "never", "loweischaft"]
+    lexicon = toxicity.Lexicon({"tree": 0.5}, {"lowei": 2.0})
+    for _ in range(200):
+        text = " ".join(draw.choice(words, draw.integers(0, 60)))
+        clauses = [c.split() for c in re.split(r"[.!?;:\n]", text)]
+        found = [plain_clause_weight([lexicon.of(w) or (toxicity.OTHER, 0.0) for w in c]) for c in clauses]
+        hit = [x for x in found if x > 0]
+        want = [max(hit, default=0.0), np.log1p(sum(hit)), np.log1p(len(hit)), len(hit) / len(clauses)]
+        assert toxicity.matches(text, lexicon) == pytest.approx(want)
+
+
 def test_odd_and_empty(spark, odd_documents, no_documents, odd_labels):
     none = odd_labels.limit(0)
     for docs in (odd_documents, no_documents):

@@ -1,7 +1,7 @@
 """URL parts and given rules against a plain version; mined rules against all subsets."""
 
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 from cloakframe.llm import urls
 from cloakframe.llm.queries import URL_RULES, op5_urls
@@ -58,7 +58,7 @@ def test_query(spark):
 
 def mined_plain(rows, support, confidence):
     n, found = len(rows), {}
-    for size in range(1, urls.MOST_TOKENS + 1):
+    for size in range(1, 5):
         for part in {c for t, _ in rows for c in combinations(sorted(t), size)}:
             held = [v for t, v in rows if set(part) <= set(t)]
             for verdict in ("block", "allow"):
@@ -77,22 +77,39 @@ def test_mined_rules(spark):
     for i in range(200):
         tokens = [f"host={i % 5}", f"path={i % 7}", f"x={i % 2}"] + (["spam"] if i % 3 == 0 else [])
         rows.append((tokens, "block" if i % 3 == 0 and i % 7 != 2 or i % 35 == 4 else "allow"))
+    # Tokens on the same rows: some of one kind only, some that a rule of two tokens holds.
+    rows = [(t + ["twin=1"] * ("x=1" in t) + ["copy", "more"] * ("spam" in t), v) for t, v in rows]
     got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.1, 0.8).collect()
-    assert {(tuple(r["tokens"]), r["verdict"]): round(r["confidence"], 9) for r in got} == {
+    assert {(tuple(sorted(ts)), r["verdict"]): round(r["confidence"], 9) for r in got for ts in product(*r["alike"])} == {
         k: round(c, 9) for k, c in mined_plain(rows, 0.1, 0.8).items()
     }
 
 
+def test_forty_tokens_that_come_together(spark):
+    """2^40 item sets without classes; any of the tokens fires the rule."""
+    many = [f"query=f{i:02d}" for i in range(40)]
+    rows = [(many + ["path=x"], "block")] * 200 + [(["path=x", f"host={i % 50}"], "allow") for i in range(3800)]
+    rules = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    block = [r for r in rules.collect() if r["verdict"] == "block"]
+    assert [(r["tokens"], r["alike"], r["confidence"]) for r in block] == [([many[0]], [many], 1.0)]
+    sets = spark.createDataFrame([(1, [many[7], many[9]]), (2, ["path=x"]), (3, ["none"])], "tokens_id long, tokens array<string>")
+    assert {r["tokens_id"]: r["verdict"] for r in urls.fired(sets, rules).collect()} == {1: "block", 2: "allow"}
+
+
 def test_index_fires_whole_rules_only(spark, monkeypatch):
     rules = spark.createDataFrame(
-        [(1, ["a", "b"], "block", 0.9, 0.1), (2, ["c"], "allow", 0.95, 0.1), (3, ["d"], "allow", 0.9, 0.1)],
-        "rule_id long, tokens array<string>, verdict string, confidence double, support double",
+        [
+            (1, ["a", "b"], [["a", "a2"], ["b"]], "block", 0.9, 0.1),
+            (2, ["c"], [["c"]], "allow", 0.95, 0.1),
+            (3, ["d"], [["d"]], "allow", 0.9, 0.1),
+        ],
+        "rule_id long, tokens array<string>, alike array<array<string>>, verdict string, confidence double, support double",
     )
-    sets = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["a", "b", "c"]), (4, ["a", "b", "d"]), (5, [])], "tokens_id long, tokens array<string>")
+    sets = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["a", "b", "c"]), (4, ["a", "b", "d"]), (5, []), (6, ["a", "a2"]), (7, ["a2", "b", "a"])], "tokens_id long, tokens array<string>")
     for limit in (20_000, 0):
         monkeypatch.setattr(urls, "BROADCAST_RULES", limit)
         got = {r["tokens_id"]: r["verdict"] for r in urls.fired(sets, rules).collect()}
-        assert got == {2: "block", 3: "allow", 4: "block"}
+        assert got == {2: "block", 3: "allow", 4: "block", 7: "block"}
 
 
 def test_no_labels_and_no_rows(spark):
