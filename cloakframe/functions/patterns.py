@@ -159,10 +159,10 @@ DOMAIN_MARKS = (
 )
 
 # Names of print and log calls.
-PRINT_CALLS = (
-    "printf fprintf sprintf snprintf syslog LOG LOG_ERROR LOG_WARNING LOG_INFO LOG_DEBUG "
-    "cout cerr clog print println logging logger log warn error info debug"
-).split()
+PRINT_CALLS = [
+    "printf", "fprintf", "sprintf", "snprintf", "syslog", "LOG", "LOG_ERROR", "LOG_WARNING", "LOG_INFO", "LOG_DEBUG",
+    "cout", "cerr", "clog", "print", "println", "logging", "logger", "log", "warn", "error", "info", "debug",
+]
 
 # Well-known constants and their names.
 MATH_CONSTANTS = [

@@ -328,10 +328,10 @@ def comment_spans(docs: DataFrame, language: str, id_col: str = "doc_id", text_c
 
 
 # Words before a parenthesis that are no calls.
-NOT_CALLS = (
-    "if for while switch catch return sizeof typeof decltype "
-    "static_cast dynamic_cast const_cast reinterpret_cast"
-).split()
+NOT_CALLS = [
+    "if", "for", "while", "switch", "catch", "return", "sizeof", "typeof",
+    "decltype", "static_cast", "dynamic_cast", "const_cast", "reinterpret_cast",
+]
 
 
 def called_names(body: Column) -> Column:

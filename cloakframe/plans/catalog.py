@@ -17,7 +17,7 @@ from cloakframe.operators import unmask as un
 from cloakframe.operators.lookups import lookup, row_weights
 from cloakframe.plans import corpus
 from cloakframe.plans.mask import audit_of, mask, restore, risk_of
-from cloakframe.session import materialize, shared_dir
+from cloakframe.session import generation, materialize, shared_dir
 from cloakframe.sources.audit_log import append_entries
 from cloakframe.sources.corpus import read_table, spread, write_masked
 from cloakframe.sources.dictionary_store import (
@@ -39,7 +39,7 @@ TURNS = 1 << 32
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A stored table shared by the queries that start from it, as a stored dictionary would be."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, generation(spark), sf_dir, name)
     if key not in _stored:
         _stored[key] = build()
     return _stored[key]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_dropped: dict[str, int] = {}
 
 
 def local_session(cpus: int | str = 8, app: str = "cloakframe") -> SparkSession:
@@ -55,13 +56,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def generation(spark: SparkSession) -> int:
+    """How often intermediates have been dropped: what was kept from an earlier generation is gone."""
+    return _dropped.get(spark.sparkContext.applicationId, 0)
+
+
 def drop_intermediates(spark: SparkSession) -> int:
     """Delete the tables that ``materialize`` has written in this application; returns their number.
 
     They hold plain originals. Call it when the results of a job have been written: what was read from
     these tables can't be computed again afterwards.
     """
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+    app = spark.sparkContext.applicationId
+    paths = _written.pop(app, [])
+    _dropped[app] = _dropped.get(app, 0) + 1
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         folder = jvm.org.apache.hadoop.fs.Path(path)
