@@ -131,15 +131,11 @@ def stub_speculation(docs: DataFrame, stubs: DataFrame, id_cols: list[str], text
     """
     text = F.col(text_col)
     words = F.array_distinct(pieces_of(text, WORD))
-    mentions = materialize(docs.select(*id_cols, F.explode(words).alias("original")), "mentions")
-    named = lookup(
-        mentions,
-        stubs.select("original").distinct(),
-        ["original"],
-        "inner",
-        id_cols[0],
-        row_weights(mentions, ["original"]),
-    )
+    mentions = docs.select(*id_cols, F.explode(words).alias("original"))
+    # Words are counted where they are found; only those that are stubs are written.
+    counts = row_weights(mentions, ["original"])
+    wanted = stubs.select("original").distinct()
+    named = materialize(lookup(mentions, wanted, ["original"], "inner", id_cols[0], counts), "mentions")
     general = _phrases(docs, SPECULATION, False, id_cols, text_col)
     general = general.groupBy(*id_cols, "template").agg(F.min_by("sentence", "offset").alias("sentence"))
     about = (

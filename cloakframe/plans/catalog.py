@@ -823,7 +823,7 @@ def change_annotations(spark, sf):
     after = edited(docs)
     out = compare.annotate_changes(after, compare.change_blocks(docs, after))
     notes = F.size(F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"^\s*# --- AI (?:ADDED|REMOVED|MODIFIED): .* ---$")))
-    return out.select("doc_id", notes.cast("bigint").alias("n_notes"))
+    return out.select("doc_id", notes.cast("bigint").alias("n_notes"), sha(F.col("text")).alias("text_sha"))
 
 
 # --- risk ---------------------------------------------------------------------------------

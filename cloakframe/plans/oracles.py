@@ -502,6 +502,10 @@ SELECT doc_id, block, block_type, CASE
 FROM zipped"""
 
 
+_DESCRIBED, _SPOKEN = _describe().split("\nSELECT doc_id, block, block_type", 1)
+_SPOKEN = "SELECT doc_id, block, block_type" + _SPOKEN
+
+
 NAMING = [
     rf"(?i)(?:rename|renaming)\s+`?({N})`?",
     rf"(?i)`?({N})`?\s+(?:is a |has a )?(?:misleading|confusing|unclear|bad|poor)\s+(?:name|naming)",
@@ -883,8 +887,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, block, start_line, end_line, block_type, len(olds) AS n_original, len(news) AS n_new,
           sha256(array_to_string(news, chr(10))) AS new_sha FROM blocks""",
     "change_describe": f"WITH {BLOCKS},{_describe()}",
-    "change_annotations": f"""WITH {BLOCKS}
-        SELECT doc_id, (SELECT count(*) FROM blocks b WHERE b.doc_id = d.doc_id) AS n_notes FROM documents d""",
+    "change_annotations": rf"""WITH {BLOCKS},{_DESCRIBED}, spoken AS ({_SPOKEN}),
+        received AS (SELECT doc_id, text FROM {EDITED_DOCS}),
+        own AS (SELECT doc_id, pos, 1 AS rank, line FROM lines WHERE side = 'new'),
+        notes AS (
+          SELECT b.doc_id, b.start_line AS pos, 0 AS rank, CASE WHEN regexp_matches(o.line, '\S') THEN repeat(' ', length(regexp_extract(o.line, '^(\s*)', 1))) ELSE '' END
+            || '# --- ' || CASE b.block_type WHEN 'added' THEN 'AI ADDED' WHEN 'deleted' THEN 'AI REMOVED' ELSE 'AI MODIFIED' END || ': ' || s.description || ' ---' AS line
+          FROM blocks b JOIN spoken s USING (doc_id, block) LEFT JOIN own o ON o.doc_id = b.doc_id AND o.pos = b.start_line),
+        texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos, rank, line) AS t FROM (SELECT * FROM own UNION ALL SELECT * FROM notes) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_notes, sha256(CASE WHEN n > 0 THEN t ELSE text END) AS text_sha
+        FROM received LEFT JOIN texts USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM blocks GROUP BY 1) USING (doc_id)""",
     "risk_patterns": f"SELECT doc_id, array_to_string({SEEN}, '; ') AS patterns FROM {STRUCTURED_DOCS}",
     "risk_symbol_pivot": f"""WITH {TURN_SYMBOLS}
         SELECT conv_id, count(*) AS total_symbols, count(*) FILTER (kind = 'parameter') AS variables,
