@@ -304,12 +304,92 @@ def _blocks(name: str) -> list[Column]:
     return [F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias(name)]
 
 
+def _linked(reps: list[int], bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, band: int, similar: float) -> list[tuple[int, int]]:
+    """Links that connect what is similar among the texts of one bucket, or between its two blocks (``side`` 0 and 1).
+
+    A pair counts in the first band that it has in common, so it is looked at once. Signatures are compared first, six
+    standard deviations below the similarity asked for; what passes and isn't connected yet is verified by its shingles.
+    """
+    prints = bands.view(np.uint16)
+    least = PERMUTATIONS * similar - 6 * np.sqrt(PERMUTATIONS * similar * (1 - similar))
+    root = list(range(len(reps)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    both = side.min() != side.max()
+    out = []
+    for i in range(len(reps)):
+        others = np.flatnonzero(side > side[i]) if both else np.arange(i + 1, len(reps))
+        if not len(others):
+            continue
+        others = others[(bands[others] == bands[i]).argmax(axis=1) == band]
+        others = others[(prints[others] == prints[i]).sum(axis=1) >= least]
+        for j in others.tolist():
+            a, b = find(i), find(j)
+            if a == b:
+                continue
+            own, other = sets[i], sets[j]
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            if common >= similar * (len(own) + len(other) - common):
+                root[b] = a
+                out.append((reps[i], reps[j]))
+    return out
+
+
+def _among_others(left: DataFrame, reps: DataFrame, similar: float) -> DataFrame:
+    """(rep, center): links among the texts (rep, band, value) of a bucket that are not similar to its center.
+
+    Buckets are cut into blocks by a hash; each pair of blocks is a group of its own, so a bucket of any size is
+    spread, in one pass whatever number of texts in it are unlike each other.
+    """
+    size = reps.select("rep", F.size("shingles").alias("size"))
+    sized = left.join(size, "rep").groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), *_blocks("_of")).where("n > 1")
+    met = left.join(sized, ["band", "value"])
+    mine = F.pmod(F.xxhash64("rep"), F.col("_of"))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("_of") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"))
+    )
+    dealt = met.select("rep", "band", "value", mine.alias("mine"), F.explode(pairs).alias("p")).select("rep", "band", "value", "mine", "p.i", "p.j")
+    group = ["band", "value", "i", "j"]
+    rows = dealt.join(reps.select("rep", "bands", "shingles"), "rep")
+    spread = rows.repartition(*group).sortWithinPartitions(*group, "rep").select(*group, "mine", "rep", "bands", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def found() -> pa.RecordBatch:
+            links: list[tuple[int, int]] = []
+            if len(held) > 1:
+                side = np.array([m != last[2] for m, *_ in held], np.int8) if last[2] != last[3] else np.zeros(len(held), np.int8)
+                links = _linked([r for _, r, _, _ in held], np.stack([b for _, _, b, _ in held]), [x for *_, x in held], side, last[0], similar)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["rep", "center"])
+
+        for batch in batches:
+            bands, shingles = batch.column("bands"), batch.column("shingles")
+            keys = zip(*(batch.column(c).to_pylist() for c in (*group, "mine", "rep")))
+            for at, (*key, mine, rep) in enumerate(keys):
+                if key != last:
+                    if held:
+                        yield found()
+                    last, held = key, []
+                own = shingles[at].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                held.append((mine, rep, bands[at].values.to_numpy(zero_copy_only=False), own))
+        if held:
+            yield found()
+
+    return materialize(spread.mapInArrow(run, "rep long, center long"), "others")
+
+
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id): smallest doc_id of the class; classes are connected by verified pairs.
 
-    In each band bucket all texts are compared with the smallest; those not similar to it are compared with the
-    smallest among themselves, and so on until none is left. A text that is not similar to a center may still be
-    similar to one that is: ``_past_centers`` compares these, unless a class already holds both.
+    In each band bucket all texts are compared with the smallest, its center. Those that are not similar to it are compared
+    among themselves, in blocks (``_among_others``), and with those that are, unless a class already holds both
+    (``_past_centers``). The number of passes does not depend on how many texts a bucket has or how unlike they are.
     """
     prints = materialize(_prints(docs), "prints")
     reps = materialize(
@@ -320,32 +400,25 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
         "reps",
     )
     sets = reps.select("rep", "shingles")
-    left = materialize(reps.select("rep", F.posexplode("bands").alias("band", "value")), "buckets")
-    links: DataFrame | None = None
-    rings: DataFrame | None = None
-    while True:
-        centers = left.groupBy("band", "value").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = left.join(centers.drop("n"), ["band", "value"]).where("rep <> center")
-        pairs = met.select("rep", "center").distinct()
-        common = F.size(F.array_intersect("a.shingles", "b.shingles"))
-        whole = F.size("a.shingles") + F.size("b.shingles") - common
-        judged = materialize(
-            pairs.join(sets.alias("a"), "rep")
-            .join(sets.select(F.col("rep").alias("center"), "shingles").alias("b"), "center")
-            .select(
-                "rep", "center", F.size("a.shingles").alias("size"), (common >= similar * whole).alias("near"),
-                F.when(whole > 0, 1 - common / whole).otherwise(0.0).alias("apart"),
-            ),
-            "judged",
-        )
-        near = judged.where("near").select("rep", "center")
-        links = near if links is None else links.unionByName(near)
-        # 1 - Jaccard is a metric: a text further from the center can't be similar to one that is similar to it.
-        ring = judged.where(F.col("apart") <= 2 * (1 - similar) + _ROUNDING)
-        rings = ring if rings is None else rings.unionByName(ring)
-        left = materialize(met.join(judged.where("NOT near"), ["rep", "center"]).select("rep", "band", "value"), "buckets")
-        if left.isEmpty():
-            break
+    buckets = materialize(reps.select("rep", F.posexplode("bands").alias("band", "value")), "buckets")
+    centers = buckets.groupBy("band", "value").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(buckets.join(centers.drop("n"), ["band", "value"]).where("rep <> center"), "met")
+    common = F.size(F.array_intersect("a.shingles", "b.shingles"))
+    whole = F.size("a.shingles") + F.size("b.shingles") - common
+    judged = materialize(
+        met.select("rep", "center").distinct()
+        .join(sets.alias("a"), "rep")
+        .join(sets.select(F.col("rep").alias("center"), "shingles").alias("b"), "center")
+        .select(
+            "rep", "center", F.size("a.shingles").alias("size"), (common >= similar * whole).alias("near"),
+            F.when(whole > 0, 1 - common / whole).otherwise(0.0).alias("apart"),
+        ),
+        "judged",
+    )
+    left = materialize(met.join(judged.where("NOT near"), ["rep", "center"]).select("rep", "band", "value"), "others-of-buckets")
+    links = judged.where("near").select("rep", "center").unionByName(_among_others(left, reps, similar))
+    # 1 - Jaccard is a metric: a text further from the center can't be similar to one that is similar to it.
+    rings = judged.where(F.col("apart") <= 2 * (1 - similar) + _ROUNDING)
     parts = connected_components(links)
     found = _past_centers(rings, sets, parts, similar)
     if found is not None:

@@ -62,6 +62,11 @@ def op4_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf, "documents"))
 
 
+def minhash_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The other half of operator 4: bands joined, pairs verified by Jaccard, classes of near copies at five words and 0.8."""
+    return minhash.near_duplicate_classes(table(spark, sf, "documents"))
+
+
 def op5_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages"), URL_RULES)
 
@@ -131,4 +136,5 @@ QUERIES = {
     "op11_line_dedup": op11_line_dedup,
     "op12_merkle": op12_merkle,
     "op13_filter_audit": op13_filter_audit,
+    "minhash_classes": minhash_classes,
 }

@@ -115,3 +115,36 @@ def test_drifted_copies(spark, monkeypatch):
     for block in (2048, 7):
         monkeypatch.setattr(minhash, "BLOCK", block)
         assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(df).collect()} == want
+
+
+def test_many_texts_of_one_template(spark, monkeypatch):
+    """Texts of one template, pairwise near 0.6, some with a near copy: no text is lost, and blocks of any size agree."""
+    draw = random.Random(6)
+    base = [f"t{i}" for i in range(160)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for place in draw.sample(range(0, 150, 6), 7):
+            w[place] = f"k{k}p{place}"
+        rows.append((len(rows), " ".join(w)))
+        if k % 10 == 0:
+            w[155] = "copy"
+            rows.append((len(rows), " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if common >= 0.8 * (len(a) + len(sets[j]) - common) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i, _ in rows}
+    assert len(set(want.values())) > 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2048, 50):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(df).collect()}
+        assert got == want
