@@ -43,8 +43,9 @@ COST = 0.5
 TOP_WORDS = 1 << 18
 END = b"\n"
 _PIECE = 512  # symbols of a piece that is run through the automaton
-_AT_ONCE = 2_000_000  # bytes scored together; about 40 bytes of memory for each
-_CACHE = 200_000
+_AT_ONCE = 500_000  # bytes counted or scored together; some 50 bytes of memory for each
+_CACHE = 50_000  # words whose hashes or counts are held
+_GRAMS = 1_000_000  # grams held; if merging leaves over half of them, they are handed on
 _WORD, _GRAM, _DOCS = 0, 1, 2
 
 
@@ -111,13 +112,14 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             size = 0
 
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # else the batches before stay with the worker
             given = utf8(batch.column("_text"))
             texts += len(given)
             at = 0
             while at < len(given):
                 cut, end = [], at
                 length = 0
-                while end < len(given) and length < 2_000_000:
+                while end < len(given) and length < _AT_ONCE:
                     cut.append(given[end].lower().split())
                     length += len(given[end])
                     end += 1
@@ -126,12 +128,12 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                     words.update(each)
                 held.append(_counted(grams(*stream(cut))))
                 size += len(held[-1][0])
-                if size > 1_500_000:
+                if size > _GRAMS:
                     merged = _counted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
                     held[:], size = [merged], len(merged[0])
-                    if size > 750_000:
+                    if size > _GRAMS // 2:
                         yield from gram_rows()
-                if len(words) > 200_000:
+                if len(words) > _CACHE:
                     yield from word_rows()
         yield from word_rows()
         yield from gram_rows()
@@ -220,13 +222,13 @@ class Automaton:
         lanes = np.lib.stride_tricks.sliding_window_view(padded, DEPTH + _PIECE)[::_PIECE]
         columns = np.ascontiguousarray(lanes.T)
         step, gain = self.step.ravel(), self.gain.ravel()
-        state = np.zeros(pieces, np.int32)
+        state = np.zeros(pieces, np.int64)  # times the width, it may pass 31 bits
         out = np.empty((_PIECE, pieces), np.float32)
         for t in range(DEPTH + _PIECE):
-            at = state * np.int32(width) + columns[t]
+            at = state * width + columns[t]
             if t >= DEPTH:
                 out[t - DEPTH] = gain[at]
-            state = step[at]
+            state = step[at].astype(np.int64)
         flat = np.ascontiguousarray(out.T).ravel()[:n].astype(float)
         for i in range(DEPTH):
             flat[starts[:-1] + i] = 0
@@ -332,6 +334,7 @@ def score_texts(docs: DataFrame, model: Model, rare_words: DataFrame, ids: list[
         known_hashes = _Hashes()
         logs = np.append(np.log10(m.counts + 1.0), 0.0)
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             given = utf8(batch.column("_text"))
             at = 0
             while at < len(given):
