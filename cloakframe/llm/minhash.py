@@ -218,27 +218,41 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     )
 
 
+def _rep() -> Column:
+    """The name of a text: equal texts share it."""
+    return F.xxhash64(whole_text())
+
+
 def _prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep, bands, shingles): rep names the text, bands are hashes, shingles the sorted set."""
-    given = docs.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("rep"))
+    """(doc_id, rep, bands): rep names the text, bands are its signature, four places in one number."""
+    given = docs.select("doc_id", whole_text().alias("text"), _rep().alias("rep"))
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, known)) for t in utf8(batch.column("text"))]
+            sets = [shingle_hashes(t, known) for t in utf8(batch.column("text"))]
             bands = np.ascontiguousarray(signatures(sets)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("rep"),
-                    pa.array(list(bands), pa.list_(pa.int64())),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "rep", "bands", "shingles"],
+                [batch.column("doc_id"), batch.column("rep"), pa.array(list(bands), pa.list_(pa.int64()))], ["doc_id", "rep", "bands"]
             )
 
-    return given.mapInArrow(run, f"doc_id {kind}, rep long, bands array<long>, shingles array<long>")
+    return given.mapInArrow(run, f"doc_id {kind}, rep long, bands array<long>")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, shingles): the sorted shingle sets of the texts in ``wanted`` (rep, first_id), read again from the documents."""
+    own = docs.select("doc_id", whole_text().alias("text"), _rep().alias("_rep"))
+    met = own.join(wanted, (F.col("_rep") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = met.groupBy("rep").agg(F.any_value("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, known)).view(np.int64) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+
+    return texts.mapInArrow(run, "rep long, shingles array<long>")
 
 
 def _past_centers(rings: DataFrame, sets: DataFrame, parts: DataFrame, similar: float) -> DataFrame | None:
@@ -393,16 +407,15 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
     """
     prints = materialize(_prints(docs), "prints")
     reps = materialize(
-        prints.groupBy("rep").agg(
-            F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"),
-            F.any_value("bands").alias("bands"), F.any_value("shingles").alias("shingles"),
-        ),
+        prints.groupBy("rep").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"), F.any_value("bands").alias("bands")),
         "reps",
-    )
-    sets = reps.select("rep", "shingles")
-    buckets = materialize(reps.select("rep", F.posexplode("bands").alias("band", "value")), "buckets")
+    )
+    buckets = reps.select("rep", F.posexplode("bands").alias("band", "value"))
     centers = buckets.groupBy("band", "value").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(buckets.join(centers.drop("n"), ["band", "value"]).where("rep <> center"), "met")
+    # Shingles are made of the texts that share a bucket with another one only.
+    several = met.select("rep").unionByName(met.select(F.col("center").alias("rep"))).distinct()
+    sets = materialize(_shingle_sets(docs, reps.select("rep", "first_id").join(several, "rep", "left_semi")), "shingles")
     common = F.size(F.array_intersect("a.shingles", "b.shingles"))
     whole = F.size("a.shingles") + F.size("b.shingles") - common
     judged = materialize(
@@ -416,7 +429,7 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
         "judged",
     )
     left = materialize(met.join(judged.where("NOT near"), ["rep", "center"]).select("rep", "band", "value"), "others-of-buckets")
-    links = judged.where("near").select("rep", "center").unionByName(_among_others(left, reps, similar))
+    links = judged.where("near").select("rep", "center").unionByName(_among_others(left, reps.select("rep", "bands").join(sets, "rep"), similar))
     # 1 - Jaccard is a metric: a text further from the center can't be similar to one that is similar to it.
     rings = judged.where(F.col("apart") <= 2 * (1 - similar) + _ROUNDING)
     parts = connected_components(links)
