@@ -19,7 +19,7 @@ from cloakframe.plans import corpus
 from cloakframe.plans.mask import audit_of, mask, restore, risk_of
 from cloakframe.session import generation, materialize, shared_dir
 from cloakframe.sources.audit_log import append_entries
-from cloakframe.sources.corpus import read_table, spread, write_masked
+from cloakframe.sources.corpus import read_table, read_table_stream, spread, write_masked
 from cloakframe.sources.dictionary_store import (
     decrypt_dictionary,
     encrypt_dictionary,
@@ -1016,8 +1016,7 @@ def stream_audit(spark, sf):
 
 def stream_totals(spark, sf):
     home = _fresh_dir(spark, "totals")
-    schema = read_table(spark, sf, "events").schema
-    entries = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    entries = read_table_stream(spark, sf, "events")
     counted = live_totals(entries.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
     run = (
         counted.writeStream.outputMode("complete")
@@ -1034,11 +1033,8 @@ def stream_totals(spark, sf):
 
 def stream_mask(spark, sf):
     home = _fresh_dir(spark, "stream-mask")
-    schema = read_table(spark, sf, "documents").schema
     docs = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
+        read_table_stream(spark, sf, "documents")
         .select("doc_id", "text")
         .repartition(spark.sparkContext.defaultParallelism, "doc_id")
     )

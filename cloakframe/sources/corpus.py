@@ -22,6 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of parts.
+
+    The path is a pattern: Spark takes a plain path for the root of a partitioned table, which a single file can't be.
+    """
+    schema = read_table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as rows (doc_id, path, language, text); other file types are left out.
 
