@@ -102,11 +102,14 @@ def _comment_text(text: Column, language: str) -> Column:
 
 
 def _comment_pattern(language: str) -> str:
-    """Strings are passed over; in Python a triple-quoted string that starts its line is a comment."""
+    """Strings are passed over; in Python a triple-quoted string that starts its line is a comment.
+
+    The forms are tried only at characters that one of them starts with.
+    """
     plain = f"{STRINGS[language]}|{COMMENTS[language]}"
     if language == "python":
-        return rf"\n[ \t]*+(?:\"\"\"[\s\S]*?\"\"\"|\'\'\'[\s\S]*?\'\'\')|{plain}"
-    return plain
+        plain = rf"\n[ \t]*+(?:\"\"\"[\s\S]*?\"\"\"|\'\'\'[\s\S]*?\'\'\')|{plain}"
+    return rf"(?=[\"'#/<\n])(?:{plain})"
 
 
 def _is_comment(piece: Column, language: str) -> Column:

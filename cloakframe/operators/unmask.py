@@ -48,7 +48,7 @@ def unmask(
     per_doc = resolved.repartition(id_col).groupBy(id_col).agg(
         F.collect_list(F.struct(value.alias("value"), F.col("at"))).alias("_filled"),
         F.count("original").alias("n_restored"),
-        F.array_sort(F.collect_set(F.when(F.col("original").isNull(), F.col("token")))).alias("unknown"),
+        F.sort_array(F.collect_set(F.when(F.col("original").isNull(), F.col("token")))).alias("unknown"),
     )
     others = [c for c in docs.columns if c != text_col]
     return docs.join(per_doc, id_col, "left").select(
@@ -64,7 +64,8 @@ def unknown_tokens(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id
     return by_token(tokens_in(docs, id_col, text_col), dictionary.select("token"), "left_anti")
 
 
-_WRAPPED = "|".join(
+# Only where a placeholder or its wrapping can start are the forms tried.
+_FORMS = "|".join(
     [
         rf'"""{PLACEHOLDER}"""',
         rf"'''{PLACEHOLDER}'''",
@@ -75,6 +76,7 @@ _WRAPPED = "|".join(
         PLACEHOLDER,
     ]
 )
+_WRAPPED = rf"(?=[\"'/<#\[])(?:{_FORMS})"
 
 
 def restore_comments(docs: DataFrame, store: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
