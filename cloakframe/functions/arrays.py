@@ -196,28 +196,67 @@ def runs(ordered: Column, *fields: str) -> Column:
 
 # Keys and places of sorted pieces as two arrays; a key's places are a slice of the second one.
 _SLOTS = sql_let(
-    "named_struct('k', s.o.key, 'a', s.o.at)",
-    "u",
+    "sort_array(transform(s.p, (p, i) -> named_struct('key', p, 'at', i)))",
+    "o",
     sql_let(
-        "filter(transform(u.k, (e, i) -> IF(i = 0 OR get(u.k, i - 1) <> e, i, NULL)), i -> i IS NOT NULL)",
+        "named_struct('k', o.key, 'a', o.at)",
+        "u",
+        sql_let(
+            "filter(transform(u.k, (e, i) -> IF(i = 0 OR get(u.k, i - 1) <> e, i, NULL)), i -> i IS NOT NULL)",
+            "st",
+            "transform(st, (f, k) -> named_struct('key', u.k[f], "
+            "'at', slice(u.a, f + 1, coalesce(get(st, k + 1), size(u.k)) - f)))",
+        ),
+    ),
+)
+# The same by numbers: the place of a piece below the upper bits of its hash. Numbers are compared without a look into
+# rows, which for structs takes most of the time of a scan, the more the more cores do it at once.
+_PLACE_BITS = 24
+_PLACE = (1 << _PLACE_BITS) - 1
+_HASHED = sql_let(
+    f"sort_array(transform(s.p, (p, i) -> (xxhash64(p) & {~_PLACE}L) | i))",
+    "o",
+    sql_let(
+        f"filter(transform(o, (x, i) -> IF(i > 0 AND ((get(o, i - 1) ^ x) & {~_PLACE}L) = 0, NULL, i)), i -> i IS NOT NULL)",
         "st",
-        "transform(st, (f, k) -> named_struct('key', u.k[f], "
-        "'at', slice(u.a, f + 1, coalesce(get(st, k + 1), size(u.k)) - f)))",
+        # As many runs as there are different pieces: no two pieces share a hash.
+        "IF(size(st) = size(array_distinct(s.p)), "
+        + sql_let(
+            f"transform(o, x -> CAST(x & {_PLACE}L AS INT))",
+            "a",
+            "transform(st, (f, k) -> named_struct('key', s.p[a[f]], "
+            "'at', slice(a, f + 1, coalesce(get(st, k + 1), size(a)) - f)))",
+        )
+        + f", {_SLOTS})",
     ),
 )
 
 
-def slots(pieces: Column, keep: Callable[[Column], Column] | None = None) -> Column:
-    """array<struct<key, at array<int>>>: every distinct piece with the places where it stands.
+def groups(pieces: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<key, at array<int>>>: every distinct piece with the places where it stands, in no order of the pieces.
 
-    ``keep`` is asked once per distinct piece. ``sort_array`` compares in the engine's own code; ``array_sort`` would
-    call a comparing expression for every pair, which took most of the time of a scan for names.
+    ``keep`` is asked once per distinct piece. Pieces are grouped by their hashes; a text in which two pieces share one, or
+    that has more pieces than places fit beside a hash, is grouped by the pieces themselves.
     """
-    numbered = F.call_function("transform", pieces, F.expr("(p, i) -> named_struct('key', p, 'at', i)"))
-    found = bind(_SLOTS, o=F.sort_array(numbered))
+    found = bind(f"IF(size(s.p) <= {_PLACE}, {_HASHED}, {_SLOTS})", p=pieces)
     return found if keep is None else F.filter(found, lambda x: keep(x["key"]))
 
 
+def slots(pieces: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """``groups`` in the order of the pieces."""
+    return F.sort_array(groups(pieces, keep))
+
+
+def firsts(rows: Column, field: str) -> Column:
+    """For every value of a field of the rows the first row that has it, in no order of the values."""
+    return let(
+        rows,
+        lambda bound: F.transform(
+            groups(F.transform(bound, lambda row: row[field])), lambda group: F.get(bound, F.get(group["at"], F.lit(0)))
+        ),
+    )
+
+
 _PLACED = "array<struct<at:int,value:string>>"
 _GIVEN = (
     "cast(flatten(transform(s.f, f -> transform(f.at, a -> named_struct('at', a, 'value', f.value)))) "
@@ -228,7 +267,7 @@ _KEPT = (
     f"i -> named_struct('at', i, 'value', s.p[i])) AS {_PLACED})"
 )
 _ONE_EACH = "CASE WHEN size(m) = size(s.p) THEN m ELSE filter(m, (x, i) -> i = 0 OR get(m, i - 1).at <> x.at) END"
-_FILL = sql_let(
+_FILL_ROWS = sql_let(
     _GIVEN,
     "q",
     sql_let(
@@ -237,6 +276,20 @@ _FILL = sql_let(
         f"array_join(zip_with(s.g, {_ONE_EACH}, (g, x) -> concat(g, coalesce(x.value, ''))), '')",
     ),
 )
+# The same by numbers: a place above the number of what is put there. More of them than pieces: a place is named twice.
+_NO_VALUE = (1 << 31) - 1
+_FILL = sql_let(
+    "flatten(transform(s.f, (f, k) -> transform(f.at, a -> shiftleft(CAST(a AS BIGINT), 32) | k)))",
+    "q",
+    sql_let(
+        "sort_array(concat(q, transform(array_except(transform(s.p, (p, i) -> i), transform(q, x -> CAST(shiftright(x, 32) AS INT))), "
+        f"i -> shiftleft(CAST(i AS BIGINT), 32) | {_NO_VALUE})))",
+        "m",
+        "IF(size(m) = size(s.p), array_join(zip_with(s.g, m, (g, x) -> concat(g, coalesce("
+        f"CASE WHEN (x & {_NO_VALUE}) = {_NO_VALUE} THEN s.p[CAST(shiftright(x, 32) AS INT)] "
+        f"WHEN x IS NOT NULL THEN s.f[CAST(x & {_NO_VALUE} AS INT)].value END, ''))), ''), {_FILL_ROWS})",
+    ),
+)
 
 
 def fill(text: Column, pattern: str, filled: Column) -> Column:

@@ -12,7 +12,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.arrays import gaps_of, let, located, pieces_of, runs, slots, weave
+from cloakframe.functions.arrays import firsts, gaps_of, groups, let, located, pieces_of, runs, weave
 from cloakframe.functions.names import protected_names
 from cloakframe.functions.patterns import (
     COMMENTS,
@@ -80,7 +80,7 @@ def imported_names(text: Column) -> Column:
 def prose_symbols(text: Column, scan: str = "prose") -> Column:
     """Every name of running text is one symbol; no declaration is needed."""
     return F.transform(
-        slots(pieces_of(text, SCAN[scan]), lambda p: is_user_name(p, scan)),
+        groups(pieces_of(text, SCAN[scan]), lambda p: is_user_name(p, scan)),
         lambda s: F.struct(
             s["key"].alias("name"),
             F.lit("variable").alias("kind"),
@@ -113,7 +113,7 @@ def rule_symbols(text: Column, rules: list[Rule] = PERSONAL_DATA) -> Column:
         return choice
 
     return F.transform(
-        slots(rule_pieces(text, rules)),
+        groups(rule_pieces(text, rules)),
         lambda s: F.struct(
             s["key"].alias("name"),
             first("kind", s["key"]).alias("kind"),
@@ -234,16 +234,7 @@ def declared_symbols(text: Column, language: str) -> Column:
         )
     else:
         symbols = F.filter(cpp_declared(text), lambda s: is_user_name(s["name"], "cpp"))
-    numbered = F.transform(
-        symbols,
-        lambda s, i: F.struct(s["name"].alias("name"), i.alias("nth"), s["kind"].alias("kind"), s["scope"].alias("scope")),
-    )
-    return F.transform(
-        runs(F.sort_array(numbered), "name"),
-        lambda run: _symbol(
-            F.get(run, F.lit(0))["name"], F.get(run, F.lit(0))["kind"], F.get(run, F.lit(0))["scope"]
-        ),
-    ).cast(SYMBOLS)
+    return firsts(symbols, "name").cast(SYMBOLS)
 
 
 def code_symbols(text: Column, language: str) -> Column:
@@ -265,12 +256,12 @@ def code_symbols(text: Column, language: str) -> Column:
         ),
         lambda s: s["name"].rlike(IS_NAME),
     ).cast(row)
-    groups = F.filter(
+    named = F.filter(
         runs(F.sort_array(F.concat(declared, places)), "name"),
         lambda run: F.get(run, F.lit(0))["at"] == -1,
     )
     return F.transform(
-        groups,
+        named,
         lambda run: F.struct(
             F.get(run, F.lit(0))["name"].alias("name"),
             F.get(run, F.lit(0))["kind"].alias("kind"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.arrays import fill, let, pieces_of, slots
+from cloakframe.functions.arrays import fill, groups, let, pieces_of
 from cloakframe.functions.patterns import COMMENTS, FORMAT_SPEC, SCAN, STRINGS
 from cloakframe.operators.lookups import lookup
 
@@ -185,7 +185,7 @@ def _bound_digits(piece: Column) -> Column:
 
 def bounds(docs: DataFrame, pattern: str = BOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Numbers above 1 at the end of a matched piece, as constants of scope ``loop_bound``."""
-    found = slots(
+    found = groups(
         pieces_of(F.col(text_col), pattern),
         lambda p: F.length(F.ltrim(F.translate(_bound_digits(p), "0", " "))) > 0,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.arrays import fill, gaps_of, let, pieces_of, runs, slots
+from cloakframe.functions.arrays import fill, gaps_of, groups, let, pieces_of, runs
 from cloakframe.functions.patterns import IS_TOKEN, PLACEHOLDER, WORD
 from cloakframe.operators.dictionary import by_token, tokens_in
 from cloakframe.operators.lookups import lookup, row_weights
@@ -15,7 +15,7 @@ from cloakframe.session import materialize
 
 def token_slots(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """(ids, token, at): distinct tokens of a text with their places among its words."""
-    found = slots(pieces_of(F.col(text_col), WORD), lambda w: w.rlike(IS_TOKEN))
+    found = groups(pieces_of(F.col(text_col), WORD), lambda w: w.rlike(IS_TOKEN))
     return docs.select(*id_cols, F.explode(found).alias("s")).select(
         *id_cols, F.col("s.key").alias("token"), F.col("s.at").alias("at")
     )
@@ -81,7 +81,7 @@ _WRAPPED = rf"(?=[\"'/<#\[])(?:{_FORMS})"
 
 def restore_comments(docs: DataFrame, store: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put comments back in place of their placeholders, wrapped or bare."""
-    found = docs.select(id_col, F.explode(slots(pieces_of(F.col(text_col), _WRAPPED))).alias("s")).select(
+    found = docs.select(id_col, F.explode(groups(pieces_of(F.col(text_col), _WRAPPED))).alias("s")).select(
         id_col, F.regexp_extract("s.key", f"({PLACEHOLDER})", 1).alias("token"), F.col("s.at").alias("at")
     )
     resolved = found.join(store.select(id_col, "token", F.col("original").alias("value")), [id_col, "token"])

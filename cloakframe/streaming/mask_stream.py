@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cloakframe.functions.arrays import pieces_of, slots
+from cloakframe.functions.arrays import groups, pieces_of
 from cloakframe.functions.patterns import IS_TOKEN, SCAN
 from cloakframe.operators.dictionary import distinct_symbols, look_alikes, new_entries
 from cloakframe.operators.extract import symbols
@@ -75,7 +75,7 @@ def read_stream_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def _token_words(batch: DataFrame, language: str) -> DataFrame:
     """Words of code that look like tokens, as symbols: masked like names, they can't be taken for an earlier batch's token."""
-    found = slots(pieces_of(F.col("text"), SCAN[language]), lambda p: p.rlike(IS_TOKEN))
+    found = groups(pieces_of(F.col("text"), SCAN[language]), lambda p: p.rlike(IS_TOKEN))
     rows = batch.select("doc_id", F.explode(found).alias("s"))
     return rows.select("doc_id", F.col("s.key").alias("name"), F.lit("variable").alias("kind"), F.lit("").alias("scope"), F.col("s.at").alias("at"))
 
