@@ -13,7 +13,7 @@ from cloakframe.operators import audit, extract, literals, masking, policy
 from cloakframe.operators.dictionary import build_dictionary, look_alikes, merge_dictionary
 from cloakframe.operators.isolation import LANGUAGES, by_language, isolate_corpus
 from cloakframe.plans.mask import Masked, restore
-from cloakframe.session import materialize
+from cloakframe.session import COMPACT, materialize
 from cloakframe.sources.dictionary_store import encrypt_dictionary
 
 #: File types of running text, beside those of code.
@@ -93,13 +93,13 @@ def mask_corpus(
     docs = materialize(docs.withColumn("_scan", scan), "accepted")
 
     binding = by_language(F.col("_scan"), lambda name: extract.binding_of(text, name), SCANS)
-    symbols = materialize(docs.select(id_col, F.explode(binding).alias("s")).select(id_col, "s.*"), "bindings")
+    symbols = materialize(docs.select(id_col, F.explode(binding).alias("s")).select(id_col, "s.*"), "bindings", COMPACT)
     foreign = materialize(look_alikes(docs, text_col), "look-alikes")
     if dictionary is None:
         dictionary = build_dictionary(symbols, foreign)
     else:
         dictionary = materialize(merge_dictionary(dictionary, symbols, foreign), "dictionary")
-    resolved = masking.resolve(symbols, dictionary, id_col).select(id_col, F.col("token").alias("value"), "at")
+    resolved = masking.resolve(symbols, dictionary, id_col, stored=True).select(id_col, F.col("token").alias("value"), "at")
 
     def renamed(filled: Column) -> Column:
         return by_language(F.col("_scan"), lambda name: fill(text, SCAN[name], filled), SCANS)
@@ -113,7 +113,7 @@ def mask_corpus(
         comments = materialize(comments, "comments")
         held = by_language(language, lambda name: masking.placeholder_comments(text, name), LANGUAGES)
         out = out.withColumn(text_col, F.coalesce(held, text))
-    out = materialize(out, "renamed")
+    out = materialize(out, "renamed", COMPACT)
 
     names = dictionary.where("kind NOT IN ('string', 'constant')").select(F.col("original").alias("name"))
     deep = out.where(level >= 2)

@@ -106,9 +106,8 @@ def mask_batch(
     fresh.write.mode("overwrite").parquet(f"{dictionary_path}/delta/batch_id={batch_id}")
     entries = now.entries(spark).drop("batch_id")
     weights = row_weights(found, ["kind", "scope", "name"])
-    rename(batch, found, entries, language, count_as="n_tokens", weights=weights).write.mode("overwrite").parquet(
-        f"{output_path}/batch_id={batch_id}"
-    )
+    out = rename(batch, found, entries, language, count_as="n_tokens", weights=weights, stored=True)
+    out.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
     if (batch_id + 1) % compact_every == 0:
         now.entries(spark).write.mode("overwrite").parquet(f"{dictionary_path}/snapshot/upto={batch_id}")
         now.alike(spark).distinct().write.mode("overwrite").parquet(f"{dictionary_path}/alike_upto/upto={batch_id}")
